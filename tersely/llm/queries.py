@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from tersely.llm.bpe import op4_bpe_pair_index
 from tersely.llm.simhash import op10_simhash_tiles
 
 from tersely.llm.toxicity import op9_toxicity_subsequence_svm
 
-QUERIES = {"op10_simhash_tiles": op10_simhash_tiles, "op9_toxicity_subsequence_svm": op9_toxicity_subsequence_svm}
+QUERIES = {"op4_bpe_pair_index": op4_bpe_pair_index, "op10_simhash_tiles": op10_simhash_tiles, "op9_toxicity_subsequence_svm": op9_toxicity_subsequence_svm}
 ORACLE_SQL: dict[str, str] = {}
