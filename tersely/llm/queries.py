@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from tersely.llm.bpe import op4_bpe_pair_index
+from tersely.llm.licenses import op2_license_automaton
+from tersely.llm.mixing import mixing_sql, op8_mixing_raking
 from tersely.llm.simhash import op10_simhash_tiles
-
 from tersely.llm.toxicity import op9_toxicity_subsequence_svm
 
-QUERIES = {"op4_bpe_pair_index": op4_bpe_pair_index, "op10_simhash_tiles": op10_simhash_tiles, "op9_toxicity_subsequence_svm": op9_toxicity_subsequence_svm}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_license_automaton": op2_license_automaton,
+    "op4_bpe_pair_index": op4_bpe_pair_index,
+    "op8_mixing_raking": op8_mixing_raking,
+    "op9_toxicity_subsequence_svm": op9_toxicity_subsequence_svm,
+    "op10_simhash_tiles": op10_simhash_tiles,
+}
+ORACLE_SQL: dict[str, str] = {"op8_mixing_raking": mixing_sql()}
