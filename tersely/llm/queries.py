@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tersely.llm.bpe import op4_bpe_pair_index
 from tersely.llm.cws import op6_weighted_sampling
+from tersely.llm.langid import op7_language_viterbi
 from tersely.llm.licenses import op2_license_automaton
 from tersely.llm.mixing import mixing_sql, op8_mixing_raking
 from tersely.llm.simhash import op10_simhash_tiles
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_license_automaton": op2_license_automaton,
     "op4_bpe_pair_index": op4_bpe_pair_index,
     "op6_weighted_sampling": op6_weighted_sampling,
+    "op7_language_viterbi": op7_language_viterbi,
     "op8_mixing_raking": op8_mixing_raking,
     "op9_toxicity_subsequence_svm": op9_toxicity_subsequence_svm,
     "op10_simhash_tiles": op10_simhash_tiles,
