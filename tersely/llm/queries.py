@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tersely.llm.ann import op1_adaptive_scan
 from tersely.llm.bpe import op4_bpe_pair_index
 from tersely.llm.cws import op6_weighted_sampling
+from tersely.llm.htmltext import op3_html_layout
 from tersely.llm.langid import op7_language_viterbi
 from tersely.llm.licenses import op2_license_automaton
 from tersely.llm.mixing import mixing_sql, op8_mixing_raking
@@ -11,7 +13,9 @@ from tersely.llm.simhash import op10_simhash_tiles
 from tersely.llm.toxicity import op9_toxicity_subsequence_svm
 
 QUERIES = {
+    "op1_adaptive_scan": op1_adaptive_scan,
     "op2_license_automaton": op2_license_automaton,
+    "op3_html_layout": op3_html_layout,
     "op4_bpe_pair_index": op4_bpe_pair_index,
     "op6_weighted_sampling": op6_weighted_sampling,
     "op7_language_viterbi": op7_language_viterbi,
