@@ -9,6 +9,7 @@ from tersely.llm.htmltext import op3_html_layout
 from tersely.llm.langid import op7_language_viterbi
 from tersely.llm.licenses import op2_license_automaton
 from tersely.llm.mixing import mixing_sql, op8_mixing_raking
+from tersely.llm.repeats import op5_suffix_repeats
 from tersely.llm.simhash import op10_simhash_tiles
 from tersely.llm.toxicity import op9_toxicity_subsequence_svm
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_license_automaton": op2_license_automaton,
     "op3_html_layout": op3_html_layout,
     "op4_bpe_pair_index": op4_bpe_pair_index,
+    "op5_suffix_repeats": op5_suffix_repeats,
     "op6_weighted_sampling": op6_weighted_sampling,
     "op7_language_viterbi": op7_language_viterbi,
     "op8_mixing_raking": op8_mixing_raking,
