@@ -77,13 +77,33 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return who, a - base[who], b - base[who], at - base[who], h[at], content
 
 
-def _by_document(docs: np.ndarray, pairs: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """One row a document: its id and its pairs of 32-bit numbers as bytes."""
-    order = np.argsort(docs, kind="stable")
-    docs, values = docs[order], np.ascontiguousarray(pairs[order], np.int32)
-    first = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))) if len(docs) else np.zeros(0, np.int64)
-    offsets = (8 * np.append(first, len(docs))).astype(np.int32)
-    return pa.array(docs[first]), pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+def _marks(docs: np.ndarray, pairs: np.ndarray, probe: bool, parts: int) -> pa.RecordBatch:
+    """Rows ``part, probe, blob``: ids and their pairs of 32-bit numbers, by the part of the id."""
+    part = docs % parts
+    order = np.lexsort((docs, part))
+    docs, pairs, part = docs[order], pairs[order].astype(np.int32), part[order]
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(part) else [0]
+    zip_ = zstandard.ZstdCompressor(level=1)
+    blobs = [zip_.compress(np.diff(docs[a:b], prepend=0).tobytes() + pairs[a:b].T.tobytes()) for a, b in zip(edges[:-1], edges[1:])]
+    return pa.record_batch({"part": pa.array(part[edges[:-1]], pa.int32()), "probe": pa.array([probe] * len(blobs), pa.bool_()), "blob": pa.array(blobs, pa.binary())})
+
+
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``doc_id, pairs``: all pairs of a document together, from the blobs of its part."""
+    for frame in whole_groups(batches, "part"):
+        for _, rows in frame.groupby("part", sort=False):
+            docs, pairs = [], []
+            for data in map(zstandard.ZstdDecompressor().decompress, rows["blob"]):
+                n = len(data) // 16
+                docs.append(np.cumsum(np.frombuffer(data, np.int64, n)))
+                pairs.append(np.frombuffer(data, np.int32, 2 * n, 8 * n).reshape(2, n).T)
+            doc = np.concatenate(docs)
+            order = np.argsort(doc, kind="stable")
+            doc, values = doc[order], np.ascontiguousarray(np.concatenate(pairs)[order])
+            first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            offsets = (8 * np.append(first, len(doc))).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+            yield pa.record_batch({"doc_id": pa.array(doc[first]), "pairs": blobs})
 
 
 def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -150,14 +170,14 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
-def _matched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``doc_id, probe, pairs``: spans (start, length) that are repeats, and runs to be fetched."""
+def _matched(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``part, probe, blob``: spans (start, length) that are repeats, and runs to be fetched."""
     for frame in whole_groups(batches, "part"):
         for _, rows in frame.groupby("part", sort=False):
             known = [zstandard.ZstdDecompressor().decompress(b) for b in rows["blob"][rows["known"]]]
             for data in known:
                 n = len(data) // 16
-                yield _marks(np.frombuffer(data, np.int64, n), np.stack((np.frombuffer(data, np.int32, n, 8 * n), np.frombuffer(data, np.int32, n, 12 * n)), 1), False)
+                yield _marks(np.frombuffer(data, np.int64, n), np.stack((np.frombuffer(data, np.int32, n, 8 * n), np.frombuffer(data, np.int32, n, 12 * n)), 1), False, parts)
             blobs = rows["blob"][~rows["known"]]
             if not len(blobs):
                 continue
@@ -168,7 +188,7 @@ def _matched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = fresh | np.concatenate(([True], content[1:] != content[:-1]))
             again = doc > doc[new][np.cumsum(new) - 1]
             if again.any():
-                yield _marks(doc[again], np.stack((first[again], size[again].astype(np.int32) + SPAN), 1), False)
+                yield _marks(doc[again], np.stack((first[again], size[again].astype(np.int32) + SPAN), 1), False, parts)
             lead = ~again
             bucket = (np.cumsum(fresh) - 1)[lead]
             doc, first, off, size = doc[lead], first[lead], off[lead].astype(np.int32), size[lead].astype(np.int32)
@@ -176,12 +196,7 @@ def _matched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             several = (np.minimum.reduceat(doc, edge) < np.maximum.reduceat(doc, edge))[bucket]
             hot = (np.bincount(bucket) > HOT)[bucket]
             if several.any():
-                yield _marks(doc[several], np.stack((first, off | size << 8 | hot.astype(np.int32) << 16), 1)[several], True)
-
-
-def _marks(docs: np.ndarray, pairs: np.ndarray, probe: bool) -> pa.RecordBatch:
-    ids, blobs = _by_document(docs, pairs)
-    return pa.record_batch({"doc_id": ids, "probe": pa.array(np.full(len(ids), probe)), "pairs": blobs})
+                yield _marks(doc[several], np.stack((first, off | size << 8 | hot.astype(np.int32) << 16), 1)[several], True, parts)
 
 
 def _fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +208,7 @@ def _fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not asked.is_valid:
                 continue
             text = value.as_py()
-            for first, code in np.frombuffer(b"".join(asked.as_py()), np.int32).reshape(-1, 2).tolist():
+            for first, code in np.frombuffer(asked.as_py(), np.int32).reshape(-1, 2).tolist():
                 off, size = code & 255, code >> 8 & 255
                 if first + size + SPAN > len(text):
                     continue  # of another text with this id
@@ -264,8 +279,8 @@ def maximal_repeats(common: np.ndarray, left: np.ndarray, least: int = SPAN) ->
                 stack.append([now, begin, byte])
 
 
-def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``doc_id, probe, pairs`` of the occurrences of maximal repeats that have an earlier document."""
+def _repeated(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``part, probe, blob`` of the occurrences of maximal repeats that have an earlier document."""
     for frame in whole_groups(batches, "key", at_least=BATCH):
         owner, offset, common, left = suffix_array(frame["bytes"].tolist())
         doc, start = frame["doc_id"].to_numpy()[owner], frame["start"].to_numpy()[owner] + offset
@@ -278,29 +293,31 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts.append(start[a : b + 1][late])
                 lengths.append(np.full(len(late), length))
         if docs:
-            yield _marks(np.concatenate(docs), np.stack((np.concatenate(starts), np.concatenate(lengths)), 1), False)
+            yield _marks(np.concatenate(docs), np.stack((np.concatenate(starts), np.concatenate(lengths)), 1), False, parts)
 
 
-MARKS = "doc_id long, probe boolean, pairs binary"
+MARKS = "part int, probe boolean, blob binary"
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, spans``: for each id with repeated passages, lists of (start, length) pairs as 32-bit numbers, which may overlap."""
+    """``doc_id, spans``: for each id with repeated passages, (start, length) pairs as 32-bit numbers, which may overlap."""
     parts = partitions(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw(text_col).alias("raw"))
     entries = texts.where("doc_id is not null").mapInArrow(lambda b: _entries(b, parts), "part int, known boolean, blob binary")
-    marks = cut(entries.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_matched, MARKS))
-    asked = marks.where("probe").groupBy("doc_id").agg(F.collect_list("pairs").alias("asked"))
+    dealt = lambda df, key: df.repartition(parts, key).sortWithinPartitions(key)
+    together = lambda df, name: dealt(df, "part").mapInArrow(_gathered, "doc_id long, pairs binary").withColumnRenamed("pairs", name)
+    marks = cut(dealt(entries, "part").mapInArrow(lambda b: _matched(b, parts), MARKS))
+    asked = together(marks.where("probe"), "asked")
     fetched = texts.join(asked, "doc_id", "left").select("doc_id", "raw", "asked").mapInArrow(_fetch, "key long, bytes binary, doc_id long, start int")
-    found = fetched.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_repeated, MARKS)
-    return marks.where("not probe").unionByName(found).groupBy("doc_id").agg(F.collect_list("pairs").alias("spans"))
+    found = dealt(fetched, "key").mapInArrow(lambda b: _repeated(b, parts), MARKS)
+    return together(marks.where("not probe").unionByName(found), "spans")
 
 
-def _kept(text: bytes, pairs: Iterable[bytes] | None) -> tuple[bytes, int, int]:
+def _kept(text: bytes, pairs: bytes | None) -> tuple[bytes, int, int]:
     """The text without the spans, and how many bytes and maximal runs go."""
     if pairs is None or not len(text):
         return text, 0, 0
-    x = np.frombuffer(b"".join(pairs), np.int32).reshape(-1, 2)
+    x = np.frombuffer(pairs, np.int32).reshape(-1, 2)
     edge = np.zeros(len(text) + 1, np.int32)
     np.add.at(edge, np.minimum(x[:, 0], len(text)), 1)
     np.add.at(edge, np.minimum(x[:, 0] + x[:, 1], len(text)), -1)

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tersely.llm import repeats
@@ -59,22 +61,15 @@ def test_spans_match_brute_force(spark, monkeypatch, hot, chunk):
 
 def local(rows):
     """The same steps without Spark, in one task each."""
-    import pyarrow as pa
-
     texts = pa.record_batch({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "raw": pa.array([(t or "").encode() for _, t in rows], pa.binary())})
     entries = pa.Table.from_batches(repeats._entries([texts], 4)).sort_by("part").to_batches()
-    marks = pa.Table.from_batches(repeats._matched(entries)).to_pylist()
-    asked = {}
-    for m in marks:
-        if m["probe"]:
-            asked.setdefault(m["doc_id"], []).append(m["pairs"])
-    joined = texts.append_column("asked", pa.array([asked.get(i) for i, _ in rows], pa.list_(pa.binary())))
+    together = lambda t: dict(zip(*pa.Table.from_batches(list(repeats._gathered(t.sort_by("part").to_batches()))).to_pydict().values()))
+    marks = pa.Table.from_batches(repeats._matched(entries, 4))
+    asked = together(marks.filter(marks["probe"]))
+    joined = texts.append_column("asked", pa.array([asked.get(i) for i, _ in rows], pa.binary()))
     fetched = pa.Table.from_batches(repeats._fetch([joined])).sort_by("key").to_batches()
-    marks = [m for m in marks if not m["probe"]] + pa.Table.from_batches(list(repeats._repeated(fetched))).to_pylist()
-    out = {}
-    for m in marks:
-        out.setdefault(m["doc_id"], []).append(m["pairs"])
-    return out
+    found = pa.Table.from_batches(list(repeats._repeated(fetched, 4)))
+    return together(pa.concat_tables([marks.filter(pc.invert(marks["probe"])), found]))
 
 
 def test_maximal_repeats_of_one_string():
