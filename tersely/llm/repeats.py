@@ -222,37 +222,48 @@ def _fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_array(strings: list[bytes], least: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted suffixes of at least ``least`` bytes: string number, offset, common prefix with the next one, byte to the left.
+    """Sorted suffixes: string number, offset, common prefix with the next one, byte to the left.
 
-    The byte to the left is -1 where the suffix is its whole string, which differs from any byte.
+    Only suffixes whose first ``least`` bytes begin another one too are in it, as no others are part of a repeat.  The byte to
+    the left is -1 where the suffix is its whole string, which differs from any byte.
     """
     sizes = np.array([len(s) for s in strings], np.int64)
     count = np.maximum(sizes - least + 1, 0)
     owner = np.repeat(np.arange(len(strings)), count)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    if not len(owner):
-        return owner, offset, owner, owner
-    wide = -(-int(sizes.max()) // 8) * 8
-    joined = np.frombuffer(b"".join(strings) + bytes(wide), np.uint8)
+    wide = -(-int(sizes.max(initial=0)) // 8) * 8
+    joined = np.frombuffer(b"".join(strings) + bytes(wide), np.uint8).astype(np.uint64)
     at = (np.cumsum(sizes) - sizes)[owner] + offset
+    if len(at):
+        digit = _mix(joined + _ODD)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(digit * np.cumprod(np.full(len(digit), _ODD)))))
+        back = np.cumprod(np.full(len(digit), np.uint64(pow(int(_ODD), -1, 1 << 64))))
+        window = (total[at + least] - total[at]) * back[at]
+        order = np.argsort(window)
+        equal = window[order][1:] == window[order][:-1]
+        twice = np.zeros(len(at), bool)
+        twice[order] = np.concatenate((equal, [False])) | np.concatenate(([False], equal))
+        owner, offset, at = owner[twice], offset[twice], at[twice]
+    if not len(at):
+        return at, at, at, at
     left = np.where(offset > 0, joined[np.maximum(at - 1, 0)].astype(np.int64), -1)
     length = sizes[owner] - offset
-    words = []
-    for k in range(0, wide, 8):
-        part = joined[np.minimum(at + k, len(joined) - 8)[:, None] + np.arange(8)]
-        part = np.where(np.arange(k, k + 8) < length[:, None], part, 0).astype(np.uint8)
-        words.append(np.ascontiguousarray(part).view(">u8")[:, 0].astype(np.uint64))
+    eight = joined[: len(joined) - 7]  # the eight bytes from each place on as one number
+    for k in range(1, 8):
+        eight = eight << np.uint64(8) | joined[k : len(joined) - 7 + k]
+    masks = np.array([0, *[(1 << 64) - (1 << (64 - 8 * k)) for k in range(1, 8)], (1 << 64) - 1], np.uint64)
+    words = [eight[np.minimum(at + k, len(eight) - 1)] & masks[np.clip(length - k, 0, 8)] for k in range(0, wide, 8)]
     order = np.lexsort(words[::-1])
     owner, offset, left, length = owner[order], offset[order], left[order], length[order]
-    common = np.zeros(len(owner), np.int64)
-    same = np.ones(len(owner) - 1, bool)
+    common, rest, same = np.zeros(len(owner), np.int64), np.zeros(len(owner) - 1, np.uint64), np.ones(len(owner) - 1, bool)
     for w in words:
-        w = w[order]
-        x = w[1:] ^ w[:-1]
-        # equal bytes before the first that differs
-        zeros = np.where(x == 0, 8, 7 - np.floor(np.log2(np.maximum(x, 1).astype(np.longdouble))).astype(np.int64) // 8)
-        common[:-1] += np.where(same, zeros, 0)
+        x = w[order]
+        x = np.where(same, x[1:] ^ x[:-1], 0)
+        rest = np.where(x != 0, x, rest)  # of the first words that differ
         same &= x == 0
+        common[:-1] += 8 * same
+    for k in range(1, 8):
+        common[:-1] += (rest < np.uint64(1 << 8 * k)) & ~same
     common[:-1] = np.minimum(common[:-1], np.minimum(length[1:], length[:-1]))
     return owner, offset, common, left
 
