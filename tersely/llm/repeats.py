@@ -145,11 +145,12 @@ def _entries(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
         x = x[np.lexsort((first[x] + base[x], doc[x], part))]
         part = (key[x] % np.uint64(parts)).astype(np.int64)
         edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(x)]))
-        high = (key // np.uint64(parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        high = (key // np.uint64(parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        low = content.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
         for a, b in zip(edges[:-1], edges[1:]):
             if b > a:
                 y = x[a:b]
-                columns = (high[y].T.tobytes(), content[y].tobytes(), np.diff(doc[y], prepend=0).tobytes(), (first[y] + base[y]).astype(np.int32).tobytes(), (anchor[y] - first[y]).astype(np.uint8).tobytes(), (last[y] - first[y]).astype(np.uint8).tobytes())
+                columns = (high[y].T.tobytes(), low[y].T.tobytes(), np.diff(doc[y], prepend=0).tobytes(), (first[y] + base[y]).astype(np.int32).tobytes(), (anchor[y] - first[y]).astype(np.uint8).tobytes(), (last[y] - first[y]).astype(np.uint8).tobytes())
                 out_part.append(int(part[a]))
                 out_known.append(False)
                 out_blob.append(zip_.compress(b"".join(columns)))
@@ -158,12 +159,13 @@ def _entries(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     data = zstandard.ZstdDecompressor().decompress(blob)
-    n = len(data) // 28
-    key = np.zeros((n, 8), np.uint8)
-    key[:, :6] = np.frombuffer(data, np.uint8, 6 * n).reshape(6, n).T
-    at = 6 * n
-    out = [key.view("<u8")[:, 0]]
-    for kind in (np.uint64, np.int64, np.int32, np.uint8, np.uint8):
+    n = len(data) // 26
+    hashes = np.zeros((2, n, 8), np.uint8)
+    hashes[0, :, :5] = np.frombuffer(data, np.uint8, 5 * n).reshape(5, n).T
+    hashes[1, :, :7] = np.frombuffer(data, np.uint8, 7 * n, 5 * n).reshape(7, n).T
+    at = 12 * n
+    out = [hashes[0].view("<u8")[:, 0], hashes[1].view("<u8")[:, 0]]
+    for kind in (np.int64, np.int32, np.uint8, np.uint8):
         out.append(np.frombuffer(data, kind, n, at))
         at += n * np.dtype(kind).itemsize
     out[2] = np.cumsum(out[2])
