@@ -74,7 +74,11 @@ def weighed(docs: DataFrame, margins: tuple[str, ...] = MARGINS) -> DataFrame:
 
 def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, margins: tuple[str, ...] = MARGINS, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with ``_n_tokens``, the categories and ``_p``; targets not given are tempered natural shares."""
-    rows = weighed(docs, margins)
+    return drawn(weighed(docs, margins), targets, margins, budget, rounds)
+
+
+def drawn(rows: DataFrame, targets: dict[str, DataFrame] | None = None, margins: tuple[str, ...] = MARGINS, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+    """``weighed`` rows with ``_p``; they are read twice."""
     cells = cut(rows.groupBy(*[F.col(f"_{m}").alias(m) for m in margins]).agg(F.sum("_n_tokens").cast("double").alias("w")))
     targets = {m: (targets or {}).get(m, tempered(cells, m)) for m in margins}
     x = rake(cells, targets, rounds)
@@ -84,7 +88,8 @@ def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
 
 
 def op8_mixing_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = probabilities(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    # the texts are read once: what they weigh is written down
+    found = drawn(cut(weighed(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).drop("text", "source", "lang")))
     return found.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_n_tokens").alias("n_tokens"), F.col("_p").alias("probability"), (chance("doc_id") < F.col("_p")).alias("sampled"))
 
 
