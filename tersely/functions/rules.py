@@ -175,12 +175,205 @@ WHITESPACE_CLEANUP = r"""
 (?m)^\s+ =>
 \.~\. => .
 """
+CONVERSATIONAL_STRIP = r"""
+\bI'?d\s+like\s+you\s+to\b =>
+\bcould\s+you\s+please\b =>
+\bwould\s+you\s+please\b =>
+\bcan\s+you\s+please\b =>
+\bI\s+want\s+you\s+to\b =>
+\bI\s+need\s+you\s+to\b =>
+\bI'?m\s+asking\s+you\s+to\b =>
+\bwhat\s+I\s+want\s+is\s+for\s+you\s+to\b =>
+\bif\s+possible\s*,?\b =>
+\bif\s+you\s+can\s*,?\b =>
+\bwhen\s+possible\s*,?\b =>
+\bwhere\s+possible\s*,?\b =>
+\bto\s+the\s+extent\s+possible\s*,?\b =>
+\bthis\s+is\s+very\s+important\s*[.!]?\b =>
+\bthis\s+is\s+critical\s*[.!]?\b =>
+\bpay\s+close\s+attention\s+to\s+this\b =>
+\bthis\s+is\s+a\s+key\s+point\b =>
+\bprovide\s+(?:detailed|comprehensive|thorough)\s+(?:explanations?|responses?|analysis)\b => explain thoroughly
+\bprovide\s+(?:clear|concise|helpful)\s+(?:explanations?|responses?|information)\b => explain clearly
+\bconsider\s+the\s+(?:broader|wider|overall|general)\s+(?:context|picture|implications?)\b => consider context
+\bthat\s+(?:can|could|may|might|would)\s+be\s+(?:easily\s+)?understood\s+by\b => for
+\brecognizing\s+that\b => since
+\bgiven\s+the\s+fact\s+that\b => since
+\bconsidering\s+the\s+fact\s+that\b => since
+\bdistinguish\s+between\b => separate
+\bprioritize\s+the\s+most\s+(?:critical|important)\b => prioritize
+\byou\s+are\s+(?:a|an)\s+(?:experienced|expert|knowledgeable|skilled|seasoned|senior)\b => you are a
+\bwith\s+(?:over\s+)?\d+\s+years?\s+of\s+(?:experience|expertise)(?:\s+in\s+(?:the\s+)?field)?\b =>
+\byour\s+(?:role|job|task)\s+is\s+to\s+(?:help|assist|aid|support)\b => help
+\b(?:individuals|people|users|clients|customers)\s+(?:understand|learn|comprehend)\b => users understand
+\bprovide\s+(?:personalized|tailored|custom)\s+(?:recommendations?|suggestions?|guidance|advice)\b => recommend
+\bprovide\s+(?:practical|useful|helpful|actionable)\s+(?:tips?|advice|guidance|suggestions?|information)\b => advise
+\bmake\s+(?:informed|better|good|sound)\s+decisions?\b => decide well
+\bhelp\s+(?:them|users?|clients?|customers?)\s+(?:understand|learn|make\s+sense\s+of)\b => explain
+\bshould\s+not\s+be\s+(?:used\s+as|considered)\s+(?:a\s+)?(?:substitute|replacement)\s+for\s+(?:professional\s+)?\b => is not a substitute for~
+\bfor\s+(?:educational|informational)\s+purposes\s+only\b => educational only
+\bnot\s+(?:be\s+)?considered\s+(?:as\s+)?(?:personalized\s+)?(?:professional\s+)?(?:financial|legal|medical|tax)\s+advice\b => not professional advice
+\b(?:consult|speak)\s+with\s+(?:a\s+)?(?:qualified|licensed|certified)?\s*(?:professional|advisor|attorney|doctor|specialist|expert)\s+before\b => consult a professional before
+\bensure\s+(?:that\s+)?all\s+(?:examples|information|data|responses?)\s+(?:are|is)\s+(?:accurate|correct|up-to-date)\b => be accurate
+\b(?:maintain|keep)\s+(?:a\s+)?(?:professional|respectful|friendly|positive)\s+(?:tone|demeanor|attitude|approach)\b => be professional
+\bshould\s+not\s+be\s+(?:considered|used)\s+as\s+(?:a\s+substitute\s+for|replacement\s+for|personalized)\b => is not
+\bshould\s+consult\s+with\s+(?:a|their|an?)\s+(?:qualified|licensed|professional)\b => should consult
+\.\s*(?:Always|Ensure|Make sure)\s+ => .~
+,\s*recognizing\s+that\s+[^.]{10,60}\.\s* => .~
+,\s*understanding\s+that\s+[^.]{10,60}\.\s* => .~
+,\s*keeping\s+in\s+mind\s+that\s+[^.]{10,60}\.\s* => .~
+"""
+AI_OUTPUT_NOISE = r"""
+\bas\s+an?\s+AI\s+(?:language\s+)?model\s*,?\s*(?:I\s+)? =>
+\bas\s+an?\s+(?:artificial\s+intelligence|AI)\s*,?\s* =>
+\bas\s+a\s+(?:large\s+)?language\s+model\s*,?\s*(?:I\s+)? =>
+\bI\s+(?:am|'m)\s+sorry\s+for\s+(?:the|any)\s+confusion\s*[.,]?\s* =>
+\bI\s+apologize\s+for\s+(?:the|any)\s+confusion\s*[.,]?\s* =>
+\bsorry\s+(?:about|for)\s+(?:the|that|any)\s+(?:confusion|misunderstanding)\s*[.,]?\s* =>
+\bI\s+apologize\s+for\s+(?:the|my)\s+oversight\s*[.,]?\s* =>
+\bI\s+(?:am|'m)\s+sorry\s+for\s+(?:the|my)\s+oversight\s*[.,]?\s* =>
+\bmy\s+apologies\s+for\s+(?:the|that|any)\s+(?:oversight|mistake|error)\s*[.,]?\s* =>
+\bhowever\s*,?\s*it'?s?\s+important\s+to\s+(?:consider|note|remember|keep\s+in\s+mind)\b => Note:
+\bit'?s?\s+worth\s+(?:noting|mentioning|considering)\s+that\b => Note:
+\bit'?s?\s+important\s+to\s+(?:keep\s+in\s+mind|understand|recognize)\s+that\b => Note:
+\bI\s+cannot\s+provide\s+.*?,\s*but\s+I\s+can\b => Instead, I can
+\bI'?m\s+(?:not\s+able|unable)\s+to\s+.*?,\s*(?:but|however)\s*,?\s* =>
+\blet\s+me\s+know\s+if\s+you\s+need\s+any\s+(?:further|more|additional)\s+(?:help|assistance|information|clarification)\s*[.!]?\s* =>
+\bdon'?t\s+hesitate\s+to\s+(?:ask|reach\s+out)\s*[.!]?\s* =>
+\bI\s+hope\s+this\s+helps\s*[.!]?\s* =>
+\bhope\s+(?:this|that)\s+(?:helps|is\s+helpful)\s*[.!]?\s* =>
+\bfeel\s+free\s+to\s+ask\s+if\s+you\s+have\s+(?:any\s+)?(?:more|other|further|additional)\s+questions?\s*[.!]?\s* =>
+\bif\s+you\s+have\s+any\s+(?:other|more|further)\s+questions?\s*,?\s*(?:feel\s+free\s+to\s+ask|let\s+me\s+know)\s*[.!]?\s* =>
+\bplease\s+keep\s+in\s+mind\s+that\b => note:
+\bkeep\s+in\s+mind\s+that\b => note:
+\bit\s+depends\s+on\s+(?:various|many|several|a\s+number\s+of)\s+factors\b => it varies
+\bthere\s+are\s+(?:many|several|various)\s+(?:factors|considerations)\s+(?:to\s+)?(?:consider|keep\s+in\s+mind)\b => it varies
+"""
+# \n in a replacement stands for a line's end
+MARKDOWN_MINIFICATION = r"""
+(?m)^#{4,6}\s+ => #~
+(?m)^###\s+ => ##~
+(?m)^(?:>\s*){2,} => >~
+!\[\s*\]\(([^)]+)\) => $1
+!\[image\]\(([^)]+)\) => $1
+(?m)^(\s*)[*+]\s+ => $1-~
+\*{2}([^*]+)\*{2} => $1
+(?<!\*)\*(?!\*)([^*]+)(?<!\*)\*(?!\*) => $1
+\|\s{2,} => |~
+\s{2,}\| => ~|
+<br\s*/?\s*> => \n
+</?(?:b|strong)> =>
+</?(?:i|em)> =>
+</?(?:p|div|span)> =>
+(?m)^\s*(?:---+|___+|\*\*\*+)\s*$ =>
+\[(?:Read\s+(?:this|more|the)\s+(?:documentation|docs|here|article))\]\(([^)]+)\) => $1
+(?i)\[(?:click\s+here|here|link)\]\(([^)]+)\) => $1
+```(?:python|javascript|typescript|bash|shell|sh|json|yaml|yml|xml|html|css|sql|java|go|rust|ruby|php|c|cpp|csharp|swift|kotlin)\s*\n => ```\n
+"""
+SOURCE_CODE_COMPRESSION = r"""
+(?m)^\s*//(?!\s*TODO)[^\n]{2,}$ =>
+(?m)^\s*#\s+(?!TODO|!|\s*$)[^\n]{3,}$ =>
+(?s)/\*(?!\*/).*?\*/ =>
+(?s)"{3}(?!.*(?:TODO|FIXME|NOTE)).*?"{3} =>
+(?s)'{3}(?!.*(?:TODO|FIXME|NOTE)).*?'{3} =>
+(?m)^\s*\n(?=\s*\n) =>
+,\s*([}\]]) => $1
+:\s+(\d) => :$1
+;\s+ => ;
+\{\s+ => {
+\s+\} => }
+"""
+CONTEXT_DEDUPLICATION = r"""
+(?m)^(?:Thanks!?|Thank you!?|Got it!?|That worked!?|OK!?|Okay!?|Great!?|Perfect!?|Understood!?)\s*$ =>
+data:[a-zA-Z/]+;base64,[A-Za-z0-9+/=]{100,} => [BASE64_TRUNCATED]
+\b[A-Za-z0-9+/]{500,}={0,2} => [BASE64_TRUNCATED]
+(?i)\bI\s+will\s+(?:look\s+into|work\s+on|get\s+(?:back\s+to|on))\s+(?:this|that)\s+(?:right\s+now|immediately|shortly)\s*[.!]?\s* =>
+(?i)\bLet\s+me\s+(?:check|look\s+into|investigate)\s+(?:this|that)\s+for\s+you\s*[.!]?\s* =>
+"""
+SEMANTIC_FORMATTING = r"""
+\bforty[\s-]two\s+thousand\b => 42k
+\bten\s+thousand\b => 10k
+\bone\s+hundred\s+thousand\b => 100k
+\bone\s+million\b => 1M
+\btwo\s+million\b => 2M
+\bone\s+billion\b => 1B
+\bone\s+hundred\b => 100
+\btwo\s+hundred\b => 200
+\bfive\s+hundred\b => 500
+\bone\s+thousand\b => 1k
+(?m)^First\s*,\s* => 1.~
+(?m)^Second\s*,\s* => 2.~
+(?m)^Third\s*,\s* => 3.~
+(?m)^Fourth\s*,\s* => 4.~
+(?m)^Fifth\s*,\s* => 5.~
+[?&]utm_\w+=[^&\s)]* =>
+[?&](?:ref|source|campaign|medium|fbclid|gclid|mc_[a-z]+)=[^&\s)]* =>
+\bdo\s+not\b => don't
+\bcannot\b => can't
+\bwill\s+not\b => won't
+\bshould\s+not\b => shouldn't
+\bwould\s+not\b => wouldn't
+\bcould\s+not\b => couldn't
+\bdoes\s+not\b => doesn't
+\bdid\s+not\b => didn't
+\bis\s+not\b => isn't
+\bare\s+not\b => aren't
+\bwas\s+not\b => wasn't
+\bwere\s+not\b => weren't
+\bhas\s+not\b => hasn't
+\bhave\s+not\b => haven't
+\bhad\s+not\b => hadn't
+\b([A-Z]\w+)\s+and\s+([A-Z]\w+)\b => $1 & $2
+"""
+# the possessive {2,}+ keeps long runs of a line off the matcher's stack
+ANTI_NOISE = r"""
+(?:[A-Z]:\\(?:Users|Program Files)\\[^\s]*\\) => .../
+/(?:home|usr|var|opt)/[^\s/]+(?:/[^\s/]+){2,}/ => .../
+/node_modules/[^\s]+/ => [node_modules]/~
+\b([0-9a-f]{8})-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b => $1-...
+\x1b\[[0-9;]*m =>
+\\x1b\[[0-9;]*m =>
+(?m)(^.{30,}$)\n(?:\1\n){2,}+ => $1\n[repeated]\n
+(?m)^\s+(?:at\s+)?(?:/node_modules/|/usr/lib/python|/usr/local/lib/|site-packages/).*$\n? =>
+(?m)^\s+at\s+(?:internal/|node:).*$\n? =>
+\b([0-9a-f]{7})[0-9a-f]{33}\b => $1
+\b([0-9a-f]{8})[0-9a-f]{24,}\b => $1
+(?i)\bdo\s+not\s+share\s+this\s+system\s+prompt\s+with\s+the\s+user\s*[.!]?\s* =>
+(?i)\bnever\s+reveal\s+(?:your|these?|this)\s+(?:system\s+)?(?:prompt|instructions?)\s*[.!]?\s* =>
+(?i)\bkeep\s+(?:this|these)\s+instructions?\s+(?:confidential|private|secret)\s*[.!]?\s* =>
+:\s*\{\s*\} => : {}
+:\s*\[\s*\] => : []
+<thought>\s*</thought> =>
+<thinking>\s*</thinking> =>
+<scratchpad>\s*</scratchpad> =>
+<inner_monologue>\s*</inner_monologue> =>
+"""
+AGENT_METADATA = r"""
+(?s)(?:user:\s*)?Conversation info \(untrusted metadata\):\s*```json\s*\{.*?\}\s*```\s*\n? =>
+(?s)```json\s*\{\s*"message_id".*?\}\s*```\s*\n? =>
+\[\[reply_to_current\]\]\s* =>
+\[\[reply_to_[^\]]+\]\]\s* =>
+\[\[[^\]]+\]\]\s* =>
+(?s)# Session: \d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} UTC\n.*?## Conversation Summary\n+ =>
+(?m)^- \*\*Session Key\*\*:.*\n =>
+(?m)^- \*\*Session ID\*\*:.*\n =>
+(?m)^- \*\*Source\*\*:.*\n =>
+(?m)^## Conversation Summary\s*\n =>
+\[\w{2,4} \d{4}-\d{2}-\d{2} \d{2}:\d{2} UTC\]\s* =>
+(?s)(?:user: )?A new session was started via /new or /reset\..*?what they want to do\.\s*\n? =>
+(?s)(U: .{200,}?)\n+\1 => $1
+(?m)^assistant:\s+ => A:~
+(?m)^user:\s+ => U:~
+\n{3,} => \n\n
+"""
 
 #: Categories whose patterns ignore case.
-FOLDED = ("filler_phrases", "imperative_conversions", "clause_collapse", "credential_strip", "disclaimer_collapse", "adverb_strip")
+FOLDED = ("filler_phrases", "imperative_conversions", "clause_collapse", "credential_strip", "disclaimer_collapse", "adverb_strip", "conversational_strip", "ai_output_noise", "semantic_formatting")
 _TABLES = {
     "filler_phrases": FILLER_PHRASES, "imperative_conversions": IMPERATIVE_CONVERSIONS, "clause_collapse": CLAUSE_COLLAPSE, "credential_strip": CREDENTIAL_STRIP,
     "disclaimer_collapse": DISCLAIMER_COLLAPSE, "adverb_strip": ADVERB_STRIP, "whitespace_cleanup": WHITESPACE_CLEANUP,
+    "conversational_strip": CONVERSATIONAL_STRIP, "ai_output_noise": AI_OUTPUT_NOISE, "markdown_minification": MARKDOWN_MINIFICATION, "source_code_compression": SOURCE_CODE_COMPRESSION,
+    "context_deduplication": CONTEXT_DEDUPLICATION, "semantic_formatting": SEMANTIC_FORMATTING, "anti_noise": ANTI_NOISE, "agent_metadata": AGENT_METADATA,
 }
 
 
@@ -189,7 +382,7 @@ def rules(category: str) -> list[tuple[str, str]]:
     out = []
     for line in _TABLES[category].strip().splitlines():
         pattern, _, replacement = line.partition(" =>")
-        out.append((pattern.replace("~", " "), replacement.strip().replace("~", " ")))
+        out.append((pattern.replace("~", " "), replacement.strip().replace("~", " ").replace(r"\n", "\n")))
     return out
 
 

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from tersely.functions.rules import FOLDED, rules
 
-#: Unicode classes, and case folding where the category asks for it.
-_FLAGS = {True: "(?iuU)", False: "(?U)"}
+#: Unicode classes, line ends of ``\n`` only, and case folding where the category asks for it.
+_FLAGS = {True: "(?iuUd)", False: "(?Ud)"}
 MONTHS = "January February March April May June July August September October November December".split()
 
 
 def _java(category: str) -> list[tuple[str, str]]:
     flags = _FLAGS[category in FOLDED]
-    return [(flags + p.replace("(?m)", "(?md)"), r) for p, r in rules(category)]
+    return [(flags + p, r) for p, r in rules(category)]
 
 
 def apply_category(text: Column, category: str) -> Column:

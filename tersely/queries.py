@@ -15,10 +15,14 @@ LEADS = [
     "You are a helpful and friendly guide with over 10 years of experience in law. Furthermore, you must verify ,  all .. parts. ",
     "Due to the fact that it is extremely urgent, carefully review it on this topic. Moreover, keep in mind that it helps so as to win. ",
     "Dated January 4th, 2025 and 14 March 1999 .\n\n\n\nIn situations where you need to act, always verify,   and work hard. ",
+    "First, I want you to provide clear explanations and, if you can, distinguish between ten thousand Cats and Dogs. You do not have to; it is not asked. \n",
+    "As an AI language model, I hope this helps! It depends on several factors. See /usr/share/lib/python/pkg/ and 123e4567-e89b-12d3-a456-426614174000. \nThanks!\n",
+    "#### Head\n* **bold** and <b>more</b>|  cell  |<br/>[click here](http://x.test/?utm_source=a&ref=b)\n---\n// a comment line\n{ a: 1, }; /* note */ \n",
+    "user: [[reply_to_current]] hello\n- **Session ID**: 12\nassistant: fine\n\n\n\n<thought> </thought>the same line again and again and again\nthe same line again and again and again\nthe same line again and again and again\n",
     "This information should not be considered legal advice at all. Users should always consult with a licensed attorney. Basically, indicate why. ",
     "",
 ]
-PROMPTS = "SELECT doc_id, lang, source, concat(CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(LEADS)) + " END, text) AS prompt FROM documents"
+PROMPTS = "SELECT doc_id, lang, source, concat(CASE doc_id % " + str(len(LEADS)) + " " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(LEADS)) + " END, text) AS prompt FROM documents"
 MODELS = ["claude-sonnet-4", "openai/gpt-4o-mini", "grok-3", "gemini-2.5-pro", "llama-3.1-8b", "some/other"]
 LOG = "SELECT event_id, ts, CASE user_id % 6 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(MODELS)) + """ END AS model, event_type, CASE event_id % 3 WHEN 0 THEN 0.3 WHEN 1 THEN 0.5 ELSE 1.0 END AS level,
     CAST(event_id % 5 AS DOUBLE) AS latency_ms, 50 + user_id % 400 AS original_tokens, 50 + user_id % 400 - event_id % 60 AS optimized_tokens FROM events"""
@@ -38,7 +42,7 @@ def _lead(n: F.Column, values: list[str]) -> F.Column:
 
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
     d = _table(spark, sf, "documents")
-    return d.select("doc_id", "lang", "source", F.concat(_lead(F.col("doc_id") % 6, LEADS), F.col("text")).alias("prompt"))
+    return d.select("doc_id", "lang", "source", F.concat(_lead(F.col("doc_id") % len(LEADS), LEADS), F.col("text")).alias("prompt"))
 
 
 def log(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +83,8 @@ def _sql_rules(category: str, column: str) -> str:
 
 
 def _category(category: str) -> None:
-    plain = "(?=" not in "".join(p for p, _ in rules(category))
+    # DuckDB's patterns have no look-around and no back references
+    plain = not any(x in p for p, _ in rules(category) for x in ("(?=", "(?!", "(?<", r"\1")) or category == "filler_phrases"
     sql = f"SELECT doc_id, md5(t) AS text_md5, CAST(strlen(t) AS BIGINT) AS n_bytes FROM (SELECT doc_id, {_sql_rules(category, 'prompt')} AS t FROM ({PROMPTS}))"
 
     @query(f"rules_{category}", sql if plain else None)

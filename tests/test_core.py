@@ -16,7 +16,8 @@ def one(spark, column, **values):
 
 
 def test_rule_counts():
-    counts = {"filler_phrases": 61, "imperative_conversions": 40, "clause_collapse": 26, "credential_strip": 8, "disclaimer_collapse": 6, "adverb_strip": 10, "whitespace_cleanup": 6}
+    counts = {"filler_phrases": 61, "imperative_conversions": 40, "clause_collapse": 26, "credential_strip": 8, "disclaimer_collapse": 6, "adverb_strip": 10, "whitespace_cleanup": 6,
+              "conversational_strip": 46, "ai_output_noise": 24, "markdown_minification": 18, "source_code_compression": 11, "context_deduplication": 5, "semantic_formatting": 33, "anti_noise": 20, "agent_metadata": 16}
     assert {c: len(rules(c)) for c in counts} == counts
     assert [len(t) for t in THRESHOLDS.values()] == [21, 21, 21]
 
@@ -27,6 +28,15 @@ def test_rules(spark):
     assert rewrite("please open the door", "filler_phrases") == "please open the door"
     assert rewrite("a  b , c .", "whitespace_cleanup") == "a b, c."
     assert rewrite("You are a helpful guide with 10 years of experience.", "credential_strip") == "guide ."
+    assert rewrite("I hope this helps! As an AI language model, I think", "ai_output_noise") == "think"
+    assert rewrite("#### A\n* **b**<br/>[here](u)", "markdown_minification") == "# A\n- b\nu"
+    assert rewrite("# a comment\nx = {  1, }", "source_code_compression") == "\nx = {1}"
+    assert rewrite("Thanks!\n" + "Ab1" * 200, "context_deduplication") == "\n[BASE64_TRUNCATED]"
+    assert rewrite("You should not see Cats and Dogs at http://x?utm_source=q", "semantic_formatting") == "You shouldn't see Cats & Dogs at http://x"
+    assert rewrite("user: [[reply_to_7]] hi", "agent_metadata") == "U: hi"
+    assert rewrite("can you please look, recognizing that it may rain soon. Go", "conversational_strip") == " look, since it may rain soon. Go"
+    line = "the same line of an error log again\n"
+    assert rewrite(line * 5000, "anti_noise") == line + "[repeated]\n"
     got = one(spark, text.apply_counted(F.col("s"), "adverb_strip"), s="very, very good and work hard; carefully review")
     assert (got["text"], got["hits"]) == ("very, good and work; ", 3)
 
