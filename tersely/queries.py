@@ -19,6 +19,7 @@ LEADS = [
     "As an AI language model, I hope this helps! It depends on several factors. See /usr/share/lib/python/pkg/ and 123e4567-e89b-12d3-a456-426614174000. \nThanks!\n",
     "#### Head\n* **bold** and <b>more</b>|  cell  |<br/>[click here](http://x.test/?utm_source=a&ref=b)\n---\n// a comment line\n{ a: 1, }; /* note */ \n",
     "user: [[reply_to_current]] hello\n- **Session ID**: 12\nassistant: fine\n\n\n\n<thought> </thought>the same line again and again and again\nthe same line again and again and again\nthe same line again and again and again\n",
+    "Your task is to write a function that is able to take into account both cats and dogs, legal, tax, and privacy concerns, specifically while maintaining clear form. Let the user know that it is not only fast but also small. \n",
     "This information should not be considered legal advice at all. Users should always consult with a licensed attorney. Basically, indicate why. ",
     "",
 ]

@@ -17,7 +17,7 @@ def one(spark, column, **values):
 
 def test_rule_counts():
     counts = {"filler_phrases": 61, "imperative_conversions": 40, "clause_collapse": 26, "credential_strip": 8, "disclaimer_collapse": 6, "adverb_strip": 10, "whitespace_cleanup": 6,
-              "conversational_strip": 46, "ai_output_noise": 24, "markdown_minification": 18, "source_code_compression": 11, "context_deduplication": 5, "semantic_formatting": 33, "anti_noise": 20, "agent_metadata": 16}
+              "conversational_strip": 46, "ai_output_noise": 24, "markdown_minification": 18, "source_code_compression": 11, "context_deduplication": 5, "semantic_formatting": 33, "anti_noise": 20, "agent_metadata": 16, "verbose_phrases": 131, "developer_boilerplate": 31, "adjective_collapse": 17, "clause_simplify": 21}
     assert {c: len(rules(c)) for c in counts} == counts
     assert [len(t) for t in THRESHOLDS.values()] == [21, 21, 21]
 
@@ -35,6 +35,10 @@ def test_rules(spark):
     assert rewrite("You should not see Cats and Dogs at http://x?utm_source=q", "semantic_formatting") == "You shouldn't see Cats & Dogs at http://x"
     assert rewrite("user: [[reply_to_7]] hi", "agent_metadata") == "U: hi"
     assert rewrite("can you please look, recognizing that it may rain soon. Go", "conversational_strip") == " look, since it may rain soon. Go"
+    assert rewrite("It is able to join both cats and dogs, specifically", "verbose_phrases") == "It can join cats/dogs, "
+    assert rewrite("Your task is to write a script that runs", "developer_boilerplate") == "Task: Program: runs"
+    assert rewrite("legal, tax, and privacy concerns", "adjective_collapse") == "legal/tax/privacy concerns"
+    assert rewrite("answer while maintaining good form now", "clause_simplify") == "answer (keep good form) now"
     line = "the same line of an error log again\n"
     assert rewrite(line * 5000, "anti_noise") == line + "[repeated]\n"
     got = one(spark, text.apply_counted(F.col("s"), "adverb_strip"), s="very, very good and work hard; carefully review")
