@@ -24,6 +24,12 @@ def apply_category(text: Column, category: str) -> Column:
     return reduce(lambda t, rule: F.regexp_replace(t, F.lit(rule[0]), F.lit(rule[1])), _java(category), text)
 
 
+def apply_folded(text: Column, category: str) -> Column:
+    """As ``apply_category``, folded over an array of the rules: for chains of categories too long for one generated method."""
+    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(r).alias("r")) for p, r in _java(category)])
+    return F.aggregate(table, text, lambda acc, rule: F.regexp_replace(acc, rule["p"], rule["r"]))
+
+
 def apply_counted(text: Column, category: str) -> Column:
     """``struct(text, hits)``: as ``apply_category``, with the number of rules that matched.
 

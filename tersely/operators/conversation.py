@@ -39,6 +39,17 @@ def prune_results(messages: DataFrame, fresh: int = 2, long: int = 2000, short:
     return seen.withColumn("pruned", F.when((F.col("role") == "assistant") & (size > limit), F.concat(F.lit("[pruned: "), size.cast("string"), F.lit(" bytes]"))).otherwise(F.col("text")))
 
 
+THOUGHT = r"(?s)<(?:thought|thinking|inner_monologue)>.*?</(?:thought|thinking|inner_monologue)>"
+
+
+def prune_thoughts(messages: DataFrame, fresh: int = 3, placeholder: str = "[earlier reasoning cut]") -> DataFrame:
+    """Reasoning blocks of assistant messages before the last ``2 * fresh``, replaced where that is shorter."""
+    seen = windows(messages)
+    cut = F.regexp_replace("text", F.lit(THOUGHT), F.lit(f"<thought>{placeholder}</thought>"))
+    old = (F.col("role") == "assistant") & (F.col("from_end") > 2 * fresh) & (F.octet_length(cut) < F.octet_length("text"))
+    return seen.withColumn("pruned", F.when(old, cut).otherwise(F.col("text")))
+
+
 def dedup_key(line: Column) -> Column:
     """What makes two instruction lines the same: lower case, without fillers, spacing and end punctuation."""
     bare = F.regexp_replace(F.lower(line), r"(?U)\b(?:please|always|make sure to|ensure that|remember to)\b", "")

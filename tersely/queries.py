@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersely.functions import routing, text
+from tersely.functions import normalize, routing, text
 from tersely.functions.rules import CATEGORIES, FOLDED, rules
 from tersely.operators import conversation, logs, stability
 
@@ -294,3 +294,72 @@ def compression_savings(spark, sf):
 
     done = compress(prompts(spark, sf), "prompt", ["filler_phrases", "imperative_conversions", "clause_collapse"])
     return logs.by(done, "source")
+
+
+@query("compressed_requests")
+def compressed_requests(spark, sf):
+    """Each prompt by a level and a profile of its own."""
+    from tersely.jobs.compress import compress_requests
+
+    level = F.when(F.col("doc_id") % 4 == 0, 0.3).when(F.col("doc_id") % 4 == 1, 0.5).when(F.col("doc_id") % 4 == 2, 0.8).otherwise(1.0)
+    rows = prompts(spark, sf).withColumns({"level": level, "profile": routing.profile(_lead(F.col("doc_id") % 6, MODELS))})
+    return compress_requests(rows, "prompt").select("doc_id", "level", "profile", F.md5("compressed").alias("text_md5"), "original_tokens", "optimized_tokens")
+
+
+SYSTEM_LEADS = [
+    "Be concise. Always include examples. Be very detailed in all. 1. First, **Note:** do so. ",
+    "You are a guide. Never include code! Must provide examples. As of today do not guess. ",
+    "The latest is here, right now. Use formal words? Respond in casual tone. ",
+]
+SYSTEMS = "SELECT doc_id, concat(CASE doc_id % 3 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(SYSTEM_LEADS)) + f" END, text, CASE doc_id % 2 WHEN 0 THEN '{normalize.SEPARATOR}Updated part' ELSE '' END) AS system FROM documents"
+
+
+def systems(spark, sf):
+    d = _table(spark, sf, "documents")
+    return d.select("doc_id", F.concat(_lead(F.col("doc_id") % 3, SYSTEM_LEADS), F.col("text"), F.when(F.col("doc_id") % 2 == 0, normalize.SEPARATOR + "Updated part").otherwise("")).alias("system"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_CONFLICTS = SYSTEMS
+for _a, _b in normalize.CONFLICTS:
+    _parts = "string_split(regexp_replace(system, '([.!?])([ \\t\\n\\r\\f\\v])', concat('\\1', chr(1), '\\2'), 'g'), chr(1))"
+    _kept = f"array_to_string(list_filter(list_transform({_parts}, lambda s: regexp_replace(s, '\\A\\s+|\\s+\\z', '', 'g')), lambda s: s <> '' AND NOT regexp_matches(s, {_quoted(_b)})), ' ')"
+    _CONFLICTS = f"SELECT doc_id, CASE WHEN regexp_matches(system, {_quoted(_a)}) AND regexp_matches(system, {_quoted(_b)}) THEN {_kept} ELSE system END AS system FROM ({_CONFLICTS})"
+
+
+@query("resolved_conflicts", f"SELECT doc_id, md5(system) AS text_md5 FROM ({_CONFLICTS})")
+def resolved_conflicts(spark, sf):
+    return systems(spark, sf).select("doc_id", F.md5(normalize.resolve_conflicts(F.col("system"))).alias("text_md5"))
+
+
+@query("bounded_speculation", f"SELECT doc_id, md5(CASE WHEN {' OR '.join(f'regexp_matches(system, {_quoted(p)})' for p in normalize.BOUNDARIES)} THEN system ELSE concat(system, {_quoted(normalize.BOUNDARY)}) END) AS text_md5 FROM ({SYSTEMS})")
+def bounded_speculation(spark, sf):
+    return systems(spark, sf).select("doc_id", F.md5(normalize.bound_speculation(F.col("system"))).alias("text_md5"))
+
+
+_AT = f"position({_quoted(normalize.SEPARATOR)} IN system)"
+_BLOCKS = f"SELECT doc_id, 0 AS pos, CASE WHEN {_AT} > 0 THEN substr(system, 1, {_AT} - 1) ELSE system END AS text, {_AT} > 0 AS cached FROM ({SYSTEMS}) UNION ALL SELECT doc_id, 1, substr(system, {_AT} + {len(normalize.SEPARATOR)}), false FROM ({SYSTEMS}) WHERE {_AT} > 0"
+_SCORE = f"greatest(0, 50 + CASE WHEN cached THEN 100 ELSE 0 END - 20 * ({' + '.join(f'CAST(contains(lower(text), {_quoted(m)}) AS INT)' for m in normalize.DYNAMIC)})) + CASE WHEN starts_with(lower(text), 'you are') OR contains(lower(text), 'your role') THEN 30 ELSE 0 END + CASE WHEN strlen(text) > 500 THEN 10 ELSE 0 END + CASE WHEN strlen(text) > 2000 THEN 10 ELSE 0 END"
+
+
+@query("system_blocks", f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {_SCORE} DESC, pos) - 1 AS INT) AS pos, md5(text) AS text_md5, cached, CAST({_SCORE} AS INT) AS score FROM ({_BLOCKS})")
+def system_blocks(spark, sf):
+    blocks = systems(spark, sf).select("doc_id", F.posexplode(normalize.order_blocks(normalize.system_blocks(F.col("system")))).alias("pos", "b"))
+    return blocks.select("doc_id", "pos", F.md5("b.text").alias("text_md5"), "b.cached", normalize.block_stability(F.col("b.text"), F.col("b.cached")).alias("score"))
+
+
+@query("plain_emphasis_and_lists", f"SELECT doc_id, md5(regexp_replace(regexp_replace(system, {_quoted(normalize.EMPHASIS)}, '', 'g'), {_quoted(normalize.LIST_WORDS)}, '\\1 ', 'g')) AS text_md5 FROM ({SYSTEMS})")
+def plain_emphasis_and_lists(spark, sf):
+    return systems(spark, sf).select("doc_id", F.md5(normalize.plain_lists(normalize.strip_emphasis(F.col("system")))).alias("text_md5"))
+
+
+_THINKING = "concat('<thinking>step by step, this goes on for a while and ends here</thinking> ', text)"
+
+
+@query("pruned_thoughts", f"SELECT conv_id, turn, md5(CASE WHEN role = 'assistant' AND b > 4 AND strlen(regexp_replace(t, '{conversation.THOUGHT}', '<thought>[earlier reasoning cut]</thought>', 'g')) < strlen(t) THEN regexp_replace(t, '{conversation.THOUGHT}', '<thought>[earlier reasoning cut]</thought>', 'g') ELSE t END) AS text_md5 FROM (SELECT *, {_THINKING} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations)")
+def pruned_thoughts(spark, sf):
+    messages = _table(spark, sf, "conversations").withColumn("text", F.concat(F.lit("<thinking>step by step, this goes on for a while and ends here</thinking> "), "text"))
+    return conversation.prune_thoughts(messages, fresh=2).select("conv_id", "turn", F.md5("pruned").alias("text_md5"))

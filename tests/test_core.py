@@ -2,9 +2,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from tersely.functions import routing, text
+from tersely.functions import normalize, routing, text
 from tersely.functions.rules import THRESHOLDS, rules
-from tersely.jobs.compress import compress
+from tersely.jobs.compress import compress, compress_requests
 from tersely.operators import conversation, stability
 from tersely.sources.logs import append_metrics, read_metrics
 from tersely.streaming.metrics import running_totals, windowed
@@ -107,3 +107,25 @@ def test_streams(spark, tmp_path):
     q = windowed(stream()).writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination(60)
     assert {r.original_tokens for r in spark.table("windows").collect()} <= {10, 5, 1}
+
+
+def test_normalized_prompts(spark):
+    assert one(spark, normalize.resolve_conflicts(F.col("s")), s="Be brief. Be very thorough! Go on.") == "Be brief. Go on."
+    assert one(spark, normalize.bound_speculation(F.col("s")), s="Never guess.") == "Never guess."
+    assert one(spark, normalize.bound_speculation(F.col("s")), s="Go.").startswith("Go.\nIf information")
+    assert [b.text for b in one(spark, normalize.order_blocks(normalize.system_blocks(F.col("s"))), s="Base\n\n---\n\nToday")] == ["Base", "Today"]
+    assert one(spark, normalize.block_stability(F.col("s"), F.lit(False)), s="You are as of today updated recently, latest") == 30
+    assert one(spark, normalize.language(F.col("s")), s="import os\ndef f(x):\n    return x") == "python"
+    for s, want in (("```x", True), ('{"a": 1}', True), ("{a}", False), ("plain", False)):
+        assert one(spark, normalize.code_or_json(F.col("s")), s=s) is want
+    tools = spark.sql("SELECT array(named_struct('name', 'b', 'n', 1), named_struct('name', 'a', 'n', 2), named_struct('name', 'b', 'n', 3)) AS t").select(normalize.sort_tools(F.col("t")).alias("t")).first()["t"]
+    assert [(t.name, t.n) for t in tools] == [("a", 2), ("b", 1), ("b", 3)]
+
+
+def test_requests_by_level_and_profile(spark):
+    s = "You should utilize it in order to do the very best. **Note:** I hope this helps!"
+    rows = [(s, 0.0, "balanced"), (s, 0.3, "balanced"), (s, 0.5, "aggressive"), (s, 1.0, "aggressive"), (None, 1.0, "balanced"), ("", 1.0, "x"), (s, None, "balanced")]
+    got = [r.compressed for r in compress_requests(spark.createDataFrame(rows, "text string, level double, profile string").coalesce(1)).collect()]
+    assert got[0] == got[6] == s and got[4] is None and got[5] == ""
+    assert got[1] == "You should use it to do the very best. **Note:** I hope this helps!"
+    assert len(got[3]) < len(got[2]) < len(got[1])
