@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tersely.functions import normalize, routing, text
-from tersely.functions.rules import THRESHOLDS, rules
+from tersely.functions.rules import CATEGORIES, THRESHOLDS, rules
 from tersely.jobs.compress import compress, compress_requests
 from tersely.operators import conversation, stability
 from tersely.sources.logs import append_metrics, read_metrics
@@ -129,3 +129,12 @@ def test_requests_by_level_and_profile(spark):
     assert got[0] == got[6] == s and got[4] is None and got[5] == ""
     assert got[1] == "You should use it to do the very best. **Note:** I hope this helps!"
     assert len(got[3]) < len(got[2]) < len(got[1])
+
+
+def test_folded_rules_equal_plain_ones(spark):
+    from tersely.queries import LEADS
+
+    texts = spark.createDataFrame([(x,) for x in [*LEADS, " ".join(LEADS), "\u017fpecifically IT I\u0131 \u00e9t\u00e9 and X", ""]], "s string").coalesce(1)
+    for c in CATEGORIES:
+        for row in texts.select(text.apply_category(F.col("s"), c).alias("a"), text.apply_folded(F.col("s"), c).alias("b")).collect():
+            assert row.a == row.b
