@@ -52,10 +52,9 @@ def codes(words: list[str], width: int) -> np.ndarray:
 
 
 def kernel(s: np.ndarray, t: np.ndarray, decay: float = DECAY) -> np.ndarray:
-    """Discounted common subsequences of length three, for row i of ``s`` with row i of ``t``."""
-    n, a = s.shape
-    b = t.shape[1]
-    same = [[(s[:, i] == t[:, j]) & (s[:, i] != 0) for j in range(b)] for i in range(a)]
+    """Discounted common subsequences of length three of each column of ``s`` with ``t``: one word, or a word for each column."""
+    (a, n), b = s.shape, len(t)
+    same = [[(s[i] == t[j]) & (s[i] != 0) for j in range(b)] for i in range(a)]
     square = np.float32(decay * decay)
     # before[i][j]: weight of subsequences of the last length that end anywhere up to i, j, spans discounted to there
     before = None
@@ -75,12 +74,13 @@ def kernel(s: np.ndarray, t: np.ndarray, decay: float = DECAY) -> np.ndarray:
     return total
 
 
-def common_length(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Longest common subsequence of row i of ``s`` with row i of ``t`` (at most 16 wide), bit-parallel."""
-    v = np.full(len(s), 0xFFFF, np.uint32)
-    used = (t != 0).astype(np.uint32) << np.arange(t.shape[1], dtype=np.uint32)
-    for i in range(s.shape[1]):
-        match = np.where(t == s[:, i : i + 1], used, 0).sum(axis=1, dtype=np.uint32)
+def common_length(s: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Longest common subsequence of each column of ``s`` with a word of at most 16 letters, bit-parallel.
+
+    ``places`` has the bits of a letter's places in that word, by the numbers that ``s`` is written in.
+    """
+    v = np.full(s.shape[1], 0xFFFF, np.uint32)
+    for match in places[s]:
         u = v & match
         v = (v + u) | (v - u)
     return np.bitwise_count(~v & np.uint32(0xFFFF))
@@ -98,7 +98,13 @@ class Scorer:
         self.points = codes(landmarks, self.width) if landmarks else np.zeros((0, 1), np.uint32)
         self.masks = letters(self.points)
         self.sizes = np.array([len(x) for x in landmarks], np.int64)
-        self.own = kernel(self.points, self.points) if landmarks else np.zeros(0, np.float32)
+        self.own = kernel(self.points.T, self.points.T) if landmarks else np.zeros(0, np.float32)
+        # letters of landmarks by number, 0 for any other
+        self.alphabet = np.unique(np.append(self.points, 0)).astype(np.uint32)
+        self.numbers = [np.searchsorted(self.alphabet, p[:n]) for p, n in zip(self.points, self.sizes)]
+        self.places = np.zeros((len(landmarks), len(self.alphabet)), np.uint32)
+        for places, number in zip(self.places, self.numbers):
+            np.bitwise_or.at(places, number, np.uint32(1) << np.arange(len(number), dtype=np.uint32))
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``word, landmark, value`` of the values above 0."""
@@ -118,13 +124,15 @@ class Scorer:
 
     def _near(self, ids: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mask = ~letters(points)
+        at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
+        numbered = np.where(self.alphabet[at] == points, at, 0).T.astype(np.uint16, order="C")
         found: list[tuple] = []
         for j, (own, size) in enumerate(zip(self.masks, self.sizes)):
             i = np.flatnonzero(np.bitwise_count(mask & own) <= 1)
             if len(i):
-                i = i[common_length(points[i], np.broadcast_to(self.points[j], (len(i), self.width))) >= max(3, size - 1)]
+                i = i[common_length(numbered[:, i], self.places[j]) >= max(3, size - 1)]
             if len(i):
-                k = kernel(points[i], np.broadcast_to(self.points[j, :size], (len(i), size)))
+                k = kernel(numbered[:, i], self.numbers[j])
                 found.append((ids[i], np.full(len(i), j), np.minimum(k / self.own[j], 1) ** 4))
         return tuple(np.concatenate([x[k] for x in found]) if found else np.zeros(0, int) for k in range(3))
 
