@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersely.functions import normalize, routing, text
+from tersely.functions import normalize, routing, structured, telegraph, text
 from tersely.functions.rules import CATEGORIES, FOLDED, rules
 from tersely.operators import conversation, logs, stability
 
@@ -306,6 +306,34 @@ def compressed_requests(spark, sf):
     return compress_requests(rows, "prompt").select("doc_id", "level", "profile", F.md5("compressed").alias("text_md5"), "original_tokens", "optimized_tokens")
 
 
+@query("compressed_responses")
+def compressed_responses(spark, sf):
+    """The old assistant turns of the conversations, by a level for each conversation."""
+    from tersely.jobs.compress import compress_responses
+
+    old = conversation.compressible(_table(spark, sf, "conversations")).where("role = 'assistant'")
+    rows = old.withColumn("level", F.when(F.col("conv_id") % 3 == 0, 0.3).when(F.col("conv_id") % 3 == 1, 0.5).otherwise(1.0))
+    return compress_responses(rows).select("conv_id", "turn", "level", F.md5("compressed").alias("text_md5"), "original_tokens", "optimized_tokens")
+
+
+@query("telegraph_sentences")
+def telegraph_sentences(spark, sf):
+    level = F.when(F.col("doc_id") % 2 == 0, 0.5).otherwise(0.9)
+    return prompts(spark, sf).select("doc_id", telegraph.telegraph(F.col("prompt"), level).alias("t")).select("doc_id", F.md5("t").alias("text_md5"), F.octet_length("t").cast("bigint").alias("n_bytes"))
+
+
+_JSON_ROWS = "SELECT user_id, event_id, event_type, props FROM events"
+
+
+@query("compact_json_rows", f"""SELECT user_id, count(*) AS n_rows, md5(concat('event_id,event_type', chr(10), string_agg(concat(event_id, ',', event_type), chr(10) ORDER BY event_id))) AS text_md5
+    FROM ({_JSON_ROWS}) GROUP BY user_id HAVING count(*) > 3""")
+def compact_json_rows(spark, sf):
+    """The events of each user of more than three as one JSON list, rewritten as rows."""
+    row = F.struct("event_id", "event_type")
+    lists = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n_rows"), F.to_json(F.sort_array(F.collect_list(row))).alias("t")).where("n_rows > 3")
+    return lists.select("user_id", "n_rows", structured.compact_json(F.col("t")).alias("t")).select("user_id", "n_rows", F.md5("t").alias("text_md5"))
+
+
 SYSTEM_LEADS = [
     "Be concise. Always include examples. Be very detailed in all. 1. First, **Note:** do so. ",
     "You are a guide. Never include code! Must provide examples. As of today do not guess. ",
