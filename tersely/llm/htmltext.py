@@ -3,7 +3,8 @@
 A tree builder opens and closes elements as the page's tags say and where HTML implies it (a new ``li`` ends the last one,
 a block ends an open paragraph).  A walk over the tree leaves out what is never shown and writes all the rest: a line for
 each block, a blank line around paragraphs, headings, lists and tables, bullets and numbers for list items by depth,
-preformatted text as it stands, and table cells padded to the width of their columns.
+preformatted text as it stands, and table cells padded to the width of their columns.  A cell that spans rows leaves its
+columns empty in the rows below.
 
 Defined results: a null or empty page has empty text; unclosed and stray tags never fail; a nested table is part of its
 cell's text; rows repeat as the input does.
@@ -24,7 +25,10 @@ from tersely.llm.common import table
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template noframes".split())
-HIDDEN = frozenset("head script style noscript template iframe object audio video canvas svg datalist title textarea noframes map".split())
+HIDDEN = frozenset("head script style noscript template iframe object audio video canvas datalist title noframes map".split())
+#: What an svg shows: text, and HTML set into it; nothing below the parts it only refers to.
+WRITTEN = frozenset("text foreignobject".split())
+REFERRED = frozenset("defs desc metadata symbol clippath mask marker pattern".split())
 BLOCK = frozenset("address article aside body blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu dir".split())
 CLOSES_P = BLOCK - frozenset("body caption html legend option tbody td tfoot th thead tr".split())
@@ -39,6 +43,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_NUMBER = re.compile(r"[ \t\n\r\f]*\+?0*([0-9]+)")
 
 
 class Node:
@@ -62,6 +67,27 @@ class Node:
             return False
         return not ("style" in low and _UNSEEN.search(self.get("style") or ""))
 
+    def span(self, name: str, low: int, high: int) -> int:
+        """The number in an attribute, in the bounds that HTML sets it; 1 if there is none."""
+        m = _NUMBER.match(self.get(name) or "") if name in self.attributes.lower() else None
+        n = int(m[1][:9]) if m else 1
+        return min(n, high) if n >= low else 1
+
+    def parts(self) -> list:
+        """The children; of an svg the written parts, each set apart."""
+        if self.tag != "svg":
+            return self.children
+        out, todo = [], list(reversed(self.children))
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str) or x.tag in REFERRED or not x.shown:
+                continue
+            if x.tag in WRITTEN:
+                out += [" ", x, " "]
+            else:
+                todo.extend(reversed(x.children))
+        return out
+
 
 def parse(page: str) -> Node:
     """The page's tree; strings among the children are text."""
@@ -99,7 +125,8 @@ def parse(page: str) -> Node:
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            node.children.append(page[at : end.start() if end else len(page)])
+            raw = page[at : end.start() if end else len(page)]
+            node.children.append(unescape(raw[raw[:1] == "\n" :]) if tag == "textarea" else raw)
             at = end.end() if end else len(page)
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
@@ -119,7 +146,7 @@ def flat(node: Node) -> str:
             if x.tag in BLOCK or x.tag == "br":
                 out.append(" ")
                 todo.append(" ")
-            todo.extend(reversed(x.children))
+            todo.extend(reversed(x.parts()))
     return _SPACE.sub(" ", "".join(out)).strip(" ")
 
 
@@ -127,29 +154,38 @@ def grid(node: Node) -> list[str]:
     """A table's lines, with the cells padded to the width of their columns."""
     rows: list[list[str]] = []
     before: list[str] = []
+    held: dict[int, int] = {}  # rows below that a cell above still takes, by column
+    covered: set[int] = set()  # such columns of the current row
     todo = list(reversed(node.children))
     while todo:
         x = todo.pop()
-        if isinstance(x, str):
+        if x is None:  # a row group ends, and the cells that span rows with it
+            held.clear()
+        elif isinstance(x, str):
             if text := _SPACE.sub(" ", x).strip(" "):
                 before.append(text)
         elif not x.shown:
             continue
         elif x.tag == "tr":
             rows.append([])
-            todo.append(None)  # the row ends
+            covered = set(held)
+            held = {k: n - 1 for k, n in held.items() if n > 1}
             todo.extend(reversed(x.children))
         elif x.tag in ("td", "th"):
             if not rows:
                 rows.append([])
-            span = x.get("colspan") if "colspan" in x.attributes.lower() else None
-            rows[-1] += [flat(x), *[""] * (min(int(span), 100) - 1 if span and span.isdecimal() else 0)]
+            row, wide, high = rows[-1], x.span("colspan", 1, 1000), x.span("rowspan", 0, 65534) or 1 << 60
+            while len(row) in covered:
+                row.append("")
+            if high > 1:
+                held |= dict.fromkeys(range(len(row), len(row) + wide), high - 1)
+            row += [flat(x), *[""] * (wide - 1)]
         elif x.tag in ("thead", "tbody", "tfoot"):
+            held.clear()
+            todo.append(None)
             todo.extend(reversed(x.children))
         elif text := flat(x):
             before.append(text)
-        while todo and todo[-1] is None:
-            todo.pop()
     rows = [r for r in rows if any(r)]
     widths = [max(len(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows), default=0))]
     return before + [" | ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in rows]
@@ -218,7 +254,7 @@ def render(page: str | None) -> str:
                 out.gap = True
             if tag == "li":
                 out.lead = ""
-            pre -= tag == "pre"
+            pre -= tag in ("pre", "textarea")
             continue
         if not x.shown:
             continue
@@ -243,9 +279,9 @@ def render(page: str | None) -> str:
                 out.lead = f"{lists[-1][1]}. " if lists and lists[-1][0] else "- "
                 if lists:
                     lists[-1][1] += 1
-            pre += tag == "pre"
+            pre += tag in ("pre", "textarea")
             todo.append((x, True))
-            todo.extend((c, False) for c in reversed(x.children))
+            todo.extend((c, False) for c in reversed(x.parts()))
     out.end("")
     return "\n".join(out.lines).strip("\n")
 

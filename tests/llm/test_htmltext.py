@@ -12,6 +12,30 @@ def test_table_cells_are_aligned():
     assert render(page) == "Cap\nk        | value\nlong key | 1\nz        | 2 in\n\nafter"
 
 
+def test_hidden_last_cells_do_not_end_the_table():
+    for last in ("<td hidden>b</td>", "<script>b</script>", "<template>b</template>", "<td style='display:none'>b"):
+        assert render(f"<table><tr><td>a</td>{last}</tr></table>after") == "a\n\nafter"
+        assert render(f"<table><tr><td>a</td>{last}</tr><tr><td>c</td><td>d</td></tr></table>") == "a\nc | d"
+    assert render("<table><tr hidden><td>a</td></tr></table>x") == "x"
+
+
+def test_cells_that_span_rows_and_columns():
+    assert render("<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr><tr><td>d</td><td>e</td></tr></table>") == "a | b\n  | c\nd | e"
+    assert render("<table><tr><td>a<td rowspan='2' colspan=2>b<td>c<tr><td>d<td>e</table>") == "a | b |  | c\nd |   |  | e"
+    # 0 spans the rest of its row group, and no span leaves it
+    assert render("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</tbody><tbody><tr><td>e<td>f</tbody></table>") == "a | b\n  | c\n  | d\ne | f"
+    assert render("<table><tr><td colspan=150>a<td>z</table>").count("|") == 150
+    assert render("<table><tr><td colspan=x rowspan=-1>a<td colspan=0>b<tr><td>c<td>d</table>") == "a | b\nc | d"
+    assert render(f"<table><tr><td rowspan={'9' * 5000}>a<td>b<tr><td>c</table>") == "a | b\n  | c"
+
+
+def test_text_of_textareas_and_drawings_is_shown():
+    assert render("a <textarea rows=2>\nx &amp; <b>y\n  z</textarea> b") == "a x & <b>y\n  z b"
+    assert render("<table><tr><td><textarea>x\ny</textarea><td>b</table>") == "x y | b"
+    page = "a<svg><title>t</title><desc>no</desc><defs><text>no</text></defs>no<g><text x=1>one <tspan>two</tspan></text><text>three</text><text hidden>no</text></g></svg>b"
+    assert render(page) == "a one two three b"
+
+
 def test_preformatted_text_and_odd_input():
     assert render("a<pre>x\n  y\n\nz</pre>b") == "a\n\nx\n  y\n\nz\n\nb"
     assert render(None) == render("") == render("<p></p></div></x>") == ""
