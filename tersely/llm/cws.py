@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from tersely.llm.common import cut, partitions, table
 
-SAMPLES = 16
+#: A likeness is off by sqrt(p (1 - p) / SAMPLES) on average, 0.044 at most.
+SAMPLES = 128
 
 
 def value(term: Column, log_weight: Column, k: int) -> Column:

@@ -46,6 +46,23 @@ def test_fingerprint_likeness_is_generalised_jaccard(spark):
     assert sigs[30] == sigs[31] and sigs[32] == sigs[33]
 
 
+def test_default_fingerprints_tell_near_copies_from_unlike_texts(spark):
+    rng = random.Random(11)
+    pairs = []
+    for k in range(120):
+        words = [f"w{k}_{i}" for i in range(200)]
+        changed = rng.choice([10, 16, 50])  # of 200 words: generalised Jaccard 0.90, 0.85 and 0.60
+        pairs.append((words, words[changed:] + [f"v{k}_{i}" for i in range(changed)]))
+    df = spark.createDataFrame([(2 * k + s, " ".join(p[s])) for k, p in enumerate(pairs) for s in (0, 1)], "doc_id long, text string")
+    sigs = {r.doc_id: r.sig for r in cws.signatures(df, ["doc_id"]).collect()}
+    errors = []
+    for k, (a, b) in enumerate(pairs):
+        x, y = set(a), set(b)
+        errors.append(sum(p == q for p, q in zip(sigs[2 * k], sigs[2 * k + 1])) / len(sigs[2 * k]) - len(x & y) / len(x | y))
+    assert all(len(s) == cws.SAMPLES for s in sigs.values())
+    assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.05 and max(map(abs, errors)) < 0.18
+
+
 def test_next_texts(spark):
     texts = [None, "", "abc", "é" * 9, "abc"] + [f"t{i}" * i for i in range(40)]
     df = spark.createDataFrame([(i * 7 - 3, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
