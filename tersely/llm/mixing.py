@@ -6,7 +6,9 @@ token budget, and a document stays if a number made from its id's digest lies un
 
 Defined results: a null source, language or topic is a category of its own (``<none>``); a document without tokens has no
 weight to give and keeps its cell's probability; a category with no target keeps weight 0 and its documents go;
-probabilities over 1 are cut to 1; repeated rows are weighed and drawn alike; an empty table gives an empty result.
+repeated rows are weighed and drawn alike; an empty table gives an empty result.  A cell that holds too few tokens for its
+share is to be copied ``_copies`` > 1 times: the stage gives each of its documents whole copies and a chance of one more, so
+margins and budget hold; the query's SQL has one row a document and cuts its probability to 1.
 """
 
 from __future__ import annotations
@@ -78,12 +80,13 @@ def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
 
 
 def drawn(rows: DataFrame, targets: dict[str, DataFrame] | None = None, margins: tuple[str, ...] = MARGINS, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
-    """``weighed`` rows with ``_p``; they are read twice."""
+    """``weighed`` rows with ``_copies``, the expected number in the draw, and ``_p``, the same up to 1; they are read twice."""
     cells = cut(rows.groupBy(*[F.col(f"_{m}").alias(m) for m in margins]).agg(F.sum("_n_tokens").cast("double").alias("w")))
     targets = {m: (targets or {}).get(m, tempered(cells, m)) for m in margins}
     x = rake(cells, targets, rounds)
     scale = F.lit(budget) * F.sum("w").over(Window.partitionBy())
-    factors = x.select(*[F.col(m).alias(f"_{m}") for m in margins], F.when(F.col("w") > 0, F.round(F.least(F.lit(1.0), F.col("x") * scale / F.col("w")), 6)).otherwise(0.0).alias("_p"))
+    factors = x.select(*[F.col(m).alias(f"_{m}") for m in margins], F.when(F.col("w") > 0, F.col("x") * scale / F.col("w")).otherwise(0.0).alias("_copies"))
+    factors = factors.withColumn("_p", F.round(F.least(F.lit(1.0), "_copies"), 6))
     return rows.join(cut(factors), [f"_{m}" for m in margins])
 
 
@@ -115,5 +118,7 @@ def mixing_sql(documents: str = "documents") -> str:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the draw takes."""
-    return probabilities(docs).where(chance("doc_id") < F.col("_p")).select(*docs.columns)
+    """The documents that the draw takes, each as often as it takes them."""
+    whole = F.floor("_copies")
+    times = (whole + (chance("doc_id") < F.col("_copies") - whole).cast("int")).cast("int")
+    return probabilities(docs).withColumn("_times", times).where("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

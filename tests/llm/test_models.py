@@ -111,6 +111,24 @@ def test_raked_weights_match_every_margin(spark):
     assert mixing.probabilities(docs.limit(0)).count() == 0
 
 
+def test_drawn_mix_meets_targets_and_budget(spark):
+    rng = random.Random(9)
+    # two thin sources and a rare topic that are to be copied
+    rows = [(i, " ".join(["w"] * rng.randrange(20, 50)) + (" ?" if i % 40 == 0 else ""), "s1" if i % 50 == 0 else "s2" if i % 31 == 0 else "s0", rng.choice(["en", "de"])) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    p = mixing.probabilities(docs).cache()
+    total, most = p.agg(F.sum("_n_tokens"), F.max("_copies")).first()
+    assert most > 1.5
+    cells = p.groupBy(*[F.col(f"_{m}").alias(m) for m in mixing.MARGINS]).agg(F.sum("_n_tokens").cast("double").alias("w"))
+    kept = mixing.weighed(mixing.mixing_stage(spark, docs, ""))
+    for tokens, near in ((p.withColumn("t", F.col("_copies") * F.col("_n_tokens")), 0.002), (kept.withColumn("t", F.col("_n_tokens").cast("double")), 0.02)):
+        n = tokens.agg(F.sum("t")).first()[0]
+        assert abs(n / total - mixing.BUDGET) < near
+        for m in mixing.MARGINS:
+            got = {r[0]: r[1] / n for r in tokens.groupBy(f"_{m}").agg(F.sum("t")).collect()}
+            assert all(abs(got[r[m]] - r.target) < near for r in mixing.tempered(cells, m).collect())
+
+
 def slow_kernel(s, t, decay=toxicity.DECAY):
     total = 0.0
     for i in itertools.combinations(range(len(s)), 3):
