@@ -37,9 +37,9 @@ def topic(text: Column) -> Column:
     return out
 
 
-def chance(id_col: str) -> Column:
+def chance(id_col: str | Column) -> Column:
     """A number in [0, 1) made from the id's digest."""
-    return F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def tempered(cells: DataFrame, margin: str, power: float = POWER) -> DataFrame:
@@ -120,5 +120,7 @@ def mixing_sql(documents: str = "documents") -> str:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the draw takes, each as often as it takes them."""
     whole = F.floor("_copies")
-    times = (whole + (chance("doc_id") < F.col("_copies") - whole).cast("int")).cast("int")
+    # a row without an id is drawn by its text
+    drawn_by = F.coalesce(chance("doc_id"), chance(F.coalesce("text", F.lit(""))))
+    times = (whole + (drawn_by < F.col("_copies") - whole).cast("int")).cast("int")
     return probabilities(docs).withColumn("_times", times).where("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -130,7 +130,10 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each component."""
-    found = near_duplicates(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """Keep one row of each component: the one with the smallest doc_id, null ids last; of equal ids any single one."""
+    # the rows' own numbers are written once, with the rows
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    keep = found.groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)

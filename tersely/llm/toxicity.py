@@ -265,15 +265,25 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model | None:
     return Model(marks, half, w, b, slope, shift)
 
 
+def _score(texts: pa.Array, model: Model | None, scorer: Scorer | None) -> np.ndarray:
+    out = np.zeros(len(texts))
+    if scorer:
+        for a, b in _chunks(texts):
+            margin = describe(texts[a:b], scorer) @ model.half @ model.weights + model.bias
+            out[a:b] = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -50, 50)))
+    return out
+
+
 def _scores(batches: Iterable[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     scorer = model and Scorer(model.landmarks)
     for batch in batches:
-        texts, out = batch.column(1), np.zeros(batch.num_rows)
-        if scorer:
-            for a, b in _chunks(texts):
-                margin = describe(texts[a:b], scorer) @ model.half @ model.weights + model.bias
-                out[a:b] = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -50, 50)))
-        yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(out)})
+        yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(_score(batch.column(1), model, scorer))})
+
+
+def _accepted(batches: Iterable[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
+    scorer = model and Scorer(model.landmarks)
+    for batch in batches:
+        yield batch.filter(pa.array(_score(batch.column("text"), model, scorer) < 0.5))
 
 
 def toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,6 +307,6 @@ def op9_toxicity_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the model rejects."""
-    rejected = toxicity(docs, trained(spark, sf_dir)).where("score >= 0.5").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    """Drop the rows that the model rejects, each by its own text."""
+    model = trained(spark, sf_dir)
+    return docs.mapInArrow(lambda b: _accepted(b, model), docs.schema)
