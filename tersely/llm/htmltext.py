@@ -6,13 +6,18 @@ each block, a blank line around paragraphs, headings, lists and tables, bullets
 preformatted text as it stands, and table cells padded to the width of their columns.  A cell that spans rows leaves its
 columns empty in the rows below.
 
-Defined results: a null or empty page has empty text; unclosed and stray tags never fail; a nested table is part of its
-cell's text; rows repeat as the input does.
+A page is read in time that grows with its length, however its tags are nested or broken.
+
+Defined results: a null or empty page has empty text; unclosed and stray tags never fail; a tag without any ``>`` after it ends the
+page, and after one whose quotes never close all tags end at their next ``>``; numbers of characters that don't exist give
+U+FFFD; a nested table is part of its cell's text, and so is a list, with a dash before each item; lists deeper than ``DEEP`` are
+indented as that one, and columns wider than ``WIDE`` are padded to that; rows repeat as the input does.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -39,13 +44,23 @@ ENDS = {
     "thead": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)), "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)), "tfoot": (("thead", "tbody", "tr", "td", "th"), ("table",)),
     "body": (("head",), ("html",)),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Levels of lists that are indented, and characters that a table's column is padded to, at most.
+DEEP, WIDE = 32, 200
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_LETTER = re.compile(r"/?[a-zA-Z]")
+_ZEROS, _FAR = re.compile(r"&#0++(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NUMBER = re.compile(r"[ \t\n\r\f]*\+?0*([0-9]+)")
 
 
+def decoded(text: str) -> str:
+    """``text`` with its references to characters replaced; numbers too long for any are cut short first."""
+    return unescape(_FAR.sub("\ufffd", _ZEROS.sub("&#", text)) if "&#" in text else text)
+
+
 class Node:
     __slots__ = ("tag", "attributes", "children")
 
@@ -55,7 +70,7 @@ class Node:
     def get(self, name: str) -> str | None:
         for m in _ATTRIBUTE.finditer(self.attributes):
             if m[1].lower() == name:
-                return unescape(m[2] or m[3] or m[4] or "")
+                return decoded(m[2] or m[3] or m[4] or "")
         return None
 
     @property
@@ -89,50 +104,105 @@ class Node:
         return out
 
 
+def tokens(page: str) -> Iterator[tuple[str, re.Match | None]]:
+    """The page's text and tags in order: ``(text, tag after it)``; the receiver may send where to go on."""
+    at, begin, pattern = 0, 0, _TAG
+    while (low := page.find("<", at)) >= 0:
+        if page.startswith("<!--", low):
+            end = page.find("-->", low + 4)
+            stop = len(page) if end < 0 else end + 3
+            m = None
+        elif page.startswith(("<!", "<?"), low):
+            end = page.find(">", low)
+            stop = len(page) if end < 0 else end + 1
+            m = None
+        elif not _LETTER.match(page, low + 1):
+            at = low + 1
+            continue
+        else:
+            m = pattern.match(page, low)
+            if m is None and pattern is _TAG:
+                pattern = _BARE
+                m = pattern.match(page, low)
+            stop = m.end() if m else len(page)
+        at = (yield page[begin:low], m) or stop
+        begin = at
+    yield page[begin:], None
+
+
+class Tree:
+    """The open elements, with their places by tag."""
+
+    def __init__(self):
+        self.root = Node("#root")
+        self.open, self.places = [self.root], {}
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags; 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def first(self, tags: Iterable[str], above: int) -> int:
+        """Place of the outermost open element of these tags within the one at ``above``; 0 if there is none."""
+        found = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, above)) < len(p)]
+        return min(found, default=0)
+
+    def close(self, place: int) -> None:
+        for node in reversed(self.open[place:]):
+            self.places[node.tag].pop()
+        del self.open[place:]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def add(self, child: Node | str) -> None:
+        self.open[-1].children.append(child)
+
+
+CELLS = ("td", "th", "table")
+
+
 def parse(page: str) -> Node:
     """The page's tree; strings among the children are text."""
-    root = Node("#root")
-    stack, at = [root], 0
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            stack[-1].children.append(unescape(page[at : m.start()]))
-        at = m.end()
-        if not m[2]:
+    tree = Tree()
+    stream = tokens(page)
+    go_on = None
+    while True:
+        try:
+            text, m = stream.send(go_on)
+        except StopIteration:
+            return tree.root
+        go_on = None
+        if text:
+            tree.add(decoded(text))
+        if not m:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and all(n.tag != "p" for n in stack):
-                stack[-1].children.append(Node("p"))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("td", "th", "table") and tag not in BLOCK:
-                    break  # an inline end tag doesn't reach out of its cell
+            if tag == "p" and not tree.places.get("p"):
+                tree.add(Node("p"))
+            place = tree.last((tag,))
+            # an inline end tag doesn't reach out of its cell
+            if place and (tag in BLOCK or place >= tree.last(CELLS)):
+                tree.close(place)
             continue
         closes, within = ENDS.get(tag, ((), ()))
         if tag in CLOSES_P:
             closes, within = (*closes, "p"), within or ("td", "th", "table", "li", "button")
-        if closes:
-            low = len(stack)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closes:
-                    low = k
-                elif stack[k].tag in within:
-                    break
-            del stack[low:]
+        if closes and (place := tree.first(closes, tree.last(set(within) - set(closes)))):
+            tree.close(place)
         node = Node(tag, m[3])
-        stack[-1].children.append(node)
+        tree.add(node)
+        at = m.end()
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
             raw = page[at : end.start() if end else len(page)]
-            node.children.append(unescape(raw[raw[:1] == "\n" :]) if tag == "textarea" else raw)
-            at = end.end() if end else len(page)
+            node.children.append(decoded(raw[raw[:1] == "\n" :]) if tag == "textarea" else raw)
+            go_on = end.end() if end else len(page)
         elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-    if at < len(page):
-        stack[-1].children.append(unescape(page[at:]))
-    return root
+            tree.push(node)
+            if tag == "pre" and page.startswith(("\n", "\r\n"), at):
+                go_on = at + (1 if page[at] == "\n" else 2)
 
 
 def flat(node: Node) -> str:
@@ -144,7 +214,7 @@ def flat(node: Node) -> str:
             out.append(x)
         elif x is node or x.shown:
             if x.tag in BLOCK or x.tag == "br":
-                out.append(" ")
+                out.append(" - " if x.tag == "li" else " ")
                 todo.append(" ")
             todo.extend(reversed(x.parts()))
     return _SPACE.sub(" ", "".join(out)).strip(" ")
@@ -187,7 +257,10 @@ def grid(node: Node) -> list[str]:
         elif text := flat(x):
             before.append(text)
     rows = [r for r in rows if any(r)]
-    widths = [max(len(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows), default=0))]
+    widths = [0] * max(map(len, rows), default=0)
+    for r in rows:
+        for k, c in enumerate(r):
+            widths[k] = max(widths[k], min(len(c), WIDE))
     return before + [" | ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in rows]
 
 
@@ -232,7 +305,7 @@ def render(page: str | None) -> str:
     todo: list = [(parse(page or ""), False)]
     while todo:
         x, leaving = todo.pop()
-        indent = "  " * max(len(lists) - 1, 0)
+        indent = "  " * min(max(len(lists) - 1, 0), DEEP)
         if isinstance(x, str):
             if pre:
                 head, *rest = x.split("\n")
