@@ -6,7 +6,7 @@ import pyarrow.compute as pc
 import pytest
 
 from tersely.llm import repeats
-from tersely.llm.repeats import maximal_repeats, spans, suffix_array, without_repeats
+from tersely.llm.repeats import maximal_repeats, op5_suffix_repeats, spans, suffix_array, tagged, with_tag, without_repeats
 
 
 def slow(rows, span=50):
@@ -52,16 +52,16 @@ def test_spans_match_brute_force(spark, monkeypatch, hot, chunk):
     if hot == 3:  # workers import the module anew: run the steps here
         got = local(rows)
     else:
-        got = {r.doc_id: r.spans for r in spans(docs).collect()}
+        got = {r.doc_id: r.spans for r in spans(tagged(with_tag(docs, "tag"), "tag")).collect()}
     want = slow(rows)
     for doc, text in rows:
-        kept, n, k = repeats._kept((text or "").encode(), got.get(doc))
+        kept, n, k = repeats._kept((text or "").encode(), got.get(doc), 0)
         assert (n, k, kept) == (want[doc][0], want[doc][1], want[doc][2]), (doc, text)
 
 
 def local(rows):
     """The same steps without Spark, in one task each."""
-    texts = pa.record_batch({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "raw": pa.array([(t or "").encode() for _, t in rows], pa.binary())})
+    texts = pa.record_batch({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "raw": pa.array([(t or "").encode() for _, t in rows], pa.binary()), "tag": pa.array([0] * len(rows), pa.int32())})
     entries = pa.Table.from_batches(repeats._entries([texts], 4)).sort_by("part").to_batches()
     together = lambda t: dict(zip(*pa.Table.from_batches(list(repeats._gathered(t.sort_by("part").to_batches()))).to_pydict().values()))
     marks = pa.Table.from_batches(repeats._matched(entries, 4))
@@ -92,3 +92,24 @@ def test_texts_are_cut(spark):
     got = {r["_x"]: r.text for r in without_repeats(docs).collect()}
     assert got == {"a": passage, "b": "éü", "c": passage, "d": None}
     assert without_repeats(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_are_cut_by_their_own_text(spark):
+    passage, clean = "0123456789" * 8, "the quick brown fox jumps over the lazy dog and then it sleeps in the shade of a tree for a long, long while."
+    rows = [(1, passage), (2, "lead " + passage + " tail"), (2, clean), (2, clean), (3, clean + "!"), (None, passage)]
+    docs = spark.createDataFrame([(*r, k, "s") for k, r in enumerate(rows)], "doc_id long, text string, _id int, _spans string")
+    got = {r["_id"]: r.text for r in without_repeats(docs).collect()}
+    assert got == {0: passage, 1: "lead  tail", 2: clean, 3: clean, 4: "!", 5: passage}
+    stage = repeats.repeats_stage(spark, docs, "")
+    assert stage.columns == docs.columns and {r["_id"]: r.text for r in stage.collect()} == got
+
+
+def test_query_matches_brute_force_on_a_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = slow(rows)
+    got = op5_suffix_repeats(spark, sf)
+    assert got.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    for r in got.collect():
+        removed, runs, kept = want[r.doc_id]
+        assert (r.n_removed, r.n_spans, r.kept_sha256) == (removed, runs, hashlib.sha256(kept).hexdigest())
