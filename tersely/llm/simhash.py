@@ -7,8 +7,8 @@ every other pair of tiles is skipped without loss.  Equal fingerprints are one r
 a spanning forest of its links, so a group of copies never becomes all its pairs.
 
 Defined results: a null or empty text, or one of white space only, has fingerprint zero and links like any other; a
-text with one or two words hashes its whole word sequence once; repeated rows keep one result row each; an empty table
-gives an empty result.
+text with one or two words hashes its whole word sequence once; repeated rows keep one result row each; null ids are larger than
+all others, so a component of null ids only has a null component_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersely.llm.common import cut, partitions, raw, table, whole_groups
+from tersely.llm.common import cut, fresh, partitions, raw, table, whole_groups
 from tersely.llm.components import components
 
 RADIUS = 2
@@ -118,9 +118,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = cut(fingerprints(docs, id_col, text_col))
     heads = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("head")))
     found = links(heads.select("fp"), radius)
-    named = found.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("u")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("v")), "b")
-    roots = components(named.select("u", "v"))
-    classes = cut(heads.join(roots, heads["head"] == roots["node"], "left").select("fp", F.coalesce("root", "head").alias("component_id")))
+    # links are followed between fingerprints, so a row without an id still joins those on either side of it
+    roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    members = heads.join(roots, heads["fp"] == roots["node"], "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+    classes = cut(members.join(members.groupBy("root").agg(F.min("head").alias("component_id")), "root").select("fp", "component_id"))
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -130,10 +131,14 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each component: the one with the smallest doc_id, null ids last; of equal ids any single one."""
-    # the rows' own numbers are written once, with the rows
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    keep = found.groupBy("component_id").agg(first.alias("first")).select("first._row")
-    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
+    """Keep one row of each component: the one with the smallest doc_id, null ids last; of equal ids any single one.
+
+    Rows are told apart by a number of their own, so rows with a null or a repeated id are judged one by one; the columns
+    stay as they are, whatever their names; an empty table gives an empty one.
+    """
+    (row,) = fresh(docs, "_row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))  # the numbers are written once, with the rows
+    found = near_duplicates(rows, row).select(F.col("doc_id").alias("r"), "component_id").join(rows.select(F.col(row).alias("r"), F.col("doc_id").cast("long").alias("id")), "r")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r"))
+    keep = found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.r").alias(row))
+    return rows.join(keep, row, "left_semi").select(*docs.columns)
