@@ -1,12 +1,12 @@
 """Approximate nearest neighbours by an adaptive dimension scan over inverted lists.
 
-Vectors are turned by one random rotation and dealt to the list of their nearest centroid.  A query visits its nearest
-lists; there it reads the rotated vectors in blocks of columns, and after each block a hypothesis test on the partial distance
-abandons the candidates that can hardly come under the query's tenth best so far.  What survives is measured on
-the original vectors in double precision.
+Vectors are turned by one random rotation and dealt to the list of their nearest centroid.  A query first searches its own
+list, and takes the distance of its k-th best there along to the other lists it visits.  Lists are read in blocks of
+columns, and after each block a hypothesis test on the partial distance abandons the candidates that can hardly come under the
+query's k-th best so far.  What survives is measured on the original vectors in double precision.
 
 Centroids are fitted on a bounded sample; every vector is indexed.  A long list is dealt over tiles by a hash of the id, so a
-vector that very many rows share does not fill one task.
+vector that very many rows share does not fill one task, and the queries of a list that many visit are dealt over copies of it.
 
 Defined results: vectors that are null, all zero, hold null or non-finite components, or have not the table's most frequent
 length take no part; rows that repeat an id are candidates of their own, but not of a query with that id; ties go to the
@@ -25,19 +25,19 @@ from pyspark.sql import functions as F
 
 from tersely.llm.common import cut, partitions, table, whole_groups
 
-#: Rows of a list on average, lists at most, sampled rows for each list, share of the lists that a query visits, rows of a tile.
-#: The share suits vectors without clusters, the hardest case; clustered ones need far less for the same recall.
-LIST, LISTS, SAMPLE, PROBES, TILE = 1000, 4096, 64, 0.7, 8192
-#: Columns of a block, rows of a step, and the strictness of the test: the higher, the fewer wrong rejections.
-BLOCK, STEP, EPSILON = 16, 1024, 2.5
+#: Rows of a list on average, lists at most, sampled rows for each list, share of the lists that a query visits, rows of a tile,
+#: queries of a tile.  The share suits vectors without clusters, the hardest case; clustered ones need far less for the same recall.
+LIST, LISTS, SAMPLE, PROBES, TILE, ASKING = 1000, 4096, 32, 0.7, 8192, 4096
+#: Columns of a block, rows of the first and the largest step, queries that are read together, and the strictness of the
+#: test: the higher, the fewer wrong rejections.
+BLOCK, FIRST, STEP, TOGETHER, EPSILON = 16, 16, 1024, 256, 2.5
 
 
 @dataclass
 class Index:
     rotation: np.ndarray
     centroids: np.ndarray  # of rotated vectors
-    counts: np.ndarray
-    tiles: np.ndarray
+    counts: np.ndarray  # rows of each list
 
 
 def usable(vector: Column, size: int) -> Column:
@@ -94,7 +94,7 @@ def build(rows: DataFrame, size: int, total: int, list_rows: int = LIST) -> tupl
     """Rotation and centroids, from a sample of at most about ``SAMPLE * LISTS`` rows chosen by a hash of their id."""
     k = max(1, min(LISTS, -(-total // list_rows)))
     part = min(1.0, max(SAMPLE * k, 2000) / max(total, 1))
-    some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < F.lit(int(part * 1_000_003) + 1)).orderBy("vec_id", "v").select("v").limit(2 * SAMPLE * LISTS).collect()
+    some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < F.lit(int(part * 1_000_003) + 1)).orderBy("vec_id", "v").select("v").limit(SAMPLE * LISTS).collect()
     rotation = np.linalg.qr(np.random.default_rng(11).standard_normal((size, size)))[0]
     x = np.unique(np.array([np.frombuffer(r["v"], np.float64) for r in some]).reshape(-1, size), axis=0) @ rotation
     return rotation, _means(x, min(k, len(x))) if len(x) else np.zeros((1, size))
@@ -107,66 +107,103 @@ def _assign(batches: Iterable[pa.RecordBatch], rotation: np.ndarray, centroids:
             yield pa.record_batch({"vec_id": batch.column(0), "v": batch.column(1), "list": pa.array(near.astype(np.int32))})
 
 
+VISIT = "vec_id long, v binary, top double, list int, nth int"
+
+
+def _counts(df: DataFrame, lists: int) -> np.ndarray:
+    """Rows of each list; at most ``LISTS`` numbers."""
+    out = np.zeros(lists, np.int64)
+    for r in df.groupBy("list").count().collect():
+        out[r["list"]] = r["count"]
+    return out
+
+
 def _route(batches: Iterable[pa.RecordBatch], index: Index, probes: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Each query once for each tile of the lists it visits: ``probes`` lists, and more until they hold ``least`` rows."""
+    """Each query (``vec_id, v, top``) once for each of its nearest lists: ``probes``, and more until they hold ``least`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
         x = _matrix(batch.column(1), len(index.rotation)) @ index.rotation
         order = np.argsort((index.centroids**2).sum(axis=1) - 2 * x @ index.centroids.T, axis=1, kind="stable")
-        held = np.cumsum(index.counts[order], axis=1)
-        row, lists, tiles = [], [], []
-        for i in range(len(x)):
-            n = min(len(order[i]), max(probes, int(np.searchsorted(held[i], least)) + 1))
-            for j in order[i, :n].tolist():
-                for t in range(index.tiles[j]):
-                    row.append(i)
-                    lists.append(j)
-                    tiles.append(t)
-        yield pa.record_batch({"vec_id": batch.column(0).take(pa.array(row, pa.int64())), "v": batch.column(1).take(pa.array(row, pa.int64())), "list": pa.array(lists, pa.int32()), "tile": pa.array(tiles, pa.int32())})
-
-
-def scan(query: np.ndarray, turned: np.ndarray, rows: np.ndarray, k: int, block: int = BLOCK, epsilon: float = EPSILON) -> np.ndarray:
-    """Rows of ``turned`` (indices from ``rows``) that survive the tests against the query's k-th best distance so far."""
-    size = len(query)
-    best = np.zeros(0)
-    kept = []
-    for a in range(0, len(rows), STEP):
-        some = rows[a : a + STEP]
-        if len(best) < k:
-            distance = ((turned[some] - query) ** 2).sum(axis=1)
-        else:
-            limit = best[-1]
-            distance = np.zeros(len(some))
-            for c in range(0, size, block):
-                d = min(c + block, size)
-                distance = distance + ((turned[some, c:d] - query[c:d]) ** 2).sum(axis=1)
-                # scaled to all columns, a true neighbour's partial distance hardly exceeds the limit by more than this
-                bound = limit * (1 + epsilon / np.sqrt(d)) ** 2 * d / size if d < size else limit * (1 + 1e-9)
-                stay = distance <= bound
-                some, distance = some[stay], distance[stay]
-                if not len(some):
-                    break
-        kept.append(some)
-        best = np.sort(np.concatenate((best, distance)))[:k]
-    return np.concatenate(kept) if kept else rows[:0]
+        n = np.maximum(probes, (np.cumsum(index.counts[order], axis=1) < least).sum(axis=1) + 1).clip(max=order.shape[1])
+        row = np.repeat(np.arange(len(x)), n)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = pa.array(row)
+        yield pa.record_batch({"vec_id": batch.column(0).take(at), "v": batch.column(1).take(at), "top": batch.column(2).take(at), "list": pa.array(order[row, nth].astype(np.int32)), "nth": pa.array(nth.astype(np.int32))})
+
+
+@dataclass
+class Tile:
+    """Rows of a list, turned, as blocks of columns with their squared lengths."""
+
+    ids: np.ndarray
+    blocks: list[np.ndarray]
+    norms: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, turned: np.ndarray, block: int = BLOCK) -> Tile:
+        blocks = [np.ascontiguousarray(turned[:, c : c + block]) for c in range(0, turned.shape[1], block)]
+        return cls(ids, blocks, (blocks[0] ** 2).sum(axis=1))
+
+
+def scan(ids: np.ndarray, turned: np.ndarray, top: np.ndarray, tile: Tile, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (query, row) that may be among a query's ``k`` nearest, and how many (row, block) products were worked out.
+
+    ``top``: squared distances that are known to be reached by ``k`` others.  Rows are read in growing steps, so the first ones soon
+    give a query without such a distance its own.
+    """
+    block, size, n = tile.blocks[0].shape[1], turned.shape[1], len(tile.ids)
+    asked = [np.ascontiguousarray(turned[:, c : c + block]) for c in range(0, size, block)]
+    norm = (asked[0] ** 2).sum(axis=1)
+    limit, work, a, step = top.astype(np.float64), 0, 0, FIRST
+    query, row, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    # scaled to all columns, a true neighbour's partial distance hardly exceeds the limit by more than this
+    bound = lambda limit, d: limit * ((1 + epsilon / np.sqrt(d)) ** 2 * d / size if d < size else 1 + 1e-9)
+    while a < n:
+        b = min(a + step, n)
+        part = tile.norms[a:b, None] - 2 * tile.blocks[0][a:b] @ asked[0].T + norm
+        work += part.size
+        r, q = np.nonzero((part <= bound(limit, min(block, size)) + 1e-9 * norm) & (tile.ids[a:b, None] != ids))
+        r += a
+        d = ((tile.blocks[0][r] - asked[0][q]) ** 2).sum(axis=1)
+        for c in range(1, len(asked)):
+            d = d + ((tile.blocks[c][r] - asked[c][q]) ** 2).sum(axis=1)
+            work += len(r)
+            stay = d <= bound(limit[q], min((c + 1) * block, size))
+            r, q, d = r[stay], q[stay], d[stay]
+        query, row, far = np.concatenate((query, q)), np.concatenate((row, r)), np.concatenate((far, d))
+        order = np.lexsort((far, query))
+        query, row, far = query[order], row[order], far[order]
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
+        full = nth == k - 1
+        limit[query[full]] = np.minimum(limit[query[full]], far[full])
+        stay = far <= limit[query] * (1 + 1e-9)  # those as far as the k-th stay for the exact pass
+        query, row, far = query[stay], row[stay], far[stay]
+        a, step = b, min(2 * step, STEP)
+    return query, row, work
 
 
 def _search(batches: Iterable[pa.RecordBatch], rotation: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     size = len(rotation)
     for frame in whole_groups(batches, "place", at_least=TILE):
-        place, ids, asks, packed = (frame[c].to_numpy() for c in ("place", "vec_id", "asks", "v"))
+        place, ids, asks, packed, top = (frame[c].to_numpy() for c in ("place", "vec_id", "asks", "v", "top"))
         edges = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)]))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a, b in zip(edges[:-1], edges[1:]):
             x = np.frombuffer(b"".join(packed[a:b]), np.float64).reshape(-1, size)
-            turned, own, ask = x @ rotation, ids[a:b], asks[a:b]
-            rows = np.flatnonzero(~ask)
-            for q in np.flatnonzero(ask).tolist():
-                near = scan(turned[q], turned, rows[own[rows] != own[q]], k)
-                score = np.sqrt(((x[near] - x[q]) ** 2).sum(axis=1))
-                first = np.lexsort((own[near], score))[:k]
-                out.append((np.full(len(first), own[q]), own[near[first]], score[first]))
+            own, ask = ids[a:b], asks[a:b]
+            if ask.all() or not ask.any():
+                continue
+            held, some = x[~ask], x[ask]
+            tile, turned, who, far = Tile.of(own[~ask], held @ rotation), some @ rotation, own[ask], top[a:b][ask] ** 2
+            for c in range(0, len(who), TOGETHER):
+                part = slice(c, c + TOGETHER)
+                q, r, _ = scan(who[part], turned[part], far[part] * (1 + 1e-9), tile, k)
+                score = np.sqrt(((held[r] - some[part][q]) ** 2).sum(axis=1))
+                order = np.lexsort((tile.ids[r], score, q))
+                q, r, score = q[order], r[order], score[order]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                out.append((who[part][q[best]], tile.ids[r[best]], score[best]))
         if out:
             query, vec, score = (np.concatenate(c) for c in zip(*out))
             yield pa.record_batch({"query_id": pa.array(query), "vec_id": pa.array(vec), "score": pa.array(score)})
@@ -178,18 +215,33 @@ def neighbours(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     rows = cut(rows)
     rotation, centroids = build(rows, size, rows.count(), list_rows)
     dealt = cut(rows.mapInArrow(lambda b: _assign(b, rotation, centroids), "vec_id long, v binary, list int"))
-    counts = np.zeros(len(centroids), np.int64)
-    for r in dealt.groupBy("list").count().collect():  # one row a list, LISTS at most
-        counts[r["list"]] = r["count"]
-    index = Index(rotation, centroids, counts, np.maximum(-(-counts // TILE), 1))
-    tiles = F.array(*[F.lit(int(t)) for t in index.tiles])
-    homes = dealt.select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), F.get(tiles, F.col("list"))).cast("int").alias("tile"), F.lit(False).alias("asks"))
-    asking = rows.where(queries)
-    visits = asking.mapInArrow(lambda b: _route(b, index, max(20, int(np.ceil(probes * len(centroids)))), 20 * k), "vec_id long, v binary, list int, tile int").withColumn("asks", F.lit(True))
-    met = homes.unionByName(visits).withColumn("place", F.col("list").cast("long") * (1 << 31) + F.col("tile")).drop("list", "tile")
-    found = met.repartition(partitions(df), "place").sortWithinPartitions("place").mapInArrow(lambda b: _search(b, rotation, k), "query_id long, vec_id long, score double")
+    index = Index(rotation, centroids, _counts(dealt, len(centroids)))
+    tiles = np.maximum(-(-index.counts // TILE), 1)
+    numbers = lambda xs: F.array(*[F.lit(int(x)) for x in xs])
+    nth_of = lambda xs: F.get(numbers(xs), F.col("list"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def search(visits: DataFrame) -> DataFrame:
+        """The ``k`` best of each query in the lists that it visits, with their ``rank``."""
+        copies = np.maximum(-(-_counts(visits, len(centroids)) // ASKING), 1)
+        part = lambda xs: F.pmod(F.xxhash64("vec_id"), nth_of(xs)).cast("int")
+        every = lambda xs: F.explode(F.sequence(F.lit(0), nth_of(xs).cast("int") - 1))
+        homes = dealt.select("vec_id", "v", "list", F.lit(0.0).alias("top"), part(tiles).alias("tile"), every(copies).alias("copy"), F.lit(False).alias("asks"))
+        asking = visits.select("vec_id", "v", "list", "top", part(copies).alias("copy"), every(tiles).alias("tile"), F.lit(True).alias("asks"))
+        place = (F.col("list").cast("long") * (1 << 25) + F.col("tile")) * (1 << 25) + F.col("copy")
+        met = homes.unionByName(asking).withColumn("place", place).drop("list", "tile", "copy")
+        found = met.repartition(partitions(df), "place").sortWithinPartitions("place", "vec_id").mapInArrow(lambda b: _search(b, rotation, k), "query_id long, vec_id long, score double")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    asked = rows.where(queries).withColumn("top", F.lit(float("inf")))
+    own = cut(search(cut(asked.mapInArrow(lambda b: _route(b, index, 1, 0), VISIT))))
+    # the distance that k rows of its own list reach
+    reached = own.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("top"))
+    known = asked.drop("top").join(reached, "vec_id", "left").select("vec_id", "v", F.coalesce("top", F.lit(float("inf"))).alias("top"))
+    wanted = max(20, int(np.ceil(probes * len(centroids))))
+    others = search(cut(known.mapInArrow(lambda b: _route(b, index, wanted, 20 * k), VISIT).where("nth > 0")))
+    both = own.unionByName(others).withColumn("rank", F.row_number().over(order))
+    return both.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
