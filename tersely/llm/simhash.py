@@ -50,13 +50,15 @@ def fingerprint(text: bytes, width: int = 3) -> np.uint64:
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-        yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(values.view(np.int64))})
+        values = np.array([fingerprint(x) for x in batch.column("raw").to_pylist()], dtype=np.uint64)
+        yield batch.drop_columns("raw").append_column("fp", pa.array(values.view(np.int64)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (a long with the 64 bits) for every row."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), raw(text_col).alias("raw")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """``doc_id, fp, h, g`` for every row: ``fp`` is a long with the 64 bits, ``h`` and ``g`` name the id and the text together."""
+    doc, text = F.col(id_col).cast("long"), raw(text_col)
+    rows = docs.select(doc.alias("doc_id"), F.xxhash64(doc, text).alias("h"), F.xxhash64(text, doc).alias("g"), text.alias("raw"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, h long, g long, fp long").select("doc_id", "fp", "h", "g")
 
 
 def _forest(pairs: np.ndarray, up: dict[int, int]) -> list[tuple[int, int]]:
@@ -113,16 +115,20 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     return dealt.mapInArrow(lambda b: _tiles(b, radius), "a long, b long")
 
 
+def classes(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fp, first`` for each fingerprint of ``fingerprints``: the row of its component with the smallest id, nulls last."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "g")
+    heads = cut(marked.groupBy("fp").agg(F.min(row).alias("head")))
+    # links are followed between fingerprints, so a row without an id still joins those on either side of it
+    roots = components(links(heads.select("fp"), radius).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    members = heads.join(roots, heads["fp"] == roots["node"], "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+    return cut(members.join(members.groupBy("root").agg(F.min("head").alias("first")), "root").select("fp", "first"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``doc_id, fp, component_id`` for every row; component_id is the smallest doc_id reachable over links."""
     marked = cut(fingerprints(docs, id_col, text_col))
-    heads = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("head")))
-    found = links(heads.select("fp"), radius)
-    # links are followed between fingerprints, so a row without an id still joins those on either side of it
-    roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    members = heads.join(roots, heads["fp"] == roots["node"], "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
-    classes = cut(members.join(members.groupBy("root").agg(F.min("head").alias("component_id")), "root").select("fp", "component_id"))
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(classes(marked, radius), "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,12 +139,11 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each component: the one with the smallest doc_id, null ids last; of equal ids any single one.
 
-    Rows are told apart by a number of their own, so rows with a null or a repeated id are judged one by one; the columns
-    stay as they are, whatever their names; an empty table gives an empty one.
+    Rows are told apart by 128 bits of hashes of id and text, so rows with a null or a repeated id are judged one by one, and
+    of rows that agree in both one stays; the columns stay as they are, whatever their names; an empty table gives an empty one.
     """
-    (row,) = fresh(docs, "_row")
-    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))  # the numbers are written once, with the rows
-    found = near_duplicates(rows, row).select(F.col("doc_id").alias("r"), "component_id").join(rows.select(F.col(row).alias("r"), F.col("doc_id").cast("long").alias("id")), "r")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r"))
-    keep = found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.r").alias(row))
-    return rows.join(keep, row, "left_semi").select(*docs.columns)
+    h, g = fresh(docs, "_h", "_g")
+    kept = classes(cut(fingerprints(docs))).select(F.col("first.h").alias(h), F.col("first.g").alias(g)).distinct()
+    doc, text = F.col("doc_id").cast("long"), raw("text")
+    rows = docs.withColumns({h: F.xxhash64(doc, text), g: F.xxhash64(text, doc)}).dropDuplicates([h, g])
+    return rows.join(kept, [h, g], "left_semi").select(*docs.columns)

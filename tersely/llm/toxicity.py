@@ -18,8 +18,8 @@ subsequence; a text costs the same for any number of landmarks.  Fitting and sco
 The model is fitted on at most ``ROWS`` labelled texts of each class, chosen by a hash of their id; scoring reads every
 word of every text.  Of the fitting texts the driver gets counted pieces (``PIECES`` at most) and ``SHOWN`` windows a text and round at most.
 
-Defined results: null and empty texts, and those without a word of two letters, have no window and get the lowest margin that
-the fitted texts have; with no usable labels every score is 0; a row repeated in the input is scored as often as it comes;
+Defined results: null and empty texts, and those without a word of two letters, have no window and get the margin of a
+window without subsequences; with no usable labels every score is 0; a row repeated in the input is scored as often as it comes;
 labels repeated for one id count once, by their largest value; the stage judges each row by its own text and keeps its columns.
 """
 
@@ -239,7 +239,6 @@ class Machine:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
-    least: float = 0.0
 
     def __post_init__(self):
         f, size = self.features, len(self.features.alphabet)
@@ -424,14 +423,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine | None:
         return None
     witness = lambda m: texts.mapInArrow(lambda b: _witnesses(b, m), "doc_id long, toxic int, nth long, value double, best string").orderBy("doc_id", "nth").collect()
     plain = [r["name"] for r in texts.where("toxic = 0").mapInArrow(_samples, "name string").distinct().orderBy(F.xxhash64("name"), "name").collect()]
-    against = dict.fromkeys(plain, 1)
+    against = dict.fromkeys(["", *plain], 1)  # nothing is clean
     seen = witness(Evidence([r["piece"] for r in told], [r["odds"] for r in told]))
     for turn in range(ROUNDS):
         against |= {name: max(n, against.get(name, 0)) for name, n in Counter(r["best"] for r in seen if not r["toxic"]).items()}
         # what looks like clean texts, or stands in them too, tells nothing yet
         least = np.quantile([r["value"] for r in seen if not r["toxic"]] or [0.0], TYPICAL)
         up = Counter(r["best"] for r in seen if r["toxic"] and r["value"] > least and r["best"] not in against)
-        if not up or not plain:
+        if not up:
             return None
         if not turn:
             mapped = Map([name for name, _ in up.most_common(LANDMARKS)] + plain[:LANDMARKS])
@@ -439,9 +438,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine | None:
         machine = mapped.machine(*separate(mapped([*up, *against]), y, np.array([*up.values(), *against.values()], float)))
         seen = witness(machine)
     seen = [r for r in seen if r["nth"] == 0]
-    value = np.array([r["value"] for r in seen])
-    machine.slope, machine.shift = calibrate(value, np.array([1 if r["toxic"] else -1 for r in seen]))
-    machine.least = float(value.min())
+    empty = [n[k] - sum(r["toxic"] == k for r in seen) for k in (0, 1)]  # texts without windows
+    value = np.concatenate(([r["value"] for r in seen], np.full(sum(empty), machine.bias)))
+    machine.slope, machine.shift = calibrate(value, np.concatenate(([1 if r["toxic"] else -1 for r in seen], np.repeat([-1, 1], empty))))
     return machine
 
 
@@ -449,7 +448,7 @@ def _score(texts: pa.Array, machine: Machine | None) -> np.ndarray:
     if machine is None:
         return np.zeros(len(texts))
     value = margins(texts, machine)
-    return 1 / (1 + np.exp(-np.clip(machine.slope * np.where(np.isnan(value), machine.least, value) + machine.shift, -50, 50)))
+    return 1 / (1 + np.exp(-np.clip(machine.slope * np.where(np.isnan(value), machine.bias, value) + machine.shift, -50, 50)))
 
 
 def _scores(batches: Iterable[pa.RecordBatch], machine: Machine | None) -> Iterator[pa.RecordBatch]:
