@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tersely.functions.names import let
+from tersely.functions.text import strip
+
 # Instructions that exclude each other; of two that both occur, sentences with the second go.
 CONFLICTS = [
     (r"(?i)be\s+(?:very\s+)?(?:concise|brief|short)", r"(?i)be\s+(?:very\s+)?(?:detailed|thorough|comprehensive|verbose)"),
@@ -25,6 +28,8 @@ SEPARATOR = "\n\n---\n\n"
 DYNAMIC = ["today", "current date", "current time", "right now", "as of", "recently", "latest", "updated"]
 # Signals of a source language (two or more tell it), and its fences.
 FENCES = {"python": ["```python", "```py"], "javascript": ["```javascript", "```js", "```typescript", "```ts"], "shell": ["```bash", "```sh", "```shell"]}
+# Words that make no difference between instructions; marks of emphasis and of order.
+FILLERS = r"(?U)\b(?:please|always|make sure to|ensure that|remember to)\b"
 EMPHASIS = r"(?i)\*{1,2}(?:Important|Note|Warning|Caution)\*{1,2}:?\s*"
 LIST_WORDS = r"(?i)(\d+\.)\s*(?:First|Second|Third|Fourth|Fifth|Next|Then|Finally|Lastly)\s*,?\s*"
 
@@ -81,6 +86,12 @@ def sort_tools(tools: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["t"])
 
 
+def dedup_key(line: Column) -> Column:
+    """What makes two instruction lines the same: lower case, without fillers, spacing and end punctuation."""
+    bare = F.regexp_replace(F.lower(strip(line)), FILLERS, "")
+    return F.regexp_replace(strip(F.regexp_replace(bare, r"(?U)\s+", " ")), "[.,;:!]+$", "")
+
+
 def strip_emphasis(text: Column) -> Column:
     return F.regexp_replace(text, EMPHASIS, "")
 
@@ -109,3 +120,28 @@ def code_or_json(text: Column) -> Column:
     t = F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
     json = ((t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]"))) & F.try_parse_json(t).isNotNull()
     return t.startswith("```") | json | language(text).isNotNull()
+
+
+def distinct_lines(text: Column) -> Column:
+    """``text`` without lines that repeat an earlier one but for case, fillers, spacing and end punctuation; blank lines stay."""
+    both = F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), dedup_key(line).alias("key"), (strip(line) == "").alias("blank")))
+    kept = let(both, lambda xs: let(xs["key"], lambda keys: F.filter(xs, lambda x, i: x["blank"] | (F.array_position(keys, x["key"]) == i + 1))))
+    return F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
+
+
+def normalize_system(text: Column, bound: bool = True) -> Column:
+    """A system prompt without repeated lines and contradictions, with a boundary to speculation if ``bound``."""
+    out = resolve_conflicts(distinct_lines(text))
+    return bound_speculation(out) if bound else out
+
+
+def normalize_requests(requests: DataFrame, bound: bool = True) -> DataFrame:
+    """Requests as nested rows with their system texts normalized, lines repeated in user texts dropped, a plain system prompt
+    split at its separator, and tools in order of their names."""
+    block = lambda b: F.when((b["type"] == "text") & (F.coalesce(b["text"], F.lit("")) != ""), b.withField("text", normalize_system(b["text"], bound))).otherwise(b)
+    user = lambda b: F.when(b["type"] == "text", b.withField("text", distinct_lines(b["text"]))).otherwise(b)
+    out = requests.withColumns({"system": F.transform("system", block), "messages": F.transform("messages", lambda m: F.when(m["role"] == "user", m.withField("blocks", F.transform(m["blocks"], user))).otherwise(m))})
+    parts = F.transform(system_blocks(F.get("system", F.lit(0))["text"]), lambda b: F.struct(F.lit("text").alias("type"), b["text"].alias("text"), b["cached"].alias("cached")))
+    two = F.col("system_is_string") & (F.size(parts) > 1)
+    out = out.withColumns({"system": F.when(two, parts).otherwise(F.col("system")), "system_is_string": F.col("system_is_string") & ~F.coalesce(two, F.lit(False))})
+    return out.withColumn("tools", sort_tools(F.col("tools"))) if "tools" in requests.columns else out

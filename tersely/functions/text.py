@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import re
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tersely.functions.rules import FOLDED, rules
+from tersely.functions.names import let
+from tersely.functions.rules import CATEGORIES, FOLDED, rules
 
 #: Unicode classes, line ends of ``\n`` only, and case folding where the category asks for it.
 _FLAGS = {True: "(?iuUd)", False: "(?Ud)"}
@@ -24,10 +27,18 @@ def apply_category(text: Column, category: str) -> Column:
     return reduce(lambda t, rule: F.regexp_replace(t, F.lit(rule[0]), F.lit(rule[1])), _java(category), text)
 
 
+RULE = "array<struct<p:string,r:string,w:array<string>>>"
+
+
+def _rows(category: str, since: tuple[str, ...] = ()) -> Column:
+    """The rules of a category as one constant array: pattern, replacement, and the words of which a text must hold one."""
+    rows = [{"p": p, "r": r, "w": list(g) or None} for (p, r), g in zip(_java(category), gates(category, since))]
+    return F.from_json(F.lit(json.dumps(rows)), RULE)
+
+
 def apply_folded(text: Column, category: str) -> Column:
     """As ``apply_category``, folded over an array of the rules: for chains of categories too long for one generated method."""
-    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(r).alias("r")) for p, r in _java(category)])
-    return F.aggregate(table, text, lambda acc, rule: F.regexp_replace(acc, rule["p"], rule["r"]))
+    return F.aggregate(_rows(category), text, lambda acc, rule: F.regexp_replace(acc, rule["p"], rule["r"]))
 
 
 def apply_counted(text: Column, category: str) -> Column:
@@ -35,9 +46,122 @@ def apply_counted(text: Column, category: str) -> Column:
 
     The rules are an array that the text is folded over, so any number of them stays one flat expression.
     """
-    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(r).alias("r")) for p, r in _java(category)])
     start = F.struct(text.alias("text"), F.lit(0).alias("hits"))
-    return F.aggregate(table, start, lambda acc, rule: F.struct(F.regexp_replace(acc["text"], rule["p"], rule["r"]).alias("text"), (acc["hits"] + F.rlike(acc["text"], rule["p"]).cast("int")).alias("hits")))
+    return F.aggregate(_rows(category), start, lambda acc, rule: F.struct(F.regexp_replace(acc["text"], rule["p"], rule["r"]).alias("text"), (acc["hits"] + F.rlike(acc["text"], rule["p"]).cast("int")).alias("hits")))
+
+
+_WORD = re.compile(r"(?:\\b|\\s\+)([a-z]+)(s\?)?(?=\\b|\\s\+)", re.I)
+_ALTERNATIVE = re.compile(r"([a-z]+)(s\?)?(?=$|\\s\+)", re.I)
+
+
+def _required(pattern: str) -> list[list[str]]:
+    """Lists of words of which a text must hold one, whole and in any case, for ``pattern`` to match.
+
+    Words count that stand between ``\\b`` and ``\\s+`` outside of groups, and the first words of a group's alternatives.
+    """
+    flat, depth, groups, k = "", 0, [], 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            flat += "" if depth else pattern[k : k + 2]
+            k += 2
+            continue
+        if c == "[":
+            flat += "" if depth else "\0"
+            k = pattern.index("]", k + 2) + 1
+            continue
+        if c == "(":
+            begin = k if not depth else begin
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if not depth:
+                groups.append((len(flat), pattern[begin + 1 : k]))
+                flat += "\1"
+        elif not depth:
+            flat += c
+        k += 1
+    if "|" in flat:
+        return []
+    forms = lambda m: [m[1].lower() + x for x in (("", "s") if m[2] else ("",))]
+    at, out = 0, []
+    while m := _WORD.search(flat, at):
+        out.append(forms(m))
+        at = m.end()
+    for at, group in groups:
+        # a group with groups of its own, or an optional one, says nothing
+        if flat[:at].endswith(("\\b", "\\s+")) and flat[at + 1 :].startswith(("\\b", "\\s+")) and group.startswith("?:") and "(" not in group[2:]:
+            firsts = [_ALTERNATIVE.match(x) for x in group[2:].split("|")]
+            if all(firsts):
+                out.append([w for m in firsts for w in forms(m)])
+    return out
+
+
+@cache
+def gates(category: str, since: tuple[str, ...] = ()) -> tuple[tuple[str, ...], ...]:
+    """For each rule of a category, words of which a text must hold one; none where the rule is always tried.
+
+    The text is looked at before the categories ``since``: a word that one of their rules, or an earlier one of this category,
+    can bring counts with all that lets that rule match.
+    """
+    brought: dict[str, list[tuple[str, ...]]] = {}
+    bring = lambda gate, to: [brought.setdefault(w, []).append(gate) for w in re.findall(r"[a-z]+", to.lower())]
+    for k, c in enumerate(since):
+        for gate, (_, to) in zip(gates(c, since[:k]), rules(c)):
+            bring(gate, to)
+    out = []
+    for pattern, to in rules(category):
+        found = []
+        for words in _required(pattern) if category in FOLDED else []:
+            causes = [g for w in words for g in brought.get(w, [])]
+            if all(causes):
+                found.append(tuple(sorted({*words, *(w for g in causes for w in g)})))
+        gate = max(found, key=lambda ws: (min(map(len, ws)), -len(ws)), default=())
+        out.append(gate)
+        bring(gate, to)
+    return tuple(out)
+
+
+def _words(text: Column, needed: set[str]) -> Column:
+    # the letters that ignoring case treats as these
+    low = F.lower(F.translate(text, "\u017f\u0130\u0131\u212a", "siik"))
+    return F.array_intersect(F.array(*map(F.lit, sorted(needed))), F.split(low, r"(?U)\W+")) if needed else F.array().cast("array<string>")
+
+
+def held(text: Column, *chain: str) -> Column:
+    """Which of the words that the rules of a chain of categories need are in the text: one reading instead of one for each rule.
+
+    It stays true while these rules change the text, as they leave words whole.
+    """
+    return _words(text, {w for k, c in enumerate(chain) for g in gates(c, chain[:k]) for w in g})
+
+
+def held_as_is(text: Column, *categories: str) -> Column:
+    """As ``held``, for rules that are all tried on the text as it stands."""
+    return _words(text, {w for c in categories for g in gates(c) for w in g})
+
+
+def apply_gated(text: Column, category: str, words: Column, since: tuple[str, ...] = ()) -> Column:
+    """As ``apply_category``, but only those rules are tried whose words the text held before the categories ``since``.
+
+    ``words`` is best a column made before; it is used twice here, so that Spark keeps it one.
+    """
+    tried = F.filter(_rows(category, since), lambda rule: rule["w"].isNull() | F.arrays_overlap(rule["w"], words))
+    return F.when(words.isNotNull(), F.aggregate(tried, text, lambda acc, rule: F.regexp_replace(acc, rule["p"], rule["r"])))
+
+
+def matching_rules(text: Column, category: str, words: Column) -> Column:
+    """Ids (``category.number``) of the rules of a category that match ``text`` as it stands; ``words``: what is ``held_as_is``."""
+    name = lambda i: F.concat(F.lit(f"{category}."), F.lpad(i.cast("string"), 3, "0"))
+    tried = let(words, lambda w: F.transform(_rows(category), lambda rule, i: F.when((rule["w"].isNull() | F.arrays_overlap(rule["w"], w)) & F.rlike(text, rule["p"]), name(i))))
+    return F.filter(tried, lambda x: x.isNotNull())
+
+
+def match_counts(text: Column, words: Column, categories: tuple[str, ...] = CATEGORIES) -> Column:
+    """``array<struct<category, hits>>``: for each category the number of its rules that match ``text`` as it stands; ``words``: what
+    is ``held_as_is``."""
+    hit = lambda c, w: F.size(F.filter(_rows(c), lambda rule: (rule["w"].isNull() | F.arrays_overlap(rule["w"], w)) & F.rlike(text, rule["p"])))
+    return let(words, lambda w: F.array(*[F.struct(F.lit(c).alias("category"), F.when(text.isNull(), 0).otherwise(hit(c, w)).alias("hits")) for c in categories]))
 
 
 def strip(text: Column) -> Column:
@@ -56,11 +180,14 @@ def collapse_newlines(text: Column) -> Column:
 
 def compress_dates(text: Column) -> Column:
     """``January 14th, 2025`` and ``14 January 2025`` to ``2025-01-14``."""
+    out = text
     for n, month in enumerate(MONTHS, 1):
         for before, after in ((rf"(?i)\b{month}\s+", r"(?:st|nd|rd|th)?\s*,?\s*(\d{4})\b"), (r"(?i)\b", rf"(?:st|nd|rd|th)?\s+{month}\s*,?\s*(\d{{4}})\b")):
-            text = F.regexp_replace(text, F.lit(before + r"(\d)" + after), F.lit(f"$2-{n:02d}-0$1"))
-            text = F.regexp_replace(text, F.lit(before + r"(\d{2})" + after), F.lit(f"$2-{n:02d}-$1"))
-    return text
+            out = F.regexp_replace(out, F.lit(before + r"(\d)" + after), F.lit(f"$2-{n:02d}-0$1"))
+            out = F.regexp_replace(out, F.lit(before + r"(\d{2})" + after), F.lit(f"$2-{n:02d}-$1"))
+    low = F.lower(text)
+    named = reduce(lambda a, b: a | b, [low.contains(m.lower()) for m in MONTHS])
+    return F.when(named, out).otherwise(text)  # 48 passes only where a month is named
 
 
 def sentences(text: Column) -> Column:

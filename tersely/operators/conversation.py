@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tersely.functions.text import strip, text_tokens, word_jaccard
+from tersely.functions.normalize import distinct_lines
+from tersely.functions.text import text_tokens, word_jaccard
 
 MESSAGE_OVERHEAD, SYSTEM_OVERHEAD = 4, 6
 
@@ -50,18 +51,12 @@ def prune_thoughts(messages: DataFrame, fresh: int = 3, placeholder: str = "[ear
     return seen.withColumn("pruned", F.when(old, cut).otherwise(F.col("text")))
 
 
-def dedup_key(line: Column) -> Column:
-    """What makes two instruction lines the same: lower case, without fillers, spacing and end punctuation."""
-    bare = F.regexp_replace(F.lower(line), r"(?U)\b(?:please|always|make sure to|ensure that|remember to)\b", "")
-    return F.regexp_replace(strip(F.regexp_replace(bare, r"(?U)\s+", " ")), "[.,;:!]+$", "")
-
-
 def drop_repeated_lines(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, text`` with lines dropped that repeat an earlier one of the same text; blank lines stay."""
-    lines = texts.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line"))
-    first = F.row_number().over(Window.partitionBy(key, "k").orderBy("pos"))
-    kept = lines.withColumn("k", dedup_key(strip(F.col("line")))).withColumn("nth", first).where((strip(F.col("line")) == "") | (F.col("nth") == 1))
-    return kept.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias(text))
+    """``key, text`` with lines dropped that repeat an earlier one of the same text; blank lines stay, a null text is empty.
+
+    A function of each text alone: no shuffle.
+    """
+    return texts.select(key, distinct_lines(F.coalesce(text, F.lit(""))).alias(text))
 
 
 def redundant_pairs(messages: DataFrame, threshold: float = 0.3, key: str = "conv_id", order: str = "turn") -> DataFrame:

@@ -53,10 +53,13 @@ def cost(log: DataFrame, prices: DataFrame, default: float = 3.0) -> DataFrame:
     return saved.join(F.broadcast(prices), "model", "left").select("model", "token_savings", F.round(F.col("token_savings") * F.coalesce("per_million", F.lit(default)) / 1e6, 6).alias("saved_usd"))
 
 
-def reuse(texts: DataFrame, text: str, keys: list[str], longest: int = 65536) -> DataFrame:
-    """Lookups, distinct keys and reuse rate of texts that a cache would hold (not empty, at most ``longest`` bytes)."""
+def reuse(texts: DataFrame, text: str, keys: list[str], longest: int = 65536, within: tuple[str, ...] = ()) -> DataFrame:
+    """Lookups, distinct keys and reuse rate of texts that a cache would hold (not empty, at most ``longest`` bytes).
+
+    A text counts as another one for each value of ``within`` (mode, profile, level) that it comes with.
+    """
     held = texts.where((F.octet_length(text) > 0) & (F.octet_length(text) <= longest))
-    found = held.groupBy(*keys).agg(F.count("*").alias("lookups"), F.count_distinct(F.sha2(text, 256)).alias("distinct_texts"))
+    found = held.groupBy(*keys).agg(F.count("*").alias("lookups"), F.count_distinct(F.sha2(text, 256), *within).alias("distinct_texts"))
     return found.withColumn("reuse_rate", F.round(1 - F.col("distinct_texts") / F.col("lookups"), 6))
 
 
@@ -64,3 +67,25 @@ def rule_hits(hits: DataFrame, rules: DataFrame) -> DataFrame:
     """Hits of every rule, those that never fired with 0; ``rules(rule_id, category)`` is a fixed list."""
     counts = hits.groupBy("rule_id").agg(F.sum("hits").alias("hits"))
     return rules.join(counts, "rule_id", "left").select("rule_id", "category", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def snapshot(log: DataFrame) -> DataFrame:
+    """Totals since the log began: requests, tokens before, after and saved, savings, tokens saved in answers and rule hits.
+
+    ``log``: original_tokens, optimized_tokens, response_tokens_saved, rule_hits (array of category and hits).
+    """
+    hits = F.aggregate("rule_hits", F.lit(0).cast("long"), lambda n, x: n + x["hits"])
+    out = log.agg(F.count("*").alias("requests"), F.coalesce(F.sum(hits), F.lit(0)).alias("rule_hits"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("original_tokens", "optimized_tokens", "response_tokens_saved")])
+    saved = F.greatest(F.lit(0).cast("long"), F.col("original_tokens") - F.col("optimized_tokens"))
+    return out.withColumns({"token_savings": saved, "savings_percent": F.when(F.col("original_tokens") > 0, F.round(saved / F.col("original_tokens") * 100, 4)).otherwise(0.0)})
+
+
+def category_hits(log: DataFrame, *keys: str) -> DataFrame:
+    """Hits of each category by the keys, with the place of the category in the declared order (``nth``)."""
+    each = log.select(*keys, F.posexplode("rule_hits").alias("nth", "x"))
+    return each.groupBy(*keys, "nth", F.col("x.category").alias("category")).agg(F.sum("x.hits").cast("long").alias("hits"))
+
+
+def top_categories(hits: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` categories with the most hits, none without; ties keep the declared order."""
+    return hits.where("hits > 0").orderBy(F.desc("hits"), "nth").limit(n)

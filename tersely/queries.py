@@ -20,6 +20,7 @@ LEADS = [
     "#### Head\n* **bold** and <b>more</b>|  cell  |<br/>[click here](http://x.test/?utm_source=a&ref=b)\n---\n// a comment line\n{ a: 1, }; /* note */ \n",
     "user: [[reply_to_current]] hello\n- **Session ID**: 12\nassistant: fine\n\n\n\n<thought> </thought>the same line again and again and again\nthe same line again and again and again\nthe same line again and again and again\n",
     "Your task is to write a function that is able to take into account both cats and dogs, legal, tax, and privacy concerns, specifically while maintaining clear form. Let the user know that it is not only fast but also small. \n",
+    "Please open the door, please leave it, and please do not close the window; PLEASE read the text. ",
     "This information should not be considered legal advice at all. Users should always consult with a licensed attorney. Basically, indicate why. ",
     "",
 ]
@@ -75,8 +76,12 @@ def query(name: str, sql: str | None = None):
 
 def _sql_rules(category: str, column: str) -> str:
     for p, r in rules(category):
-        p = p.replace(r"\bplease\b(?!\s+\w+\s+the)", r"\bplease\b").replace("'", "''")
         options = "gi" if category in FOLDED else "g"
+        if p == r"\bplease\b(?!\s+\w+\s+the)":  # without look-ahead: the words to keep are broken, then put together again
+            broken = rf"regexp_replace({column}, '\b(p)(lease\s+\w+\s+the)', concat('\1', chr(1), '\2'), '{options}')"
+            column = rf"replace(regexp_replace({broken}, '\bplease\b', '', '{options}'), chr(1), '')"
+            continue
+        p = p.replace("'", "''")
         for k in range(1, 4):
             r = r.replace(f"${k}", f"\\{k}")
         column = f"regexp_replace({column}, '{p}', '{r.replace(chr(39), chr(39) * 2)}', '{options}')"
@@ -90,7 +95,8 @@ def _category(category: str) -> None:
 
     @query(f"rules_{category}", sql if plain else None)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        out = prompts(spark, sf).select("doc_id", text.apply_category(F.col("prompt"), category).alias("t"))
+        rows = prompts(spark, sf).withColumn("w", text.held(F.col("prompt"), category))
+        out = rows.select("doc_id", text.apply_gated(F.col("prompt"), category, F.col("w")).alias("t"))
         return out.select("doc_id", F.md5("t").alias("text_md5"), F.octet_length("t").cast("bigint").alias("n_bytes"))
 
 
@@ -240,7 +246,10 @@ def pruned_results(spark, sf):
     return conversation.prune_results(_table(spark, sf, "conversations")).select("conv_id", "turn", F.md5("pruned").alias("text_md5"))
 
 
-@query("repeated_instructions")
+_LINES = "SELECT doc_id, pos, line, regexp_replace(trim(regexp_replace(regexp_replace(lower(trim(line)), '\\b(?:please|always|make sure to|ensure that|remember to)\\b', '', 'g'), '\\s+', ' ', 'g')), '[.,;:!]+$', '') AS k FROM (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+
+
+@query("repeated_instructions", f"SELECT doc_id, md5(t) AS text_md5, CAST(strlen(t) AS BIGINT) AS n_bytes FROM (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS t FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS nth FROM ({_LINES})) WHERE trim(line) = '' OR nth = 1 GROUP BY doc_id)")
 def repeated_instructions(spark, sf):
     out = conversation.drop_repeated_lines(_table(spark, sf, "documents"), "doc_id")
     return out.select("doc_id", F.md5("text").alias("text_md5"), F.octet_length("text").cast("bigint").alias("n_bytes"))
@@ -391,3 +400,6 @@ _THINKING = "concat('<thinking>step by step, this goes on for a while and ends h
 def pruned_thoughts(spark, sf):
     messages = _table(spark, sf, "conversations").withColumn("text", F.concat(F.lit("<thinking>step by step, this goes on for a while and ends here</thinking> "), "text"))
     return conversation.prune_thoughts(messages, fresh=2).select("conv_id", "turn", F.md5("pruned").alias("text_md5"))
+
+
+from tersely import request_queries  # noqa: E402, F401  (registers its queries here)

@@ -22,3 +22,18 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 def append_metrics(log: DataFrame, path: str) -> None:
     pairs = F.transform("top_categories", lambda x: F.array(x["name"], x["hits"].cast("string")))
     log.withColumn("top_categories", pairs).write.mode("append").json(path)
+
+
+STABILITY = "request_id string, timestamp double, model string, compression_level double, baseline_response string, compressed_response string, baseline_tokens bigint, compressed_tokens bigint, cosine_similarity double, jaccard_similarity double, length_ratio double, divergence_score double, is_stable boolean, threshold double, action_taken string"
+
+
+def read_stability(spark: SparkSession, path: str) -> DataFrame:
+    """The stability log without malformed lines: those that lack a field."""
+    rows = spark.read.text(path).select(F.from_json("value", STABILITY).alias("m")).select("m.*")
+    return rows.dropna(subset=[c for c in rows.columns])
+
+
+def append_stability(log: DataFrame, path: str, longest: int = 200) -> None:
+    """Append rows of the stability log, both answers cut to ``longest`` characters."""
+    short = {c: F.substring(c, 1, longest) for c in ("baseline_response", "compressed_response")}
+    log.withColumns(short).write.mode("append").json(path)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+from tersely.jobs.compress import compress_requests
 
 
 def running_totals(log: DataFrame) -> DataFrame:
@@ -19,3 +23,73 @@ def windowed(log: DataFrame, time: str = "ts", length: str = "5 minutes", late:
 def first_uses(requests: DataFrame, key: str, time: str = "ts", ttl: str = "300 seconds") -> DataFrame:
     """The rows that a cache with this time to live would miss, approximately: one a key within the watermark."""
     return requests.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key])
+
+
+class _Levels(StatefulProcessor):
+    """The level that a model is left at: a step down for each unstable answer, never under the least."""
+
+    def __init__(self, step: float, least: float):
+        self.step, self.least = step, least
+
+    def init(self, handle):
+        self.level = handle.getValueState("level", "first double, steps long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows))
+        frame = frame[~frame["is_stable"].astype(bool)].sort_values(["ts", "request_id"], kind="stable")
+        first, steps = self.level.get() if self.level.exists() else (None, 0)
+        out = []
+        for row in frame.itertuples():
+            first, steps = (float(row.level) if first is None else first), steps + 1
+            out.append((key[0], row.request_id, round(max(first - steps * self.step, self.least), 2)))
+        if out:
+            self.level.update((first, steps))
+        yield pd.DataFrame(out, columns=["model", "request_id", "adjusted_level"]).astype({"adjusted_level": float})
+
+    def close(self):
+        pass
+
+
+def adjusted_levels(log: DataFrame, step: float = 0.1, least: float = 0.2) -> DataFrame:
+    """``model, request_id, adjusted_level`` of each unstable row of a stream (``model, request_id, ts, level, is_stable``).
+
+    Rows that come together are taken in order of time; the state of a model is two numbers.
+    """
+    kind = dict(log.dtypes)["request_id"]
+    return log.groupBy("model").transformWithStateInPandas(_Levels(step, least), f"model string, request_id {kind}, adjusted_level double", "Append", "None")
+
+
+class _Reuse(StatefulProcessor):
+    """When a key's entry was made and what that took; a use within ``ttl`` seconds of it is a hit."""
+
+    def __init__(self, ttl: float):
+        self.ttl = ttl
+
+    def init(self, handle):
+        self.entry = handle.getValueState("entry", "since double, cost double", int(self.ttl * 1000) or None)
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows)).sort_values(["ts", "latency_ms"], kind="stable")
+        since, cost = self.entry.get() if self.entry.exists() else (None, 0.0)
+        out, made = [], False
+        for t, ms in zip(frame["ts"].astype("int64") / 1e9 if frame["ts"].dtype.kind == "M" else frame["ts"].astype(float), frame["latency_ms"].astype(float)):
+            hit = since is not None and t - since < self.ttl
+            if not hit:
+                since, cost, made = float(t), float(ms), True
+            out.append((key[0], float(t), hit, cost if hit else 0.0))
+        if made:
+            self.entry.update((since, cost))
+        yield pd.DataFrame(out, columns=["key", "ts", "hit", "saved_ms"])
+
+    def close(self):
+        pass
+
+
+def reuse(uses: DataFrame, ttl: float = 300.0) -> DataFrame:
+    """``key, ts, hit, saved_ms`` of each use of a stream (``key, ts, latency_ms``): exact, by state that is kept for each key."""
+    return uses.groupBy("key").transformWithStateInPandas(_Reuse(ttl), "key string, ts double, hit boolean, saved_ms double", "Append", "ProcessingTime")
+
+
+def compressed(requests: DataFrame, text: str = "text", level: str = "level", profile: str = "profile") -> DataFrame:
+    """A stream of requests with their texts compressed; no state."""
+    return compress_requests(requests, text, level, profile)
