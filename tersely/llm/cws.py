@@ -1,15 +1,16 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
-A term's weight in a text is its count.  For each of ``SAMPLES`` samples a term draws, from its hash alone, two
+A term's weight in a text is its count.  For each of ``SAMPLES`` samples a term draws, from its 63-bit hash alone, two
 gamma(2, 1) values and a uniform one; with the weight they give a value, and the term with the smallest value is the sample.
+A text and its edited form share most terms, so both are read together and a term draws once for the two weights.
 Two texts share a sample with the probability of their generalised Jaccard similarity.  The smallest value itself
 names the sampled term and its quantised weight, so a sample is one double and a fingerprint their short hashes.
 
 Texts are dealt once, by ranges of their ids, so that a document meets the next one without a second shuffle.
 
 Defined results: a null or empty text has no terms and one fixed fingerprint, so two such texts are alike (1.0); rows that
-repeat an id follow one another by their text; null ids come first; a single document is its own next one; an empty table
-gives an empty result.
+repeat an id follow one another by their text; null ids come first, and the last row is followed by the first of these; a single
+document is its own next one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,34 +20,54 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tersely.llm.common import cut, partitions, table
+from tersely.llm.common import cut, fresh, partitions, table
 
 #: A likeness is off by sqrt(p (1 - p) / SAMPLES) on average, 0.044 at most.
 SAMPLES = 128
 
 
-def value(term: Column, log_weight: Column, k: int) -> Column:
-    """Logarithm of the value that a term of this weight has in sample ``k``."""
+def values(term: Column, log_weights: list[Column], k: int) -> list[Column]:
+    """Logarithms of the values that a term (a long) has in sample ``k`` with each of some weights."""
     h, g = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
     u = lambda x, s: (F.shiftrightunsigned(x, s).bitwiseAND(F.lit(0x1FFFFF)) + F.lit(0.5)) / F.lit(2097152.0)
-    r, c, beta = -F.log(u(h, 0) * u(h, 21)), -F.log(u(g, 0) * u(g, 21)), u(h, 42)
-    return F.log(c) - r * (F.floor(log_weight / r + beta) - beta + F.lit(1.0))
-
-
-def counted(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` with one row for each distinct term of ``text`` (one with nulls if it has none): ``term, lw``."""
-    words = rows.withColumn("_s", F.sort_array(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x09-\\x0D\\x20]+"), lambda w: w != "")))
-    runs = words.withColumn("_i", F.filter(F.sequence(F.lit(0), F.size("_s")), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)) | (i == F.size("_s"))))
-    terms = F.transform(F.slice("_i", 1, F.greatest(F.size("_i") - 1, F.lit(0))), lambda i, k: F.struct(F.get("_s", i).alias("term"), F.log((F.get("_i", k + 1) - i).cast("double")).alias("lw")))
-    return runs.withColumn("_t", F.explode_outer(terms)).select("*", "_t.*").drop("_s", "_i", "_t", text)
-
-
-def signatures(rows: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and ``sig``, the short hashes of the samples; the keys must name single rows."""
-    low = [F.min(value(F.col("term"), F.col("lw"), k)).alias(f"_{k}") for k in range(samples)]
-    found = counted(rows.select(*keys, text), text).groupBy(*keys).agg(*low)
-    short = lambda c: F.coalesce(F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0).cast("long"))
-    return found.select(*keys, F.array(*[F.when(F.col(f"_{k}").isNull(), F.lit(0).cast("long")).otherwise(short(F.col(f"_{k}"))) for k in range(samples)]).alias("sig"))
+    r, log_c, beta = -F.log(u(h, 0) * u(h, 21)), F.log(-F.log(u(g, 0) * u(g, 21))), u(h, 42)
+    return [log_c - r * (F.floor(w / r + beta) - beta + F.lit(1.0)) for w in log_weights]
+
+
+def hashes(text: str) -> Column:
+    """An even long for each word."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x09-\\x0D\\x20]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)))
+
+
+def counted(rows: DataFrame, texts: tuple[str, str]) -> DataFrame:
+    """``rows`` with one row for each distinct term of two texts (one with nulls if they have none): ``term, lx, ly``.
+
+    ``lx`` and ``ly`` are the logarithms of the term's counts, null where a text lacks it.  The words of the second text are
+    the odd numbers, so in order of size a term's counts stand side by side.
+    """
+    both = F.concat(hashes(texts[0]), F.transform(hashes(texts[1]), lambda h: h.bitwiseOR(F.lit(1))))
+    runs = rows.withColumn("_s", F.sort_array(both)).drop(*texts)
+    runs = runs.withColumn("_i", F.filter(F.sequence(F.lit(0), F.size("_s")), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)) | (i == F.size("_s"))))
+    at = lambda k: F.get("_s", F.get("_i", k))
+    log_count = lambda k: F.log((F.get("_i", k + 1) - F.get("_i", k)).cast("double"))
+    first = lambda k: at(k).bitwiseAND(F.lit(1)) == 0
+    pair = lambda k: F.struct(at(k).bitwiseAND(F.lit(-2)).alias("term"), F.when(first(k), log_count(k)).alias("lx"), F.when(~first(k), log_count(k)).when(at(k + 1) == at(k).bitwiseOR(F.lit(1)), log_count(k + 1)).alias("ly"))
+    new = lambda k: first(k) | (k == 0) | F.coalesce(at(k - 1) != at(k).bitwiseAND(F.lit(-2)), F.lit(True))
+    terms = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size("_i") - 2, F.lit(0))), lambda k: (F.size("_s") > 0) & new(k)), pair)
+    return runs.withColumn("_t", F.explode_outer(terms)).select("*", "_t.*").drop("_s", "_i", "_t")
+
+
+def signatures(rows: DataFrame, keys: list[str], text: str = "text", other: str | None = None, samples: int = SAMPLES) -> DataFrame:
+    """``keys`` and ``sig``, the short hashes of the samples, and ``sig_other`` those of a second text; the keys must name single rows."""
+    (second,) = fresh(rows, "_other")
+    known = rows.select(*keys, F.col(text).alias("_text"), (F.col(other) if other else F.lit(None).cast("string")).alias(second))
+    sides = [F.col("lx"), F.col("ly")] if other else [F.col("lx")]
+    low = [F.min(v).alias(f"_{n}_{k}") for k in range(samples) for n, v in enumerate(values(F.col("term"), sides, k))]
+    found = counted(known, ("_text", second)).groupBy(*keys).agg(*low)
+    short = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    side = lambda n: F.array(*[short(f"_{n}_{k}") for k in range(samples)])
+    return found.select(*keys, side(0).alias("sig"), *[side(1).alias("sig_other")] * bool(other))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
@@ -81,10 +102,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     order = Window.partitionBy("range").orderBy("doc_id", "text")
     dealt = dealt.withColumn("n", F.row_number().over(order)).withColumn("own_next", F.lead("text").over(order))
     # the first row of each range, for the last row of the one before: as many rows as ranges
-    firsts = rows.select("doc_id", number.alias("range")).groupBy("range").agg(F.min("doc_id").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
+    firsts = rows.select("doc_id", number.alias("range")).groupBy("range").agg(first)
     whole = Window.orderBy("range")
-    firsts = firsts.select("doc_id", F.coalesce(F.lag("range").over(whole), F.max("range").over(Window.partitionBy())).alias("range"))
-    heads = cut(rows.join(F.broadcast(firsts), "doc_id").groupBy("range").agg(F.min("text").alias("head")))
+    firsts = firsts.select(F.col("first.doc_id").alias("first_id"), F.coalesce(F.lag("range").over(whole), F.max("range").over(Window.partitionBy())).alias("range"))
+    heads = cut(rows.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("range").agg(F.min("text").alias("head")))
     found = dealt.join(heads, "range", "left")
     return found.select("doc_id", "text", F.coalesce("own_next", "head", "text").alias("next_text"), "range", "n")
 
@@ -92,16 +114,15 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """``doc_id, fingerprint`` for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), F.monotonically_increasing_id().alias("n"))
-    return signatures(rows, ["doc_id", "n"], "text", samples).select("doc_id", printed("sig").alias("fingerprint"))
+    return signatures(rows, ["doc_id", "n"], "text", samples=samples).select("doc_id", printed("sig").alias("fingerprint"))
 
 
 def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(table(spark, sf_dir, "documents"))
     size = F.char_length("text")
     edited = rows.select("doc_id", "range", "n", size.cast("long").alias("n_chars"), "text", F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))"), F.expr("substring(next_text, 1, cast(floor(char_length(text) / 4) as int))")).alias("edited"))
-    both = edited.withColumn("e", F.sha2("edited", 256)).select("doc_id", "range", "n", "n_chars", "e", F.explode(F.array(F.struct(F.lit(False).alias("changed"), F.col("text").alias("t")), F.struct(F.lit(True).alias("changed"), F.col("edited").alias("t")))).alias("x")).select("doc_id", "range", "n", "n_chars", "e", "x.*")
-    one = signatures(both, ["range", "n", "doc_id", "n_chars", "e", "changed"], "t")
-    pair = one.groupBy("range", "n", "doc_id", "n_chars", "e").agg(F.max(F.when(~F.col("changed"), F.col("sig"))).alias("sig"), F.max(F.when(F.col("changed"), F.col("sig"))).alias("edited_sig"))
+    keys = ["range", "n", "doc_id", "n_chars", "e"]
+    pair = signatures(edited.withColumn("e", F.sha2("edited", 256)), keys, "text", "edited").withColumnRenamed("sig_other", "edited_sig")
     pair = cut(pair)
     order = Window.partitionBy("range").orderBy("n")
     heads = pair.where("n = 1").select("range", "sig")

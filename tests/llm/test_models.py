@@ -1,7 +1,9 @@
 """Nearest neighbours, fingerprints, language, raking and toxicity on small tables."""
 
+import hashlib
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -201,3 +203,23 @@ def test_gapped_insults_are_found(spark):
     got = {r.doc_id: r.score >= 0.5 for r in toxicity.toxicity(asked, model).collect()}
     assert got == {1: True, 2: False, 3: False, 4: False, 5: True, 6: True, 7: True}
     assert toxicity.fit(docs.limit(0), labels) is None
+
+
+def test_fingerprint_query_and_null_ids(spark):
+    got = {r.doc_id: r for r in cws.op6_weighted_sampling(spark, "/root/testdata/sf0.001").collect()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    ids, errors = sorted(texts), []
+    words = lambda t: Counter(w for w in re.split("[\\x09-\\x0d\\x20]+", t.lower()) if w)
+    for i, k in enumerate(ids):
+        text, after = texts[k], texts[ids[(i + 1) % len(ids)]]
+        edited = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        assert got[k].n_chars == len(text) and got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for other, near in ((edited, got[k].near_edited), (after, got[k].near_next)):
+            x, y = words(text), words(other)
+            union = sum((x | y).values())
+            errors.append(near - (sum((x & y).values()) / union if union else 1.0))
+        assert (got[k].fingerprint == got[k].edited_fingerprint) == (got[k].near_edited == 1)
+    assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.05
+    df = spark.createDataFrame([(None, "a"), (5, "b"), (None, "c"), (9, "d")], "doc_id long, text string")
+    nexts = sorted((r.doc_id or 0, r.text, r.next_text) for r in cws.with_next(df).collect())
+    assert nexts == [(0, "a", "c"), (0, "c", "b"), (5, "b", "d"), (9, "d", "a")]
