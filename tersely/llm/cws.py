@@ -1,9 +1,9 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
 A term's weight in a text is its count.  For each of ``SAMPLES`` samples a term draws, from its 63-bit hash alone, two
-gamma(2, 1) values and a uniform one; with the weight they give a value, and the term with the smallest value is the sample.
+gamma(2, 1) values and a uniform one; with the weight they give a value, and the term with the best value is the sample.
 A text and its edited form share most terms, so both are read together and a term draws once for the two weights.
-Two texts share a sample with the probability of their generalised Jaccard similarity.  The smallest value itself
+Two texts share a sample with the probability of their generalised Jaccard similarity.  The best value itself
 names the sampled term and its quantised weight, so a sample is one double and a fingerprint their short hashes.
 
 Texts are dealt once, by ranges of their ids, so that a document meets the next one without a second shuffle.
@@ -27,11 +27,16 @@ SAMPLES = 128
 
 
 def values(term: Column, log_weights: list[Column], k: int) -> list[Column]:
-    """Logarithms of the values that a term (a long) has in sample ``k`` with each of some weights."""
+    """What a term (a long) gives in sample ``k`` with each of some weights; the largest value of a text is its sample.
+
+    The sample is the term with the least ``c * exp(-r * m)`` for gamma values ``r = -log(a)`` and ``c = -log(b)`` of products ``a`` and
+    ``b`` of two uniform values; as powers that is the largest ``b ** (a ** m)``, and no logarithm is taken where a term stands once.
+    """
     h, g = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
     u = lambda x, s: (F.shiftrightunsigned(x, s).bitwiseAND(F.lit(0x1FFFFF)) + F.lit(0.5)) / F.lit(2097152.0)
-    r, log_c, beta = -F.log(u(h, 0) * u(h, 21)), F.log(-F.log(u(g, 0) * u(g, 21))), u(h, 42)
-    return [log_c - r * (F.floor(w / r + beta) - beta + F.lit(1.0)) for w in log_weights]
+    a, b, beta = u(h, 0) * u(h, 21), u(g, 0) * u(g, 21), u(h, 42)
+    steps = lambda w: F.when(w == 0, F.lit(0.0)).otherwise(F.floor(w / -F.log(a) + beta).cast("double"))
+    return [F.when(w.isNotNull(), F.pow(b, F.pow(a, steps(w) - beta + F.lit(1.0)))) for w in log_weights]
 
 
 def hashes(text: str) -> Column:
@@ -63,7 +68,7 @@ def signatures(rows: DataFrame, keys: list[str], text: str = "text", other: str
     (second,) = fresh(rows, "_other")
     known = rows.select(*keys, F.col(text).alias("_text"), (F.col(other) if other else F.lit(None).cast("string")).alias(second))
     sides = [F.col("lx"), F.col("ly")] if other else [F.col("lx")]
-    low = [F.min(v).alias(f"_{n}_{k}") for k in range(samples) for n, v in enumerate(values(F.col("term"), sides, k))]
+    low = [F.max(v).alias(f"_{n}_{k}") for k in range(samples) for n, v in enumerate(values(F.col("term"), sides, k))]
     found = counted(known, ("_text", second)).groupBy(*keys).agg(*low)
     short = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     side = lambda n: F.array(*[short(f"_{n}_{k}") for k in range(samples)])
