@@ -202,6 +202,27 @@ def text_tokens(text: Column) -> Column:
     return F.when(F.coalesce(size, F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.round((size - code) / 3.5 + code / 3.0).cast("int"))).cast("long")
 
 
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1)
+
+
+def paired_counts(a: Column, b: Column) -> Column:
+    """``array<struct<x, y>>``: how often each different string of two arrays stands in the first and in the second.
+
+    The second's get a space behind them, which sorts before all that words are made of, so a word's counts stand side by side.
+    """
+    def count(s: Column, i: Column) -> Column:
+        at, n = lambda k: F.get(s, F.get(i, k)), lambda k: (F.get(i, k + 1) - F.get(i, k)).cast("long")
+        first, none = lambda k: ~at(k).endswith(" "), F.lit(0).cast("long")
+        pair = lambda k: F.struct(F.when(first(k), n(k)).otherwise(none).alias("x"), F.when(~first(k), n(k)).when(at(k + 1) == F.concat(at(k), F.lit(" ")), n(k + 1)).otherwise(none).alias("y"))
+        new = lambda k: first(k) | (k == 0) | (F.concat(at(k - 1), F.lit(" ")) != at(k))
+        return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(i) - 2, F.lit(0))), lambda k: (F.size(s) > 0) & new(k)), pair)
+
+    both = F.sort_array(F.concat(a, F.transform(b, lambda w: F.concat(w, F.lit(" ")))))
+    edges = lambda s: F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+    return let(both, lambda s: let(edges(s), lambda i: count(s, i)))
+
+
 def word_jaccard(a: Column, b: Column) -> Column:
     """Shared share of the lower-case words of two texts; 1 if both have none, 0 if one has."""
     words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"(?U)(\w+)"), 1))

@@ -2,42 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import ceil
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tersely.functions.text import length_ratio, word_jaccard
+from tersely.functions.names import fresh, let
+from tersely.functions.text import length_ratio, paired_counts, words
+
+
+def cosine(counts: Column) -> Column:
+    """Cosine of two texts' word counts (``paired_counts``); 0 if either has no words."""
+    total = lambda f: F.aggregate(counts, F.lit(0).cast("long"), lambda n, c: n + f(c))
+    xx, yy = total(lambda c: c["x"] * c["x"]), total(lambda c: c["y"] * c["y"])
+    return F.when((xx > 0) & (yy > 0), total(lambda c: c["x"] * c["y"]) / (F.sqrt(xx) * F.sqrt(yy))).otherwise(0.0)
 
 
-def cosine(pairs: DataFrame, key: str, a: str = "baseline", b: str = "compressed") -> DataFrame:
-    """``key, cosine_similarity`` of the texts' word counts; 0 if either has no words."""
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"(?U)(\w+)"), 1)
-    each = pairs.select(key, F.explode_outer(F.concat(F.transform(words(a), lambda w: F.struct(w.alias("w"), F.lit(1).alias("x"), F.lit(0).alias("y"))), F.transform(words(b), lambda w: F.struct(w.alias("w"), F.lit(0).alias("x"), F.lit(1).alias("y"))))).alias("t"))
-    counts = each.groupBy(key, "t.w").agg(F.sum("t.x").alias("x"), F.sum("t.y").alias("y"))
-    sums = counts.groupBy(key).agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
-    return sums.select(key, F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("dot") / (F.sqrt("xx") * F.sqrt("yy"))).otherwise(0.0).alias("cosine_similarity"))
+def jaccard(counts: Column) -> Column:
+    """Shared share of two texts' words; 1 if both have none."""
+    return F.when(F.size(counts) == 0, 1.0).otherwise(F.size(F.filter(counts, lambda c: (c["x"] > 0) & (c["y"] > 0))) / F.size(counts))
 
 
-def score(pairs: DataFrame, key: str, threshold: float = 0.85, a: str = "baseline", b: str = "compressed") -> DataFrame:
-    """``pairs`` with their similarities, divergence and whether they are stable."""
+def score(pairs: DataFrame, threshold: float = 0.85, a: str = "baseline", b: str = "compressed") -> DataFrame:
+    """``pairs`` with their similarities, divergence and whether they are stable; a null text is empty.  No shuffle."""
     x, y = F.coalesce(F.col(a), F.lit("")), F.coalesce(F.col(b), F.lit(""))
-    out = pairs.join(cosine(pairs, key, a, b), key).withColumns({"jaccard_similarity": word_jaccard(x, y), "length_ratio": length_ratio(x, y)})
+    both = let(paired_counts(words(x), words(y)), lambda c: F.struct(cosine(c).alias("cosine"), jaccard(c).alias("jaccard")))
+    (name,) = fresh(pairs, "_both")
+    out = pairs.withColumn(name, both).withColumns({"cosine_similarity": F.col(name)["cosine"], "jaccard_similarity": F.col(name)["jaccard"], "length_ratio": length_ratio(x, y)}).drop(name)
     total = 0.5 * F.col("cosine_similarity") + 0.3 * F.col("jaccard_similarity") + 0.2 * F.col("length_ratio")
     return out.withColumns({"composite": total, "divergence_score": F.round(1 - total, 4), "is_stable": total >= threshold})
 
 
 def adjusted_levels(rows: DataFrame, step: float = 0.1, least: float = 0.2) -> DataFrame:
-    """The level each unstable row leaves its model at: a step down from the first unstable row's level, once for each."""
-    order = Window.partitionBy("model").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, 0)
+    """The level each unstable row leaves its model at: a step down from the first unstable row's level, once for each.
+
+    A model stands at ``least`` after a few unstable rows, so only so many of its first ones are found (a limited rank, not a
+    sort of its log), and every row counts those up to it.
+    """
+    few, rank = ceil((1 - least) / step) + 1, Window.partitionBy("model").orderBy("ts", "request_id")
     bad = rows.where(~F.col("is_stable"))
-    # steps already at the floor don't add up below it
-    return bad.withColumn("adjusted_level", F.round(F.greatest(F.first("level").over(order) - step * F.count("*").over(order), F.lit(least)), 2))
+    row, firsts = fresh(bad, "_row", "_firsts")
+    first = bad.select("model", "ts", "request_id", "level").withColumn(row, F.row_number().over(rank)).where(F.col(row) <= few)
+    held = first.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("ts", "request_id", "level"))).alias(firsts))
+    steps = F.size(F.filter(firsts, lambda x: F.struct(x["ts"], x["request_id"]) <= F.struct("ts", "request_id")))
+    level = F.round(F.greatest(F.get(firsts, F.lit(0))["level"] - step * steps, F.lit(least)), 2)
+    return bad.join(held, "model").withColumn("adjusted_level", level).drop(firsts)
 
 
 def levels_in_force(requests: DataFrame, adjusted: DataFrame) -> DataFrame:
-    """Each request's level, or the model's latest adjusted one before it if lower: an as-of join by union and window."""
-    both = requests.select("model", "ts", "request_id", "level", F.lit(None).cast("double").alias("adjusted"), F.lit(0).alias("kind")).unionByName(adjusted.select("model", "ts", "request_id", F.lit(None).cast("double").alias("level"), F.col("adjusted_level").alias("adjusted"), F.lit(1).alias("kind")))
-    order = Window.partitionBy("model").orderBy("ts", "request_id", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("seen", F.last("adjusted", ignorenulls=True).over(order)).where("kind = 0").select("request_id", "model", "ts", "level", F.least("level", "seen").alias("level_in_force"))
+    """Each request's level, or the model's latest adjusted one before it if lower.
+
+    Adjusted levels of a model never rise and are few, so the first row of each is all that is needed: an as-of join with a
+    handful of rows a model.
+    """
+    first = adjusted.groupBy("model", "adjusted_level").agg(F.min(F.struct("ts", "request_id")).alias("since"))
+    held = first.groupBy("model").agg(F.collect_list(F.struct("since", "adjusted_level")).alias("levels"))
+    before = F.filter("levels", lambda x: F.struct(x["since"]["ts"], x["since"]["request_id"]) < F.struct("ts", "request_id"))
+    seen = F.array_min(F.transform(before, lambda x: x["adjusted_level"]))
+    return requests.join(held, "model", "left").select("request_id", "model", "ts", "level", F.least("level", seen).alias("level_in_force"))
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -265,15 +265,22 @@ def transcripts(spark, sf):
     return conversation.transcript(_table(spark, sf, "conversations")).select("conv_id", F.octet_length("transcript").cast("bigint").alias("n_bytes"), "isolation_key")
 
 
-@query("stability_scores")
+_WORDS = "[\\p{L}\\p{M}\\p{N}_]+"
+_COUNTS = f"""WITH p AS ({PAIRS}), a AS (SELECT doc_id, w, count(*) AS x FROM (SELECT doc_id, unnest(regexp_extract_all(lower(baseline), '{_WORDS}')) AS w FROM p) GROUP BY ALL), b AS (SELECT doc_id, w, count(*) AS y FROM (SELECT doc_id, unnest(regexp_extract_all(lower(compressed), '{_WORDS}')) AS w FROM p) GROUP BY ALL),
+    c AS (SELECT doc_id, sum(x * y) AS xy, sum(x * x) AS xx, sum(y * y) AS yy, count(*) FILTER (WHERE x > 0 AND y > 0) / count(*) AS j FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.w = b.w) GROUP BY doc_id),
+    s AS (SELECT p.doc_id, CASE WHEN xx > 0 AND yy > 0 THEN CAST(xy AS DOUBLE) / (sqrt(CAST(xx AS DOUBLE)) * sqrt(CAST(yy AS DOUBLE))) ELSE 0 END AS cs, coalesce(j, 1.0) AS js, CASE WHEN strlen(baseline) = 0 AND strlen(compressed) = 0 THEN 1.0 WHEN strlen(baseline) = 0 OR strlen(compressed) = 0 THEN 0.0 ELSE least(strlen(baseline), strlen(compressed)) / greatest(strlen(baseline), strlen(compressed)) END AS l FROM p LEFT JOIN c ON p.doc_id = c.doc_id),
+    t AS (SELECT *, 0.5 * cs + 0.3 * js + 0.2 * l AS total FROM s)"""
+
+
+@query("stability_scores", f"{_COUNTS} SELECT doc_id, round(cs, 4) AS cosine_similarity, round(js, 4) AS jaccard_similarity, round(l, 4) AS length_ratio, round(1 - total, 4) AS divergence_score, total >= 0.85 AS is_stable FROM t")
 def stability_scores(spark, sf):
-    out = stability.score(pairs(spark, sf), "doc_id")
+    out = stability.score(pairs(spark, sf))
     return out.select("doc_id", F.round("cosine_similarity", 4).alias("cosine_similarity"), F.round("jaccard_similarity", 4).alias("jaccard_similarity"), F.round("length_ratio", 4).alias("length_ratio"), "divergence_score", "is_stable")
 
 
-@query("stability_summary")
+@query("stability_summary", f"{_COUNTS} SELECT count(*) AS n, CAST(count(*) FILTER (WHERE total >= 0.85) AS BIGINT) AS stable, CAST(count(*) FILTER (WHERE total < 0.85) AS BIGINT) AS divergent, round(count(*) FILTER (WHERE total >= 0.85) / count(*) * 100, 1) AS stability_rate, round(sum(cs) / count(*), 4) AS avg_cosine_similarity, round(sum(round(1 - total, 4)) / count(*), 4) AS avg_divergence_score FROM t")
 def stability_summary(spark, sf):
-    return stability.summary(stability.score(pairs(spark, sf), "doc_id"))
+    return stability.summary(stability.score(pairs(spark, sf)))
 
 
 _ROWS = f"SELECT event_id AS request_id, ts, model, level, latency_ms < 3 AS is_stable FROM ({LOG})"
