@@ -23,10 +23,10 @@ def drain(df, folder, name, mode="append"):
 
 def test_late_rows_are_dropped(spark, tmp_path):
     schema = "ts timestamp, original_tokens long, optimized_tokens long"
-    feed(spark, str(tmp_path / "in"), schema, [("2024-01-01 00:00:01", 10, 8)], [("2024-01-01 01:00:00", 5, 5)], [("2024-01-01 00:00:02", 90, 9), ("2024-01-01 02:00:00", 1, 1)])
+    feed(spark, str(tmp_path / "in"), schema, [("2024-01-01 00:00:01", 10, 8)], [("2024-01-01 01:00:00", 5, 5)], [("2024-01-01 01:30:00", 7, 5)], [("2024-01-01 00:00:02", 90, 9), ("2024-01-01 02:30:00", 1, 1)])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {(str(r.start), r.original_tokens) for r in drain(windowed(stream), str(tmp_path / "c"), "late")}
-    assert got == {("2024-01-01 00:00:00", 10), ("2024-01-01 01:00:00", 5)}
+    assert got == {("2024-01-01 00:00:00", 10), ("2024-01-01 01:00:00", 5), ("2024-01-01 01:30:00", 7)}
 
 
 def test_levels_are_kept_by_model(spark, tmp_path):
