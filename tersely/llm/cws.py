@@ -24,15 +24,17 @@ from tersely.llm.common import cut, fresh, partitions, table
 
 #: A likeness is off by sqrt(p (1 - p) / SAMPLES) on average, 0.044 at most.
 SAMPLES = 128
+#: Samples whose code is compiled together.
+GROUP = 8
 
 
-def values(term: Column, log_weights: list[Column], k: int) -> list[Column]:
-    """What a term (a long) gives in sample ``k`` with each of some weights; the largest value of a text is its sample.
+def values(term: Column, log_weights: list[Column], k: int, group: Column) -> list[Column]:
+    """What a term (a long) gives in sample ``k`` of a group with each of some weights; the largest value of a text is its sample.
 
     The sample is the term with the least ``c * exp(-r * m)`` for gamma values ``r = -log(a)`` and ``c = -log(b)`` of products ``a`` and
     ``b`` of two uniform values; as powers that is the largest ``b ** (a ** m)``, and no logarithm is taken where a term stands once.
     """
-    h, g = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    h, g = F.xxhash64(term, group, F.lit(2 * k)), F.xxhash64(term, group, F.lit(2 * k + 1))
     u = lambda x, s: (F.shiftrightunsigned(x, s).bitwiseAND(F.lit(0x1FFFFF)) + F.lit(0.5)) / F.lit(2097152.0)
     a, b, beta = u(h, 0) * u(h, 21), u(g, 0) * u(g, 21), u(h, 42)
     steps = lambda w: F.when(w == 0, F.lit(0.0)).otherwise(F.floor(w / -F.log(a) + beta).cast("double"))
@@ -68,11 +70,18 @@ def signatures(rows: DataFrame, keys: list[str], text: str = "text", other: str
     (second,) = fresh(rows, "_other")
     known = rows.select(*keys, F.col(text).alias("_text"), (F.col(other) if other else F.lit(None).cast("string")).alias(second))
     sides = [F.col("lx"), F.col("ly")] if other else [F.col("lx")]
-    low = [F.max(v).alias(f"_{n}_{k}") for k in range(samples) for n, v in enumerate(values(F.col("term"), sides, k))]
-    found = counted(known, ("_text", second)).groupBy(*keys).agg(*low)
+    # samples are worked out in groups: the code of so few is compiled as one, that of all of them isn't
+    width = min(GROUP, samples)
+    (group,) = fresh(known, "_group")
+    groups = F.explode(F.sequence(F.lit(0), F.lit(-(-samples // width) - 1)))
+    best = [F.max(v).alias(f"_{n}_{k}") for k in range(width) for n, v in enumerate(values(F.col("term"), sides, k, F.col(group)))]
+    found = counted(known, ("_text", second)).withColumn(group, groups).groupBy(*keys, group).agg(*best)
     short = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)))
-    side = lambda n: F.array(*[short(f"_{n}_{k}") for k in range(samples)])
-    return found.select(*keys, side(0).alias("sig"), *[side(1).alias("sig_other")] * bool(other))
+    part = lambda n: F.array(*[short(f"_{n}_{k}") for k in range(width)]).alias(f"p{n}")
+    parts = F.sort_array(F.collect_list(F.struct(F.col(group), *[part(n) for n in range(len(sides))])))
+    joined = found.groupBy(*keys).agg(parts.alias("_parts"))
+    side = lambda n: F.slice(F.flatten(F.transform("_parts", lambda x: x[f"p{n}"])), 1, samples)
+    return joined.select(*keys, side(0).alias("sig"), *[side(1).alias("sig_other")] * bool(other))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
