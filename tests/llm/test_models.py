@@ -223,3 +223,33 @@ def test_fingerprint_query_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a"), (5, "b"), (None, "c"), (9, "d")], "doc_id long, text string")
     nexts = sorted((r.doc_id or 0, r.text, r.next_text) for r in cws.with_next(df).collect())
     assert nexts == [(0, "a", "c"), (0, "c", "b"), (5, "b", "d"), (9, "d", "a")]
+
+
+def test_most_products_of_the_scan_are_skipped():
+    rng = np.random.default_rng(5)
+    x = 2 * rng.standard_normal((40, 64))[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 64))
+    turned = x @ np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    tile, asked = ann.Tile.of(np.arange(4000), turned), np.arange(0, 4000, 200)
+    blocks = len(tile.blocks)
+    exact = [np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[1:11] for q in asked]
+    kth = np.array([((x[e[-1]] - x[q]) ** 2).sum() for q, e in zip(asked, exact)])
+    for top, most in ((np.full(len(asked), np.inf), 0.6), (kth * 1.1, 0.55)):  # without a bound from another list, and with one
+        query, row, work = ann.scan(asked, turned[asked], top, tile, 10)
+        assert work < most * len(asked) * 4000 * blocks
+        found = [set(row[query == k]) for k in range(len(asked))]
+        assert sum(len(set(e) & f) for e, f in zip(exact, found)) >= 0.95 * 10 * len(asked)
+
+
+def test_recall_on_a_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.embedding is not None}
+    ids = np.array(sorted(rows))
+    x = np.array([rows[i] for i in ids])
+    got = ann.op1_adaptive_scan(spark, sf).collect()
+    hits = total = 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - rows[q]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        want = set(ids[np.lexsort((ids, d))[:10]].tolist())
+        hits, total = hits + len(want & {r.vec_id for r in got if r.query_id == q}), total + 10
+    assert hits >= 0.9 * total
