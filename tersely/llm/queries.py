@@ -12,6 +12,7 @@ from tersely.llm.mixing import mixing_sql, op8_mixing_raking
 from tersely.llm.repeats import op5_suffix_repeats
 from tersely.llm.simhash import op10_simhash_tiles
 from tersely.llm.toxicity import op9_toxicity_subsequence_svm
+from tersely.llm.turnrepair import op12_turn_repair, repair_sql
 
 QUERIES = {
     "op1_adaptive_scan": op1_adaptive_scan,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_mixing_raking": op8_mixing_raking,
     "op9_toxicity_subsequence_svm": op9_toxicity_subsequence_svm,
     "op10_simhash_tiles": op10_simhash_tiles,
+    "op12_turn_repair": op12_turn_repair,
 }
-ORACLE_SQL: dict[str, str] = {"op8_mixing_raking": mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op8_mixing_raking": mixing_sql(), "op12_turn_repair": repair_sql()}
