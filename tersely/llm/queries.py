@@ -13,6 +13,7 @@ from tersely.llm.repeats import op5_suffix_repeats
 from tersely.llm.simhash import op10_simhash_tiles
 from tersely.llm.toxicity import op9_toxicity_subsequence_svm
 from tersely.llm.turnrepair import op12_turn_repair, repair_sql
+from tersely.llm.turntrie import op13_turn_trie, trie_sql
 
 QUERIES = {
     "op1_adaptive_scan": op1_adaptive_scan,
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_toxicity_subsequence_svm": op9_toxicity_subsequence_svm,
     "op10_simhash_tiles": op10_simhash_tiles,
     "op12_turn_repair": op12_turn_repair,
+    "op13_turn_trie": op13_turn_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op8_mixing_raking": mixing_sql(), "op12_turn_repair": repair_sql()}
+ORACLE_SQL: dict[str, str] = {"op8_mixing_raking": mixing_sql(), "op12_turn_repair": repair_sql(), "op13_turn_trie": trie_sql()}
