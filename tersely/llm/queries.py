@@ -10,6 +10,7 @@ from tersely.llm.langid import op7_language_viterbi
 from tersely.llm.licenses import op2_license_automaton
 from tersely.llm.mixing import mixing_sql, op8_mixing_raking
 from tersely.llm.repeats import op5_suffix_repeats
+from tersely.llm.secretscan import op11_secret_field
 from tersely.llm.simhash import op10_simhash_tiles
 from tersely.llm.toxicity import op9_toxicity_subsequence_svm
 from tersely.llm.turnrepair import op12_turn_repair, repair_sql
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_mixing_raking": op8_mixing_raking,
     "op9_toxicity_subsequence_svm": op9_toxicity_subsequence_svm,
     "op10_simhash_tiles": op10_simhash_tiles,
+    "op11_secret_field": op11_secret_field,
     "op12_turn_repair": op12_turn_repair,
     "op13_turn_trie": op13_turn_trie,
 }
