@@ -13,6 +13,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once for each row: Spark does not copy it into the expressions that use it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of ``df`` has, in any case."""
     taken, out = {c.lower() for c in df.columns}, []

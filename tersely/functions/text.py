@@ -54,7 +54,7 @@ _WORD = re.compile(r"(?:\\b|\\s\+)([a-z]+)(s\?)?(?=\\b|\\s\+)", re.I)
 _ALTERNATIVE = re.compile(r"([a-z]+)(s\?)?(?=$|\\s\+)", re.I)
 
 
-def _required(pattern: str) -> list[list[str]]:
+def required_words(pattern: str) -> list[list[str]]:
     """Lists of words of which a text must hold one, whole and in any case, for ``pattern`` to match.
 
     Words count that stand between ``\\b`` and ``\\s+`` outside of groups, and the first words of a group's alternatives.
@@ -112,7 +112,7 @@ def gates(category: str, since: tuple[str, ...] = ()) -> tuple[tuple[str, ...],
     out = []
     for pattern, to in rules(category):
         found = []
-        for words in _required(pattern) if category in FOLDED else []:
+        for words in required_words(pattern) if category in FOLDED else []:
             causes = [g for w in words for g in brought.get(w, [])]
             if all(causes):
                 found.append(tuple(sorted({*words, *(w for g in causes for w in g)})))
@@ -122,7 +122,8 @@ def gates(category: str, since: tuple[str, ...] = ()) -> tuple[tuple[str, ...],
     return tuple(out)
 
 
-def _words(text: Column, needed: set[str]) -> Column:
+def words_held(text: Column, needed: set[str]) -> Column:
+    """Which of the words ``needed`` are in the text, in any case."""
     # the letters that ignoring case treats as these
     low = F.lower(F.translate(text, "\u017f\u0130\u0131\u212a", "siik"))
     return F.array_intersect(F.array(*map(F.lit, sorted(needed))), F.split(low, r"(?U)\W+")) if needed else F.array().cast("array<string>")
@@ -133,12 +134,12 @@ def held(text: Column, *chain: str) -> Column:
 
     It stays true while these rules change the text, as they leave words whole.
     """
-    return _words(text, {w for k, c in enumerate(chain) for g in gates(c, chain[:k]) for w in g})
+    return words_held(text, {w for k, c in enumerate(chain) for g in gates(c, chain[:k]) for w in g})
 
 
 def held_as_is(text: Column, *categories: str) -> Column:
     """As ``held``, for rules that are all tried on the text as it stands."""
-    return _words(text, {w for c in categories for g in gates(c) for w in g})
+    return words_held(text, {w for c in categories for g in gates(c) for w in g})
 
 
 def apply_gated(text: Column, category: str, words: Column, since: tuple[str, ...] = ()) -> Column:

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tersely.functions.names import fresh
+from tersely.functions.normalize import normalize_requests
+from tersely.functions.program import DECLARED
 from tersely.functions.routing import profile
-from tersely.functions.rules import CATEGORIES
 from tersely.functions.structured import compact_json
-from tersely.functions.text import held_as_is, match_counts
 from tersely.jobs.compress import compress_requests, compress_responses
-from tersely.operators.requests import message_tokens, request_tokens
+from tersely.operators.requests import message_tokens, request_tokens, tools_json
+from tersely.operators.wire import written_messages
 
 #: A fixed value: roles whose messages are compressed as requests.
 ROLES = ("user", "system", "tool")
@@ -38,30 +39,32 @@ def places(requests: DataFrame, key: str = "request_id", age: int = 2, responses
 
 
 def compress_texts(texts: DataFrame) -> DataFrame:
-    """Distinct ``text, level, profile, mode`` with ``compressed``; results that are one JSON value are also compacted."""
-    asked = compress_requests(texts.where("mode <> 'response'"))
+    """Distinct ``text, level, profile, mode`` with ``compressed`` and ``rule_hits``; results that are one JSON value are also compacted."""
+    asked = compress_requests(texts.where("mode <> 'response'"), hits=True)
     json = F.when((F.col("mode") == "result") & (F.col("level") >= 0.5), compact_json(F.col("compressed"))).otherwise(F.col("compressed"))
-    return asked.withColumn("compressed", json).unionByName(compress_responses(texts.where("mode = 'response'")))
+    return asked.withColumn("compressed", json).unionByName(compress_responses(texts.where("mode = 'response'"), hits=True))
 
 
-def compress_whole(requests: DataFrame, key: str = "request_id", age: int = 2, responses: bool = True, hits: bool = False) -> DataFrame:
-    """``requests`` (``key, model, level, system, system_is_string, messages`` and maybe ``tools``) with their texts compressed.
+def compress_whole(requests: DataFrame, key: str = "request_id", age: int = 2, responses: bool = True, hits: bool = False, normalized: bool = False, bound: bool = True) -> DataFrame:
+    """``requests`` (``key, model, level, system, system_is_string, messages`` and maybe ``tools`` and ``tools_json``) with their texts compressed.
 
     Adds the tokens before and after, and the tokens saved in old answers and how many of these became shorter.  A text is
     compressed once however many requests hold it; only its hash travels with the places, and Spark splits a hash that very many
-    share.  With ``hits`` comes ``rule_hits``, the number of rules by category that match the texts as they came.
+    share.  With ``hits`` comes ``rule_hits``, the rules that matched by category, each as it was applied: none at level 0, and a text
+    that stands twice counts twice.  ``normalized`` requests have their prompts put in order first, with the boundary if ``bound``.
     """
-    tools = F.col("tools") if "tools" in requests.columns else None
+    tools = tools_json(requests)
     count = lambda: request_tokens(F.col("system"), F.col("system_is_string"), F.col("messages"), tools)
     rows = requests.withColumn("original_tokens", count())
+    rows = normalize_requests(rows, bound) if normalized else rows
     held = places(rows.select(key, "level", profile(F.col("model")).alias("profile"), "system", "messages"), key, age, responses)
     held = held.withColumn("h", F.sha2(F.concat_ws("\u001f", "mode", "profile", F.col("level").cast("string"), "text"), 256))
     texts = held.groupBy("h").agg(*[F.first(c).alias(c) for c in ("text", "level", "profile", "mode")])
     # no filter on what is compressed: pushed down, it would repeat the whole chain of rules
-    done = compress_texts(texts).select("h", F.col("compressed").alias("new"))
-    new = held.select(key, "place", "h").join(done, "h").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "new"))).alias("news"))
-    (news,) = fresh(rows, "_news")
-    out = rows.join(new.withColumnRenamed("news", news), key, "left")
+    done = compress_texts(texts).select("h", F.col("compressed").alias("new"), F.transform("rule_hits", lambda x: x["hits"]).alias("n"))
+    new = held.select(key, "place", "h").join(done, "h").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "new"))).alias("news"), F.array(*[F.sum(F.get("n", F.lit(k))) for k in range(len(DECLARED))]).alias("sums"))
+    news, sums = fresh(rows, "_news", "_sums")
+    out = rows.join(new.withColumnsRenamed({"news": news, "sums": sums}), key, "left")
     found = lambda place, old: F.coalesce(F.try_element_at(news, place), old)
 
     def block(b: Column, at: Column) -> Column:
@@ -76,17 +79,25 @@ def compress_whole(requests: DataFrame, key: str = "request_id", age: int = 2, r
     cutoff = F.size("messages") - 2 * age
     saved = F.transform(F.zip_with(old, "messages", lambda x, y: F.struct(x["role"].alias("role"), (message_tokens(x) - message_tokens(y)).alias("n"))), lambda x, i: F.when((x["role"] == "assistant") & (i < cutoff) & F.lit(responses), F.greatest(x["n"], F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")))
     out = out.withColumns({"optimized_tokens": count(), "response_tokens_saved": F.aggregate(saved, F.lit(0).cast("long"), lambda n, x: n + x), "responses_compressed": F.size(F.filter(saved, lambda x: x > 0))}).drop(old, news)
-    if not hits:
-        return out
-    counted = held.withColumn("w", held_as_is(F.col("text"), *CATEGORIES)).select(key, match_counts(F.col("text"), F.col("w")).alias("c")).groupBy(key).agg(F.collect_list("c").alias("cs"))
-    summed = F.transform(F.get("cs", F.lit(0)), lambda x, i: F.struct(x["category"].alias("category"), F.aggregate("cs", F.lit(0), lambda n, c: n + F.get(c, i)["hits"]).alias("hits")))
-    return out.join(counted.select(key, summed.alias("rule_hits")), key, "left")
+    if hits:
+        out = out.withColumn("rule_hits", F.array(*[F.struct(F.lit(c).alias("category"), F.coalesce(F.get(sums, F.lit(k)), F.lit(0).cast("long")).alias("hits")) for k, c in enumerate(DECLARED)]))
+    return out.drop(sums)
 
 
-def write_compressed(done: DataFrame, path: str, original: str | None = None) -> None:
-    """One row a request: messages (those before, where there are none after), model and the tokens before and after."""
-    messages = F.coalesce("messages", original) if original else F.col("messages")
-    done.select("request_id", F.to_json(messages).alias("messages"), "model", "original_tokens", "optimized_tokens").write.mode("append").parquet(path)
+def compressed_lines(done: DataFrame) -> DataFrame:
+    """``line``: for each request ``{messages, model, optimized_tokens, original_tokens}`` in the shape in which requests come.
+
+    Messages that were not changed are those of the request's line (``raw``), byte for byte but for the order of their keys.
+    """
+    raw = F.try_parse_json("raw") if "raw" in done.columns else F.lit(None).cast("variant")
+    messages = F.coalesce(written_messages(raw, F.col("messages")), F.parse_json(F.lit("null")))
+    values = {"messages": messages, "model": F.coalesce("model", F.lit("unknown")).cast("variant"), "optimized_tokens": F.col("optimized_tokens").cast("variant"), "original_tokens": F.col("original_tokens").cast("variant")}
+    return done.select(F.to_json(F.to_variant_object(F.create_map(*[y for k, v in values.items() for y in (F.lit(k), v)]))).alias("line"))
+
+
+def write_compressed(done: DataFrame, path: str) -> None:
+    """The requests' ``compressed_lines`` as a text file a task."""
+    compressed_lines(done).write.mode("append").text(path)
 
 
 def metrics_rows(done: DataFrame, time: str = "ts", most: int = 5) -> DataFrame:

@@ -17,7 +17,7 @@ from tersely.functions.names import fresh, let
 from tersely.functions.structured import signature
 from tersely.functions.text import strip
 from tersely.operators.conversation import THOUGHT
-from tersely.operators.requests import content_text, each_block, message, request_tokens, with_result, with_text
+from tersely.operators.requests import content_text, each_block, message, request_tokens, tools_json, with_result, with_text
 
 # Error traces, paths of libraries in them, docstrings, comments and blank lines of file views.
 TRACE = r"(?s)Traceback \(most recent call last\):.*?(?:\n\S|\z)"
@@ -115,7 +115,7 @@ def sliding_window(requests: DataFrame, max_tokens: int = 200_000, share: float
     """Requests over ``share`` of ``max_tokens``: old results and reasoning go, and all but the last messages become a summary."""
     (purged,) = fresh(requests, "_purged")
     n = F.size("messages")
-    over = request_tokens(F.col("system"), F.col("system_is_string"), F.col("messages"), F.col("tools") if "tools" in requests.columns else None) > int(max_tokens * share)
+    over = request_tokens(F.col("system"), F.col("system_is_string"), F.col("messages"), tools_json(requests)) > int(max_tokens * share)
     results = lambda m: F.when((m["role"] == "tool") & m["is_string"], each_block(m, lambda b: with_text(b, F.lit(note)))).otherwise(each_block(m, _where("tool_result", lambda b: F.lit(True), lambda b: with_result(b, F.lit(note)))))
     thoughts = lambda m: each_block(m, lambda b: with_text(b, F.regexp_replace(b["text"], F.lit(THOUGHT), F.lit(""))))
     one = F.transform("messages", lambda m, i: F.when(_old(i, result_age), results(m)).otherwise(m))

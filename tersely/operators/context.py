@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tersely.functions.names import fresh, let
 from tersely.functions.text import strip
-from tersely.operators.requests import message, request_tokens
+from tersely.operators.requests import message, request_tokens, tools_json
 
 # What makes a sentence worth keeping, and what makes it worthless.
 HIGH = [
@@ -108,7 +108,7 @@ def summarize_requests(requests: DataFrame, min_messages: int = 6, max_tokens: i
     """
     older, recent, text = fresh(requests, "_older", "_recent", "_summary")
     n = F.size("messages")
-    long = (n >= min_messages) & (request_tokens(F.col("system"), F.col("system_is_string"), F.col("messages"), F.col("tools") if "tools" in requests.columns else None) > max_tokens)
+    long = (n >= min_messages) & (request_tokens(F.col("system"), F.col("system_is_string"), F.col("messages"), tools_json(requests)) > max_tokens)
     kept = F.least(F.lit(2 * preserve), n - 2)
     parts = requests.withColumn(older, F.when(long, F.slice("messages", F.lit(1), n - kept))).withColumn(recent, F.when(long, F.slice("messages", n - kept + 1, F.greatest(kept, F.lit(0)))))
     told = parts.withColumn(text, summary(F.col(older), most))

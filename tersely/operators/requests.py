@@ -51,13 +51,24 @@ def message_tokens(m: Column) -> Column:
     return F.coalesce(total(m["blocks"], block_tokens), F.lit(0).cast("long")) + MESSAGE_OVERHEAD
 
 
-def request_tokens(system: Column, system_is_string: Column, messages: Column, tools: Column | None = None) -> Column:
-    """Tokens of a request: its system text, messages and tools with their overhead."""
+def tools_json(requests: DataFrame) -> Column | None:
+    """The tools of requests as the JSON list that is sent: the one they came with, else made from their fields; None without tools."""
+    if "tools_json" in requests.columns:
+        return F.col("tools_json")
+    if "tools" not in requests.columns:
+        return None
+    value = lambda x: x.cast("variant")
+    known = lambda t: F.map_from_arrays(F.array(*map(F.lit, ("name", "description", "input_schema"))), F.array(value(t["name"]), value(t["description"]), F.coalesce(F.try_parse_json(t["schema"]), value(t["schema"]))))
+    return F.to_json(F.to_variant_object(F.transform("tools", lambda t: F.to_variant_object(F.map_filter(known(t), lambda _, v: v.isNotNull())))))
+
+
+def request_tokens(system: Column, system_is_string: Column, messages: Column, tools_json: Column | None = None) -> Column:
+    """Tokens of a request: its system text, messages and tools with their overhead; the tools are their JSON list as it is sent."""
     texts = F.coalesce(total(system, lambda b: F.when(b["type"] == "text", text_tokens(b["text"]))), F.lit(0).cast("long"))
     head = F.when(system.isNull() | (system_is_string & (texts == 0)), 0).otherwise(texts + SYSTEM_OVERHEAD)
     out = head + F.coalesce(total(messages, message_tokens), F.lit(0).cast("long"))
-    if tools is not None:
-        out = out + F.when(tools.isNull(), 0).otherwise(text_tokens(F.to_json(tools)) + TOOL_EACH * F.size(tools))
+    if tools_json is not None:
+        out = out + F.when(tools_json.isNull(), 0).otherwise(text_tokens(tools_json) + TOOL_EACH * F.coalesce(F.json_array_length(tools_json), F.lit(0)))
     return out.cast("long")
 
 

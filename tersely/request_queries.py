@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersely.functions import routing, text
-from tersely.functions.rules import CATEGORIES, rules
+from tersely.functions import program, routing, text
+from tersely.functions.rules import rules
 from tersely.jobs.requests import compress_whole, metrics_rows
 from tersely.operators import agent, context, formats, logs, requests, semantic
+from tersely.operators.wire import wire
 from tersely.queries import LOG, MODELS, _lead, _table, _tokens_sql, log, query
+from tersely.sources.requests import parsed
 
 #: An assistant's odd turns call a tool, a user's turns 2 and 6 bring its result (of a lost call in every fifth conversation),
 #: and every seventh conversation begins with an image.
@@ -197,11 +201,123 @@ def whole_requests(spark, sf):
     return metrics_rows(done.withColumn("ts", F.lit(0.0))).select("request_id", "original_tokens", "optimized_tokens", "token_savings", "compression_level", "total_rule_hits", F.array_join(F.transform("top_categories", lambda x: F.concat(x["name"], F.lit("="), x["hits"].cast("string"))), ",").alias("top_categories"))
 
 
-@query("category_snapshot")
+#: Openings of texts that rules of every category match.
+FIRING = [
+    "user: [[reply_to_current]] Please note that in order to utilize this, it is able to act. You should verify ,  all .. parts. In situations where you need to, do not stop. January 4th, 2025. ",
+    "Your task is to write a function that sorts both cats and dogs. You are a helpful guide with over 10 years of experience in law. Thanks a lot! I hope this helps! Could you please look into it. ",
+    "#### Head\n* **bold** *it*<br/>[here](u)\nSee /usr/share/lib/python/pkg/ and 123e4567-e89b-12d3-a456-426614174000. Legal, tax, and privacy concerns while maintaining clear form, very briefly. ",
+    "```python\nimport os\nx = {  1, }\n# a comment line\n```\nThanks!\nThis is not legal advice. Please consult a qualified professional before making any decisions. ",
+    "As an AI language model, I cannot provide medical advice. Furthermore, it depends on several factors that help so as to win, without getting overly technical. ",
+]
+#: Patterns with look-around as DuckDB can say them; they differ only on texts that these queries don't have.
+_PLAIN = {
+    r"(?<!\*)\*(?!\*)([^*]+)(?<!\*)\*(?!\*)": (r"(^|[^*])\*([^*]+)\*([^*]|$)", r"\1\2\3"), r"(?m)^\s*//(?!\s*TODO)[^\n]{2,}$": (r"(?m)^\s*//[^\n]{2,}$", ""), r"(?m)^\s*#\s+(?!TODO|!|\s*$)[^\n]{3,}$": (r"(?m)^\s*#\s+[^\n]{3,}$", ""),
+    r"(?s)/\*(?!\*/).*?\*/": (r"(?s)/\*.*?\*/", ""), r'(?s)"{3}(?!.*(?:TODO|FIXME|NOTE)).*?"{3}': (r'(?s)"{3}.*?"{3}', ""), r"(?s)'{3}(?!.*(?:TODO|FIXME|NOTE)).*?'{3}": (r"(?s)'{3}.*?'{3}", ""),
+    r"(?m)^\s*\n(?=\s*\n)": (r"\n[^\S\n]*\n[^\S\n]*\n", ""), r"(?m)(^.{30,}$)\n(?:\1\n){2,}+": None, r"(?s)(U: .{200,}?)\n+\1": None,
+}
+
+
+def _rule_sql(step: program.Step, column: str) -> tuple[str, str]:
+    """Whether a rule matches, and what it leaves."""
+    found = _PLAIN.get(step.pattern, (step.pattern, re.sub(r"\$(\d)", r"\\\1", step.replacement)))
+    if found is None:
+        return "false", column
+    pattern, to = found
+    if pattern.endswith(r"(?=\.)"):
+        pattern, to = pattern.replace(r"(?=\.)", r"\."), to + "."
+    case, quoted = "i" if step.ignore_case else "", lambda x: "'" + x.replace("'", "''") + "'"
+    if r"(?!\s+\w+\s+the)" in pattern:  # the words to keep are broken, then put together again
+        column = rf"regexp_replace({column}, '\b(p)(lease\s+\w+\s+the)', concat('\1', chr(1), '\2'), 'gi')"
+        return rf"regexp_matches({column}, '\bplease\b', 'i')", rf"replace(regexp_replace({column}, '\bplease\b', '', 'gi'), chr(1), '')"
+    return f"regexp_matches({column}, {quoted(pattern)}, '{case or 'c'}')", f"regexp_replace({column}, {quoted(pattern)}, {quoted(to)}, 'g{case}')"
+
+
+def _hits_sql() -> str:
+    """The request chain in SQL, one step a category: ``id, t`` and its rules that matched."""
+    parts, names, last = [f"s0 AS (SELECT id, lvl, prof, t, false AS code FROM ({_FIRING_SQL}))"], [], 0
+    steps = [x for x in program.request_steps() if x.reads != "words"]
+    at = 0
+    while at < len(steps):
+        if steps[at].reads:
+            if steps[at].reads == "code":
+                parts.append(f"s{last + 1} AS MATERIALIZED (SELECT id, lvl, prof, t, starts_with(trim(t, chr(10) || ' '), '```') AS code FROM s{last})")
+                last += 1
+            at += 1
+            continue
+        group = [steps[at]]
+        while at + len(group) < len(steps) and not steps[at + len(group)].reads and (steps[at + len(group)].category, steps[at + len(group)].at, steps[at + len(group)].tested) == (group[0].category, group[0].at, group[0].tested):
+            group.append(steps[at + len(group)])
+        at += len(group)
+        columns, hits = ["t AS t0"], []
+        for k, step in enumerate(group):
+            match, left = _rule_sql(step, f"t{k}")
+            columns.append(f"{left} AS t{k + 1}")
+            hits.append(f"CAST({match} AS INT)")
+        when = "lvl > 0" if not group[0].at else "lvl > 0 AND lvl >= CASE prof " + " ".join(f"WHEN '{p}' THEN {t}" for p, t in group[0].at.items()) + " END"
+        when += " AND code" if group[0].category == "source_code_compression" else ""
+        parts.append(f"s{last + 1} AS MATERIALIZED (SELECT id, lvl, prof, code, CASE WHEN {when} THEN t{len(group)} ELSE t END AS t, CASE WHEN {when} THEN {' + '.join(hits)} ELSE 0 END AS hits FROM (SELECT *, {', '.join(columns)} FROM (SELECT id, lvl, prof, code, t FROM s{last})))")
+        last += 1
+        if group[0].category:
+            names.append((last, group[0].category))
+    counted = " UNION ALL ".join(f"SELECT '{c}' AS category, sum(hits) AS hits FROM s{k}" for k, c in names)
+    return f"WITH {', '.join(parts)} SELECT category, CAST(sum(hits) AS BIGINT) AS hits FROM ({counted}) GROUP BY category"
+
+
+_FIRING_SQL = "SELECT conv_id || '-' || turn AS id, CASE conv_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.6 ELSE 1.0 END AS lvl, CASE turn % 3 WHEN 0 THEN 'aggressive' WHEN 1 THEN 'balanced' ELSE 'conservative' END AS prof, CASE turn % 5 " + " ".join("WHEN {} THEN '{}'".format(k, x.replace("'", "''").replace("\n", "' || chr(10) || '")) for k, x in enumerate(FIRING)) + " END || coalesce(text, '') AS t FROM conversations"
+
+
+def firing_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of the conversations, at three levels (one of them 0) and in three profiles, that rules of every category match."""
+    level = F.when(F.col("conv_id") % 3 == 0, 0.0).when(F.col("conv_id") % 3 == 1, 0.6).otherwise(1.0)
+    profile = F.when(F.col("turn") % 3 == 0, "aggressive").when(F.col("turn") % 3 == 1, "balanced").otherwise("conservative")
+    return _conversations(spark, sf).select("conv_id", "turn", level.alias("level"), profile.alias("profile"), F.concat(_lead(F.col("turn") % 5, FIRING), "text").alias("text"))
+
+
+@query("category_snapshot", _hits_sql())
 def category_snapshot(spark, sf):
-    """The most frequent categories over all texts of the conversations."""
-    rows = _conversations(spark, sf).select("text", text.held_as_is(F.col("text"), *CATEGORIES).alias("w")).select(text.match_counts(F.col("text"), F.col("w")).alias("rule_hits"))
-    return logs.top_categories(logs.category_hits(rows), len(CATEGORIES)).select("category", "hits")
+    """Rules that matched, by category, as a request's chain applies them: each on what the rules before it left."""
+    done = firing_texts(spark, sf).select(program.run(program.request_program(), F.col("text"), F.col("level"), F.col("profile"))["hits"].alias("hits"))
+    return logs.category_hits(done.select(program.tallied(F.col("hits"), program.DECLARED).alias("rule_hits"))).select("category", "hits")
+
+
+_OWN_RULES = [("greetings", 1, r"\bdear\s+team\b,?\s*", "", True), ("greetings", 2, r"\bkind\s+regards\b", "KR", True), ("marks", 1, r"([!?]){2,}", "$1", False), ("marks", 2, r"#(\d+)", "no. $1", False)]
+_OWN_AT = [("greetings", "balanced", 0.2), ("greetings", "conservative", 0.8), ("marks", "balanced", 0.5)]
+_OWN_SQL = {c: [(p, re.sub(r"\$(\d)", r"\\\1", r), "gi" if i else "g") for k, _, p, r, i in _OWN_RULES if k == c] for c in ("greetings", "marks")}
+
+
+def _own_sql() -> str:
+    t, hits = "t", []
+    for category, at in (("greetings", "CASE prof WHEN 'conservative' THEN 0.8 ELSE 0.2 END"), ("marks", "0.5")):
+        for p, r, options in _OWN_SQL[category]:
+            hits.append(f"CASE WHEN lvl > 0 AND lvl >= {at} AND regexp_matches({t}, '{p}', '{'i' if 'i' in options else 'c'}') THEN 1 ELSE 0 END")
+            t = f"CASE WHEN lvl > 0 AND lvl >= {at} THEN regexp_replace({t}, '{p}', '{r}', '{options}') ELSE {t} END"
+    return f"SELECT conv_id, turn, md5({t}) AS text_md5, CAST({' + '.join(hits)} AS BIGINT) AS hits FROM (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.6 ELSE 1.0 END AS lvl, CASE turn % 3 WHEN 0 THEN 'aggressive' WHEN 1 THEN 'balanced' ELSE 'conservative' END AS prof, concat('Dear  Team, see #', turn, '!!! ', coalesce(text, ''), CASE conv_id % 2 WHEN 0 THEN ' Kind regards' ELSE '' END) AS t FROM conversations)"
+
+
+@query("user_rules", _own_sql())
+def user_rules(spark, sf):
+    """A user's own rules and thresholds over the texts of the conversations."""
+    own = program.user_program(spark.createDataFrame(_OWN_RULES, "category string, rule_idx int, pattern string, replacement string, ignore_case boolean"), spark.createDataFrame(_OWN_AT, "category string, profile string, threshold double"))
+    rows = firing_texts(spark, sf).select("conv_id", "turn", "level", "profile")
+    texts = _conversations(spark, sf).select("conv_id", "turn", F.concat(F.lit("Dear  Team, see #"), F.col("turn").cast("string"), F.lit("!!! "), "text", F.when(F.col("conv_id") % 2 == 0, " Kind regards").otherwise("")).alias("text"))
+    done = rows.join(texts, ["conv_id", "turn"]).withColumn("x", program.run(own, F.col("text"), F.col("level"), F.col("profile")))
+    return done.select("conv_id", "turn", F.md5("x.text").alias("text_md5"), F.size("x.hits").cast("bigint").alias("hits"))
+
+
+_EXTRA = """concat('{"text":', CASE turn % 2 WHEN 0 THEN concat('"t', turn, '"') ELSE 'null' END, ',"type":"text","cache_control":{"ttl":"5m","type":"ephemeral"},"x":[1,2.5,{"b":null,"a":true}]}')"""
+_SORTED = """concat('{"cache_control":{"ttl":"5m","type":"ephemeral"},"text":', CASE turn % 2 WHEN 0 THEN concat('"t', turn, '"') ELSE 'null' END, ',"type":"text","x":[1,2.5,{"a":true,"b":null}]}')"""
+
+
+@query("wire_requests", f"""SELECT conv_id, md5(concat('{{"a":{{"y":', conv_id, ',"z":[]}},"messages":[', string_agg(CASE turn % 3 WHEN 0 THEN concat('{{"content":"m', turn, '","name":"n","role":"', role, '"}}') ELSE concat('{{"content":[', {_SORTED}, ',{{"content":[{{"text":"part","type":"text"}},{{"source":{{"a":1,"b":2}},"type":"image"}}],"tool_use_id":"t","type":"tool_result"}}],"role":"', role, '"}}') END, ',' ORDER BY turn), '],"model":"x","system":[{{"cache_control":{{"type":"ephemeral"}},"text":"s","type":"text"}}],"tools":[{{"description":"d","name":"f"}}]}}')) AS line_md5, CAST(round(strlen('[{{"description":"d","name":"f"}}]') / 3.5) + 8 AS BIGINT) AS tool_tokens FROM conversations GROUP BY conv_id""")
+def wire_requests(spark, sf):
+    """Requests read from JSON, compressed at level 0 and written back: what they were, with keys in order, unknown ones too."""
+    message = F.expr(f"""CASE turn % 3 WHEN 0 THEN concat('{{"role":"', role, '","content":"m', turn, '","name":"n"}}') ELSE concat('{{"role":"', role, '","content":[', {_EXTRA}, ',{{"type":"tool_result","tool_use_id":"t","content":[{{"type":"text","text":"part"}},{{"type":"image","source":{{"b":2,"a":1}}}}]}}]}}') END""")
+    rows = _conversations(spark, sf).groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]), ",").alias("ms"))
+    line = F.concat(F.lit('{"model":"x","tools":[{"name":"f","description":"d"}],"system":[{"type":"text","text":"s","cache_control":{"type":"ephemeral"}}],"messages":['), "ms", F.lit('],"a":{"z":[],"y":'), F.col("conv_id").cast("string"), F.lit("}}"))
+    asked = rows.select("conv_id", parsed(line).alias("r")).select("conv_id", "r.*").withColumn("level", F.lit(0.0))
+    done = compress_whole(asked, key="conv_id")
+    tools = text.text_tokens(F.col("tools_json")) + requests.TOOL_EACH * F.json_array_length("tools_json")
+    return wire(done).select("conv_id", F.md5("line").alias("line_md5"), tools.cast("bigint").alias("tool_tokens"))
 
 
 @query("ttl_reuse")

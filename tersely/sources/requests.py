@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tersely.operators.requests import text_block
+from tersely.operators.wire import tools_text
 
 _BLOCK = "type:string,text:string,id:string,name:string,input:string,tool_use_id:string,content:string"
 #: Content is read as text first: a list of blocks comes as its JSON.
@@ -33,11 +34,20 @@ def parsed(line: Column) -> Column:
     tools = F.transform(flat["tools"], lambda t: F.struct(t["name"].alias("name"), t["description"].alias("description"), F.coalesce(t["input_schema"], t["parameters"]).alias("schema")))
     row = F.struct(
         *[flat[n].alias(n) for n in ("request_id", "ts", "model", "level", "headers")], F.coalesce(held, plain).alias("system"), (lists["system"].isNull() & flat["system"].isNotNull()).alias("system_is_string"),
-        F.transform(flat["messages"], message).alias("messages"), tools.alias("tools"),
+        F.transform(flat["messages"], message).alias("messages"), tools.alias("tools"), tools_text(line).alias("tools_json"), line.alias("raw"),
     )
     return F.when(flat["messages"].isNotNull(), row)
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """The requests of a log; lines without messages are left out.  Read nested tables with ``spark.read.parquet``."""
-    return spark.read.text(path).select(parsed(F.col("value")).alias("r")).where("r is not null").select("r.*")
+def read_requests(spark: SparkSession, path: str, seen: Observation | None = None) -> DataFrame:
+    """The requests of a log, with the line that each came as (``raw``); lines without messages are left out.
+
+    ``seen`` counts, in the same pass, all ``lines``, those ``rejected`` that are no JSON object and those ``without_messages``; it
+    can be read after an action on the rows.  Read nested tables with ``spark.read.parquet``.
+    """
+    rows = spark.read.text(path).select("value", parsed(F.col("value")).alias("r"))
+    if seen is not None:
+        known = F.try_parse_json("value")
+        broken = known.isNull() | ~F.schema_of_variant(known).startswith("OBJECT")
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if(broken).alias("rejected"), F.count_if(~broken & F.col("r").isNull()).alias("without_messages"))
+    return rows.where("r is not null").select("r.*")
