@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tersely.functions.names import fresh
+from tersely.functions.names import fresh, once
 from tersely.functions.normalize import normalize_requests
 from tersely.functions.program import DECLARED
 from tersely.functions.routing import profile
@@ -56,7 +56,10 @@ def compress_whole(requests: DataFrame, key: str = "request_id", age: int = 2, r
     tools = tools_json(requests)
     count = lambda: request_tokens(F.col("system"), F.col("system_is_string"), F.col("messages"), tools)
     rows = requests.withColumn("original_tokens", count())
-    rows = normalize_requests(rows, bound) if normalized else rows
+    if normalized:
+        (held,) = fresh(rows, "_held")
+        own = ("system", "system_is_string", "messages")
+        rows = once(normalize_requests(rows, bound), held, F.struct(*own)).withColumns({c: F.col(held)[c] for c in own}).drop(held)
     held = places(rows.select(key, "level", profile(F.col("model")).alias("profile"), "system", "messages"), key, age, responses)
     held = held.withColumn("h", F.sha2(F.concat_ws("\u001f", "mode", "profile", F.col("level").cast("string"), "text"), 256))
     texts = held.groupBy("h").agg(*[F.first(c).alias(c) for c in ("text", "level", "profile", "mode")])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tersely.functions.lineage import written
 from tersely.functions.normalize import distinct_lines
-from tersely.functions.text import text_tokens, word_jaccard
+from tersely.functions.text import text_tokens, words
 
 MESSAGE_OVERHEAD, SYSTEM_OVERHEAD = 4, 6
 
@@ -59,12 +60,32 @@ def drop_repeated_lines(texts: DataFrame, key: str, text: str = "text") -> DataF
     return texts.select(key, distinct_lines(F.coalesce(text, F.lit(""))).alias(text))
 
 
-def redundant_pairs(messages: DataFrame, threshold: float = 0.3, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Pairs of messages in one conversation whose words overlap by more than ``threshold``."""
-    a = messages.select(key, F.col(order).alias("turn_a"), F.col("text").alias("text_a"))
-    b = messages.select(key, F.col(order).alias("turn_b"), F.col("text").alias("text_b"))
-    both = a.join(b, key).where("turn_a < turn_b")
-    return both.withColumn("confidence", F.round(word_jaccard(F.coalesce("text_a", F.lit("")), F.coalesce("text_b", F.lit(""))), 6)).where(F.col("confidence") > threshold).select(key, "turn_a", "turn_b", "confidence")
+def redundant_pairs(messages: DataFrame, threshold: float = 0.7, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """``key, turn_a, turn_b, confidence`` of messages in one conversation whose word sets overlap by more than ``threshold`` (Jaccard).
+
+    Two sets that overlap so much share one of their ``n - ceil(threshold * n) + 1`` rarest words, so only messages meet that have
+    such a word of a conversation in common; of these, pairs of too unlike sizes and pairs whose words left over are too few
+    go before their words are compared.  Words are ordered by how many messages hold them.  Texts without words meet none.
+    """
+    told = messages.select(F.col(key).alias("k"), F.col(order).alias("turn"), F.array_distinct(words(F.coalesce("text", F.lit("")))).alias("ws")).where(F.size("ws") > 0)
+    told = told.withColumn("id", F.monotonically_increasing_id())
+    each = told.select("k", "turn", "id", F.size("ws").alias("n"), F.explode("ws").alias("word"))
+    held = each.groupBy("word").agg(F.count("*").alias("df"))
+    ranked = each.join(held, "word").groupBy("k", "turn", "id", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("ws"))
+    rows = written(ranked)
+    prefix = F.slice("ws", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1)
+    first = rows.select("k", "id", "n", F.posexplode(prefix).alias("at", "word"))
+    a, b = first.alias("a"), first.alias("b")
+    need = (F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold))
+    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    near = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id")) & (left >= need - 1e-9) & (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold))
+    pairs = near.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    side = lambda name: rows.select(F.col("id").alias(name), F.col("k"), F.col("turn").alias(f"t{name}"), F.col("ws").alias(f"w{name}"))
+    both = pairs.join(side("x"), "x").join(side("y").drop("k"), "y")
+    common = F.size(F.array_intersect("wx", "wy"))
+    share = common / (F.size("wx") + F.size("wy") - common)
+    found = both.withColumn("confidence", share).where(F.col("confidence") > threshold)
+    return found.select(F.col("k").alias(key), F.least("tx", "ty").alias("turn_a"), F.greatest("tx", "ty").alias("turn_b"), F.round("confidence", 6).alias("confidence"))
 
 
 def transcript(messages: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:

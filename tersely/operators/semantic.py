@@ -72,26 +72,3 @@ def condense(requests: DataFrame, function: Callable[[str], str], system: int =
     block = F.array(F.struct(F.lit("text").alias("type"), F.col(a).alias("text"), F.lit(False).alias("cached")))
     out = out.withColumns({"messages": F.when(F.col(b).isNotNull(), short).otherwise(F.col("messages")), "system": F.when(F.col(a).isNotNull(), block).otherwise(F.col("system")), "system_is_string": F.col("system_is_string") | F.col(a).isNotNull()})
     return out.drop(a, b, f"{a}h", f"{b}h", "system_text", "history_text", "n_condensed")
-
-
-def reuse_report(uses: DataFrame, key: str = "key", time: str = "ts", latency: str = "latency_ms", ttl: float = 300.0) -> DataFrame:
-    """``uses`` with ``hit`` and ``saved_ms``: a use is a hit within ``ttl`` seconds of the miss that made its entry, and saves that
-    miss's latency.  The uses of a key are read in order of time, ties by latency; each miss starts a new span.
-
-    The state is two numbers, so a key's uses are folded where they stand sorted and never gathered.
-    """
-    def run(batches):
-        held, since, cost = None, 0.0, 0.0
-        for frame in batches:
-            hit, saved = [], []
-            for k, t, ms in zip(frame["_k"], frame["_t"], frame["_l"]):
-                fresh_ = k == held and t - since < ttl
-                if not fresh_:
-                    held, since, cost = k, t, ms
-                hit.append(fresh_)
-                saved.append(cost if fresh_ else 0.0)
-            yield frame.drop(columns=["_k", "_t", "_l"]).assign(hit=hit, saved_ms=saved)
-
-    rows = uses.withColumns({"_k": F.col(key).cast("string"), "_t": F.col(time).cast("double"), "_l": F.coalesce(F.col(latency).cast("double"), F.lit(0.0))}).where("_k is not null and _t is not null")
-    fields = ", ".join(f"`{n}` {t}" for n, t in uses.dtypes)
-    return rows.repartition("_k").sortWithinPartitions("_k", "_t", "_l").mapInPandas(run, f"{fields}, hit boolean, saved_ms double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tersely.functions import normalize, routing, structured, telegraph, text
@@ -255,9 +255,16 @@ def repeated_instructions(spark, sf):
     return out.select("doc_id", F.md5("text").alias("text_md5"), F.octet_length("text").cast("bigint").alias("n_bytes"))
 
 
-@query("redundant_messages")
+_SAID = "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN concat(lag(text, 2) OVER (PARTITION BY conv_id ORDER BY turn), ' and once more') ELSE text END AS text FROM conversations"
+_SETS = f"SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS ws FROM ({_SAID})"
+
+
+@query("redundant_messages", f"SELECT conv_id, turn_a, turn_b, round(j, 6) AS confidence FROM (SELECT a.conv_id, a.turn AS turn_a, b.turn AS turn_b, len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) AS j FROM ({_SETS}) a JOIN ({_SETS}) b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE len(a.ws) > 0 AND len(b.ws) > 0) WHERE j > 0.7")
 def redundant_messages(spark, sf):
-    return conversation.redundant_pairs(_table(spark, sf, "conversations"))
+    """Pairs of messages of a conversation that say nearly the same; every third message repeats the one two before it."""
+    messages = _table(spark, sf, "conversations")
+    said = F.lag("text", 2).over(Window.partitionBy("conv_id").orderBy("turn"))
+    return conversation.redundant_pairs(messages.withColumn("text", F.when(F.col("turn") % 3 == 2, F.concat(said, F.lit(" and once more"))).otherwise(F.col("text"))))
 
 
 @query("transcripts", r"SELECT conv_id, strlen(t) AS n_bytes, concat('hist:', sha256(lower(regexp_replace(t, '[ \t\n\r\f\x0B]+', ' ', 'g')))) AS isolation_key FROM (SELECT conv_id, string_agg(concat('[', i, '] ', role, ': ', coalesce(text, '')), chr(10) || chr(10) ORDER BY turn) AS t FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) GROUP BY conv_id)")

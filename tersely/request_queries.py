@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tersely.functions import program, routing, text
 from tersely.functions.rules import rules
 from tersely.jobs.requests import compress_whole, metrics_rows
-from tersely.operators import agent, context, formats, logs, requests, semantic
+from tersely.operators import agent, context, formats, logs, requests, reuse, semantic
 from tersely.operators.wire import wire
 from tersely.queries import LOG, MODELS, _lead, _table, _tokens_sql, log, query
 from tersely.sources.requests import parsed
@@ -320,11 +320,27 @@ def wire_requests(spark, sf):
     return wire(done).select("conv_id", F.md5("line").alias("line_md5"), tools.cast("bigint").alias("tool_tokens"))
 
 
-@query("ttl_reuse")
+_USES = "SELECT event_id, CAST(user_id % 50 AS VARCHAR) AS key, epoch_us(ts) AS t, CAST(event_id % 5 AS DOUBLE) AS c FROM events"
+
+
+@query("ttl_reuse", f"""WITH RECURSIVE u AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, c, event_id) AS i FROM ({_USES})),
+    m AS (SELECT key, t, c, i FROM u WHERE i = 1 UNION ALL SELECT key, x.t, x.c, x.i FROM (SELECT m.key AS key, min_by({{'t': u.t, 'c': u.c, 'i': u.i}}, u.i) AS x FROM m JOIN u ON u.key = m.key AND u.t >= m.t + 3600000000 GROUP BY m.key))
+    SELECT u.event_id, u.key, u.i <> m.i AS hit, CASE WHEN u.i <> m.i THEN m.c ELSE 0 END AS saved_ms FROM u ASOF JOIN m ON u.key = m.key AND u.i >= m.i""")
 def ttl_reuse(spark, sf):
-    """Uses of a key within five minutes of the miss that made its entry, with the time saved."""
+    """Uses of a key within an hour of the miss that made its entry, with the time saved."""
     uses = _table(spark, sf, "events").select((F.col("user_id") % 50).cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 5).cast("double").alias("latency_ms"), "event_id")
-    return semantic.reuse_report(uses, ttl=3600.0).select("event_id", "key", "hit", "saved_ms")
+    return reuse.reuse_report(uses, ttl=3600.0).select("event_id", "key", "hit", "saved_ms")
+
+
+@query("reuse_by_sketches", """SELECT lang, count(*) AS lookups, true AS is_close, count(DISTINCT doc_id % 30) AS days FROM documents WHERE strlen(text) > 0 AND strlen(text) <= 65536 AND doc_id % 30 BETWEEN 3 AND 20 GROUP BY lang""")
+def reuse_by_sketches(spark, sf):
+    """Reuse of texts over a stretch of days from the sketches of single days; held against the exact count, within 2 %."""
+    texts = _table(spark, sf, "documents").withColumn("day", F.col("doc_id") % 30)
+    sketches = reuse.reuse_sketches(texts, "text", ["lang"], "day")
+    told = reuse.reuse_over(sketches, ["lang"], F.lit(3), F.lit(20))
+    exact = logs.reuse(texts.where("day between 3 and 20"), "text", ["lang"]).select("lang", F.col("distinct_texts").alias("exact"))
+    days = sketches.where("day between 3 and 20").groupBy("lang").agg(F.count("*").alias("days"))
+    return told.join(exact, "lang").join(days, "lang").select("lang", "lookups", (F.abs(F.col("distinct_texts") - F.col("exact")) <= 0.02 * F.col("exact")).alias("is_close"), "days")
 
 
 @query("compression_sweep")

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from tersely import request_queries
 from tersely.functions import text as T
 from tersely.functions.normalize import distinct_lines, normalize_requests
+from tersely.functions.program import DECLARED
 from tersely.functions.rules import CATEGORIES
 from tersely.jobs import requests as jobs
 from tersely.jobs.compress import compress_requests, compress_responses
-from tersely.operators import agent, context, formats, logs, requests, semantic
+from tersely.operators import agent, context, formats, logs, requests, reuse, semantic
 from tersely.queries import LEADS
 from tersely.sources.logs import append_stability, read_stability
 from tersely.sources.requests import read_requests
@@ -122,7 +123,7 @@ def test_condensing_and_reuse(spark, rows):
     assert texts(calls["a"].messages[0]) == ["[Semantic Summary of 4 messages]\nshort"]
     assert semantic.condense(rows, lambda t: t + " and longer", system=1, history=1).where("request_id = 'a'").first().system[0].text == REQUESTS[0]["system"]
     uses = [("k", 0.0, 5.0), ("k", 299.0, 1.0), ("k", 300.0, 7.0), ("k", 599.9, 1.0), ("j", 10.0, 2.0), (None, 1.0, 1.0)]
-    got = semantic.reuse_report(spark.createDataFrame(uses, "key string, ts double, latency_ms double").repartition(3)).collect()
+    got = reuse.reuse_report(spark.createDataFrame(uses, "key string, ts double, latency_ms double").repartition(3)).collect()
     assert sorted((r.key, r.ts, r.hit, r.saved_ms) for r in got) == [("j", 10.0, False, 0.0), ("k", 0.0, False, 0.0), ("k", 299.0, True, 5.0), ("k", 300.0, False, 0.0), ("k", 599.9, True, 7.0)]
 
 
@@ -142,7 +143,7 @@ def test_whole_requests_are_their_texts_compressed(spark, rows):
     assert texts(m[0]) == [one(texts(before["a"][0])[0], compress_requests)] and texts(m[1]) == [one(texts(before["a"][1])[0], compress_responses)]
     assert m[1].blocks[1] == before["a"][1].blocks[1] and m[2].blocks[1] == before["a"][2].blocks[1]  # calls and images stay
     assert texts(m[5]) == texts(before["a"][5]) and got["b"].messages == before["b"] and got["c"].messages == []
-    assert got["a"].optimized_tokens < got["a"].original_tokens and got["a"].responses_compressed == 1 and [x.category for x in got["a"].rule_hits] == list(CATEGORIES)
+    assert got["a"].optimized_tokens < got["a"].original_tokens and got["a"].responses_compressed == 1 and [x.category for x in got["a"].rule_hits] == list(DECLARED)
     metrics = {r.request_id: r for r in jobs.metrics_rows(done.withColumn("ts", F.lit(1.0))).collect()}
     assert len(metrics["a"].top_categories) == 5 and metrics["a"].total_rule_hits == sum(x.hits for x in got["a"].rule_hits)
     total = logs.snapshot(done).first()

@@ -1,12 +1,15 @@
 """Streams over files that come one by one, with exact results."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
+from tersely.functions.program import DECLARED, request_program, run, tallied
 from tersely.functions.routing import profile
 from tersely.jobs.compress import compress_requests
-from tersely.streaming.metrics import adjusted_levels, compressed, reuse, windowed
+from tersely.operators.reuse import reuse_report
+from tersely.streaming.metrics import adjusted_levels, category_totals, compressed, keep_latest, latest, reuse, windowed
 
 
 def feed(spark, folder, schema, *batches):
@@ -38,13 +41,33 @@ def test_levels_are_kept_by_model(spark, tmp_path):
     assert got == {1: 0.8, 2: 0.7, 4: 0.6, 5: 0.2, 6: 0.2}
 
 
-def test_reuse_is_exact(spark, tmp_path):
-    schema = "key string, ts double, latency_ms double"
-    feed(spark, str(tmp_path / "in"), schema, [("k", 0.0, 5.0), ("k", 299.0, 1.0), ("j", 10.0, 2.0)], [("k", 300.0, 7.0), ("k", 599.0, 1.0), ("j", 20.0, 1.0)])
+def test_reuse_is_that_of_the_batch(spark, tmp_path):
+    """Rows out of order within and over batches, batches over an hour apart: hits are judged by event time alone."""
+    schema, rng = "key string, ts timestamp, latency_ms double", random.Random(5)
+    at = lambda s: f"2024-01-01 {s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"
+    uses = [(rng.choice("kkkj"), at(rng.randrange(4000)), float(n)) for n in range(120)] + [("k", at(18000 + s), 500.0 + s) for s in (0, 299, 300, 599, 601)]
+    early, late = uses[:120], uses[120:]
+    rng.shuffle(early)
+    feed(spark, str(tmp_path / "in"), schema, early[:60], early[60:], late[::-1], [("flush", "2024-01-02 12:00:00", 0.0)], [("flush", "2024-01-02 12:00:01", 0.0)])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    got = sorted((r.key, r.ts, r.hit, r.saved_ms) for r in drain(reuse(stream), str(tmp_path / "c"), "reuse"))
-    assert got == [("j", 10.0, False, 0.0), ("j", 20.0, True, 2.0), ("k", 0.0, False, 0.0), ("k", 299.0, True, 5.0), ("k", 300.0, False, 0.0), ("k", 599.0, True, 7.0)]
+    got = sorted((r.key, r.ts, r.hit, r.saved_ms) for r in drain(reuse(stream, late="70 minutes"), str(tmp_path / "c"), "reuse") if r.key != "flush")
+    batch = reuse_report(spark.createDataFrame(uses, schema.replace("timestamp", "string")).withColumn("ts", F.col("ts").cast("timestamp")))
+    assert got == sorted((r.key, r.ts.timestamp(), r.hit, r.saved_ms) for r in batch.withColumn("ts", F.col("ts")).collect()) and len(got) == 125
+
+
+def test_latest_counters_of_categories(spark, tmp_path):
+    schema = "id long, text string, level double, profile string"
+    texts = [[(1, "Please note that it is very useful.", 1.0, "aggressive"), (2, "kindly go", 0.0, "balanced")], [(3, "In order to go, kindly.", 0.3, "balanced")], [(4, "very, very far", 1.0, "aggressive"), (5, "kindly", 0.5, "x")]]
+    feed(spark, str(tmp_path / "in"), schema, *texts)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    hits = lambda df: df.select(tallied(run(request_program(), F.col("text"), F.col("level"), F.col("profile"))["hits"], DECLARED).alias("rule_hits"))
+    q = keep_latest(category_totals(hits(stream)), str(tmp_path / "out"), str(tmp_path / "c"))
+    q.awaitTermination(180)
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]) == 3
+    got = {r.category: (r.hits, r.requests) for r in latest(spark, str(tmp_path / "out"), "category").collect()}
+    every = hits(spark.createDataFrame(sum(texts, []), schema)).select(F.explode("rule_hits").alias("x")).where("x.hits > 0").groupBy("x.category").agg(F.sum("x.hits"), F.count("*"))
+    assert got == {r[0]: (r[1], r[2]) for r in every.collect()} and got["filler_phrases"] == (4, 3)
 
 
 def test_stream_of_requests(spark, tmp_path):
