@@ -345,11 +345,9 @@ def reuse_by_sketches(spark, sf):
 
 @query("compression_sweep")
 def compression_sweep(spark, sf):
-    """The conversations at five levels: tokens by level, never more at a higher one."""
-    from tersely.jobs.compress import compress_requests
-
-    levels = F.explode(F.array(*map(F.lit, (0.0, 0.3, 0.5, 0.8, 1.0)))).alias("level")
-    rows = _conversations(spark, sf).where("role <> 'assistant'").select("conv_id", "turn", F.concat(F.lit("Please note that it is very useful. "), "text").alias("text"), levels, F.lit("balanced").alias("profile"))
-    return logs.by(compress_requests(rows), "level")
-
+    """The messages of the conversations at five levels in three profiles: tokens, and how many texts grew or rose from a level to the next."""
+    from tersely.jobs.compress import monotony, sweep
 
+    rows = _conversations(spark, sf).where("role <> 'assistant'").select("conv_id", "turn", F.concat(_lead(F.col("turn") % 5, FIRING), "text").alias("text"))
+    done = monotony(sweep(rows, [0.0, 0.3, 0.5, 0.8, 1.0]), "conv_id", "turn")
+    return done.groupBy("profile", "level").agg(F.count("*").alias("texts"), F.sum("original_tokens").alias("original_tokens"), F.sum("optimized_tokens").alias("optimized_tokens"), F.count_if("inflated").alias("inflated"), F.count_if("rises").alias("rises"))
