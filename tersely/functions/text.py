@@ -193,7 +193,7 @@ def compress_dates(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences: cut at white space between ``.!?`` and a capital, trimmed, none empty."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+(?=[A-Z])"), strip), lambda s: s != "")
 
 
 def text_tokens(text: Column) -> Column:
