@@ -30,15 +30,15 @@ PROFILES = ("aggressive", "conservative", "balanced")
 FLAGS = {True: "(?iuUd)", False: "(?Ud)"}
 #: Most rules of a user's rule table, which is read whole.
 MOST_RULES = 5000
-STEP = "array<struct<k:string,c:int,p:string,r:string,w:array<string>,l:string,tested:boolean,t:array<double>>>"
+STEP = "array<struct<k:string,c:int,p:string,r:string,g:int,l:string,tested:boolean,t:array<double>>>"
 
 
 @dataclass(frozen=True)
 class Step:
     """One rewrite; ``category`` is None where its matches are not counted.  ``at`` has a threshold for each profile.
 
-    With ``reads`` it is no rewrite: ``words`` has the text's words read again, ``code`` and ``months`` test whether the text is code or names
-    a month, which rules with ``tested`` need.
+    With ``reads`` it is no rewrite: ``words`` has the text's words read, ``nothing`` has what was read forgotten, as rules before may have
+    changed it, ``code`` and ``months`` test whether the text is code or names a month, which rules with ``tested`` need.
     """
 
     pattern: str = ""
@@ -54,7 +54,8 @@ class Step:
 class Program:
     categories: tuple[str, ...]
     steps: list[dict] = field(repr=False)
-    words: tuple[str, ...] = field(repr=False, default=())
+    #: for each word the gates that it opens
+    opens: dict[str, list[int]] = field(repr=False, default_factory=dict)
 
     def constant(self) -> Column:
         return F.from_json(F.lit(json.dumps(self.steps)), STEP)
@@ -113,12 +114,13 @@ def literal(pattern: str, ignore_case: bool) -> str | None:
 
 
 def compiled(steps: Iterable[Step], categories: tuple[str, ...]) -> Program:
-    """A program of steps; the text's words are read before the first."""
-    out, needed, brought = [], set(), {}
-    for step in [Step(reads="words"), *steps]:
+    """A program of steps; rules before the text's words are read are tried whatever words it has."""
+    out, gates, brought = [], {}, {}
+    for step in steps:
         at = [step.at.get(p, step.at["balanced"]) for p in PROFILES] if step.at else None
         if step.reads:
             out.append({"k": step.reads, "t": at})
+            brought = {} if step.reads == "words" else brought
             continue
         found = []
         for words in required_words(step.pattern):
@@ -129,9 +131,13 @@ def compiled(steps: Iterable[Step], categories: tuple[str, ...]) -> Program:
         gate = max(found, key=lambda ws: (min(map(len, ws)), -len(ws)), default=())
         for w in re.findall(r"[a-z]+", step.replacement.lower()):
             brought.setdefault(w, []).append(gate)
-        needed.update(gate)
-        out.append({"c": categories.index(step.category) if step.category else -1, "p": FLAGS[step.ignore_case] + step.pattern, "r": step.replacement, "w": list(gate) or None, "l": None if gate else literal(step.pattern, step.ignore_case), "tested": step.tested, "t": at})
-    return Program(categories, out, tuple(sorted(needed)))
+        number = gates.setdefault(gate, len(gates)) if gate else None
+        out.append({"c": categories.index(step.category) if step.category else -1, "p": FLAGS[step.ignore_case] + step.pattern, "r": step.replacement, "g": number, "l": literal(step.pattern, step.ignore_case), "tested": step.tested, "t": at})
+    opens: dict[str, list[int]] = {}
+    for gate, number in gates.items():
+        for w in gate:
+            opens.setdefault(w, []).append(number)
+    return Program(categories, out, opens)
 
 
 def names_month(text: Column) -> Column:
@@ -146,20 +152,23 @@ def run(program: Program, text: Column, level: Column, profile: Column) -> Colum
     """
     number = F.coalesce(F.array_position(F.array(*map(F.lit, PROFILES)), profile).cast("int"), F.lit(0))
     place = F.when(number == 0, len(PROFILES) - 1).otherwise(number - 1)
-    state = lambda text, words, on, hits: F.struct(text.alias("text"), words.alias("words"), on.alias("on"), hits.alias("hits"))
+    state = lambda text, open_, on, hits: F.struct(text.alias("text"), open_.alias("open"), on.alias("on"), hits.alias("hits"))
+    unread = F.lit(None).cast("array<int>")
+    opens = F.from_json(F.lit(json.dumps(program.opens)), "map<string,array<int>>")
+    read = lambda text: F.flatten(F.transform(words_held(text, set(program.opens)), lambda w: F.try_element_at(opens, w)))
 
     def step(x: Column, s: Column) -> Column:
-        tried = s["k"].isNull() & (s["w"].isNull() | F.arrays_overlap(s["w"], x["words"])) & (s["l"].isNull() | F.contains(x["text"], s["l"])) & (~s["tested"] | x["on"])
-        new = state(F.regexp_replace(x["text"], s["p"], s["r"]), x["words"], x["on"], F.when(s["c"] >= 0, F.concat(x["hits"], F.array(s["c"]))).otherwise(x["hits"]))
+        tried = s["k"].isNull() & (s["g"].isNull() | x["open"].isNull() | F.array_contains(x["open"], s["g"])) & (s["l"].isNull() | F.contains(x["text"], s["l"])) & (~s["tested"] | x["on"])
+        new = state(F.regexp_replace(x["text"], s["p"], s["r"]), x["open"], x["on"], F.when(s["c"] >= 0, F.concat(x["hits"], F.array(s["c"]))).otherwise(x["hits"]))
         found = F.when(tried & F.rlike(x["text"], s["p"]), new)
-        if program.words:
-            found = found.when(s["k"] == "words", state(x["text"], words_held(x["text"], set(program.words)), x["on"], x["hits"]))
+        if program.opens:
+            found = found.when(s["k"] == "words", state(x["text"], read(x["text"]), x["on"], x["hits"])).when(s["k"] == "nothing", state(x["text"], unread, x["on"], x["hits"]))
         for name, test in (("code", code_or_json), ("months", names_month)):
             if any(step.get("k") == name for step in program.steps):
-                found = found.when(s["k"] == name, state(x["text"], x["words"], F.coalesce(test(x["text"]), F.lit(False)), x["hits"]))
+                found = found.when(s["k"] == name, state(x["text"], x["open"], F.coalesce(test(x["text"]), F.lit(False)), x["hits"]))
         return found.otherwise(x)
 
-    start = state(text, F.array().cast("array<string>"), F.lit(False), F.array().cast("array<int>"))
+    start = state(text, unread, F.lit(False), F.array().cast("array<int>"))
     reached = F.filter(program.constant(), lambda s: s["t"].isNull() | (level >= F.get(s["t"], place)))
     done = F.when(text.isNotNull(), F.when(level > 0, F.aggregate(reached, start, step)).otherwise(start))
     return let(done, lambda x: F.when(x.isNotNull(), F.struct(x["text"].alias("text"), x["hits"].alias("hits"))))
@@ -202,8 +211,8 @@ def request_steps() -> list[Step]:
     for category in ORDER:
         at = {p: t[category] for p, t in THRESHOLDS.items()}
         plain = lambda pairs, at=at, **also: [Step(p, r, at=at, **also) for p, r in pairs]
-        # the metadata goes, and so do marks inside of words: their words are read again
-        before = {"filler_phrases": ["words"], "semantic_formatting": ["months"], "source_code_compression": ["code"], "context_deduplication": ["words"], "disclaimer_collapse": ["words"]}
+        # metadata goes, and later marks inside of words: what was read before no longer holds
+        before = {"filler_phrases": ["words"], "semantic_formatting": ["months"], "source_code_compression": ["code"], "markdown_minification": ["nothing"], "disclaimer_collapse": ["words"]}
         steps += [Step(reads=x, at=at) for x in before.get(category, [])]
         if category == "filler_phrases":
             steps += plain(WHITE_SPACE)
@@ -229,7 +238,7 @@ def response_programs() -> tuple[Program, Program, Program]:
     """The chains of an old answer: before JSON is compacted, before code and sentences, and after them."""
     half, high = _everywhere(0.5), _everywhere(0.8)
     plain = lambda pairs, at: [Step(p, r, at=at) for p, r in pairs]
-    first = _steps("ai_output_noise", None) + plain(WHITE_SPACE, None) + _steps("markdown_minification", half) + _steps("whitespace_cleanup", half)
+    first = [Step(reads="words")] + _steps("ai_output_noise", None) + plain(WHITE_SPACE, None) + _steps("markdown_minification", half) + _steps("whitespace_cleanup", half)
     second = plain([NEWLINES], half) + [Step(reads="words", at=high)] + [s for c in ("filler_phrases", "verbose_phrases", "adverb_strip", "conversational_strip") for s in _steps(c, high)]
     return tuple(compiled(x, DECLARED) for x in (first, second, _steps("whitespace_cleanup", high) + plain([NEWLINES], high)))
 
@@ -270,4 +279,4 @@ def user_program(rule_table: DataFrame, thresholds: DataFrame) -> Program:
     for r in rows:
         _checked(rule_table.sparkSession, f"{r['category']}.{r['rule_idx']}", r["pattern"], r["replacement"])
         steps.append(Step(r["pattern"], r["replacement"] or "", r["category"], bool(r["ignore_case"]), at.get(r["category"])))
-    return compiled(steps, tuple(dict.fromkeys(r["category"] for r in rows)))
+    return compiled([Step(reads="words"), *steps], tuple(dict.fromkeys(r["category"] for r in rows)))
