@@ -28,17 +28,22 @@ SAMPLES = 128
 GROUP = 8
 
 
-def values(term: Column, log_weights: list[Column], k: int, group: Column) -> list[Column]:
-    """What a term (a long) gives in sample ``k`` of a group with each of some weights; the largest value of a text is its sample.
-
-    The sample is the term with the least ``c * exp(-r * m)`` for gamma values ``r = -log(a)`` and ``c = -log(b)`` of products ``a`` and
-    ``b`` of two uniform values; as powers that is the largest ``b ** (a ** m)``, and no logarithm is taken where a term stands once.
-    """
+def draws(term: Column, k: int, group: Column) -> dict[str, Column]:
+    """What a term (a long) draws in sample ``k`` of a group: a gamma(2, 1) value, the logarithm of another, and a uniform one."""
     h, g = F.xxhash64(term, group, F.lit(2 * k)), F.xxhash64(term, group, F.lit(2 * k + 1))
     u = lambda x, s: (F.shiftrightunsigned(x, s).bitwiseAND(F.lit(0x1FFFFF)) + F.lit(0.5)) / F.lit(2097152.0)
-    a, b, beta = u(h, 0) * u(h, 21), u(g, 0) * u(g, 21), u(h, 42)
-    steps = lambda w: F.when(w == 0, F.lit(0.0)).otherwise(F.floor(w / -F.log(a) + beta).cast("double"))
-    return [F.when(w.isNotNull(), F.pow(b, F.pow(a, steps(w) - beta + F.lit(1.0)))) for w in log_weights]
+    return {f"_r{k}": -F.log(u(h, 0) * u(h, 21)), f"_c{k}": F.log(-F.log(u(g, 0) * u(g, 21))), f"_u{k}": u(h, 42)}
+
+
+def value(log_weight: Column, k: int) -> Column:
+    """What a term gives in sample ``k`` with a weight, from its draws; the largest value of a text is its sample.
+
+    The sample is the term with the least ``c * exp(-r * (m - beta + 1))``, ``m`` being ``floor(log weight / r + beta)``; this is the
+    logarithm of that, negated, so sums and products are all that is left to do for each weight.
+    """
+    r, beta = F.col(f"_r{k}"), F.col(f"_u{k}")
+    steps = F.when(log_weight == 0, F.lit(0.0)).otherwise(F.floor(log_weight / r + beta).cast("double"))
+    return F.when(log_weight.isNotNull(), r * (steps - beta + F.lit(1.0)) - F.col(f"_c{k}"))
 
 
 def hashes(text: str) -> Column:
@@ -74,8 +79,11 @@ def signatures(rows: DataFrame, keys: list[str], text: str = "text", other: str
     width = min(GROUP, samples)
     (group,) = fresh(known, "_group")
     groups = F.explode(F.sequence(F.lit(0), F.lit(-(-samples // width) - 1)))
-    best = [F.max(v).alias(f"_{n}_{k}") for k in range(width) for n, v in enumerate(values(F.col("term"), sides, k, F.col(group)))]
-    found = counted(known, ("_text", second)).withColumn(group, groups).groupBy(*keys, group).agg(*best)
+    # the draws are columns of their own, so each is made once for a term whatever weights it has
+    drawn = {n: c for k in range(width) for n, c in draws(F.col("term"), k, F.col(group)).items()}
+    terms = counted(known, ("_text", second)).withColumn(group, groups).select(*keys, group, "lx", "ly", *[c.alias(n) for n, c in drawn.items()])
+    best = [F.max(value(w, k)).alias(f"_{n}_{k}") for k in range(width) for n, w in enumerate(sides)]
+    found = terms.groupBy(*keys, group).agg(*best)
     short = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     part = lambda n: F.array(*[short(f"_{n}_{k}") for k in range(width)]).alias(f"p{n}")
     parts = F.sort_array(F.collect_list(F.struct(F.col(group), *[part(n) for n in range(len(sides))])))
@@ -110,7 +118,7 @@ def by_ranges(ids: DataFrame, column: str, ranges: int) -> Column:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, next_text, range, n``: each row with the text of the next one by id, the last with the first's."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    ranges = partitions(docs)
+    ranges = 4 * partitions(docs)  # so that tasks get about as many each
     number = by_ranges(rows.select("doc_id"), "doc_id", ranges)
     dealt = rows.withColumn("range", number)
     order = Window.partitionBy("range").orderBy("doc_id", "text")
@@ -135,9 +143,9 @@ def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(table(spark, sf_dir, "documents"))
     size = F.char_length("text")
     edited = rows.select("doc_id", "range", "n", size.cast("long").alias("n_chars"), "text", F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))"), F.expr("substring(next_text, 1, cast(floor(char_length(text) / 4) as int))")).alias("edited"))
-    keys = ["range", "n", "doc_id", "n_chars", "e"]
-    pair = signatures(edited.withColumn("e", F.sha2("edited", 256)), keys, "text", "edited").withColumnRenamed("sig_other", "edited_sig")
-    pair = cut(pair)
+    # terms travel with two numbers only; what else a row gives is joined on at the end
+    told = edited.select("range", "n", "doc_id", "n_chars", F.sha2("edited", 256).alias("e"))
+    pair = cut(signatures(edited, ["range", "n"], "text", "edited").withColumnRenamed("sig_other", "edited_sig").join(told, ["range", "n"]))
     order = Window.partitionBy("range").orderBy("n")
     heads = pair.where("n = 1").select("range", "sig")
     whole = Window.orderBy("range")
