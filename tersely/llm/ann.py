@@ -157,8 +157,9 @@ def scan(ids: np.ndarray, turned: np.ndarray, top: np.ndarray, tile: Tile, k: in
     norm = (asked[0] ** 2).sum(axis=1)
     limit, work, a, step = top.astype(np.float64), 0, 0, FIRST
     query, row, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    # scaled to all columns, a true neighbour's partial distance hardly exceeds the limit by more than this
-    bound = lambda limit, d: limit * ((1 + epsilon / np.sqrt(d)) ** 2 * d / size if d < size else 1 + 1e-9)
+    # scaled to all columns, a true neighbour's partial distance hardly exceeds the limit by more than this; partial distances only grow,
+    # so one over the limit itself is out for sure
+    bound = lambda limit, d: limit * min((1 + epsilon / np.sqrt(d)) ** 2 * d / size, 1 + 1e-9)
     while a < n:
         b = min(a + step, n)
         part = tile.norms[a:b, None] - 2 * tile.blocks[0][a:b] @ asked[0].T + norm
@@ -238,7 +239,7 @@ def neighbours(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     # the distance that k rows of its own list reach
     reached = own.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("top"))
     known = asked.drop("top").join(reached, "vec_id", "left").select("vec_id", "v", F.coalesce("top", F.lit(float("inf"))).alias("top"))
-    wanted = max(20, int(np.ceil(probes * len(centroids))))
+    wanted = int(np.ceil(probes * len(centroids)))
     others = search(cut(known.mapInArrow(lambda b: _route(b, index, wanted, 20 * k), VISIT).where("nth > 0")))
     both = own.unionByName(others).withColumn("rank", F.row_number().over(order))
     return both.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

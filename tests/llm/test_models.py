@@ -33,6 +33,21 @@ def test_neighbours_match_brute_force(spark):
     assert ann.neighbours(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_recall_where_lists_stay_unvisited(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((6000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(df, F.col("vec_id") % 100 == 0, list_rows=100).collect():  # 60 lists, of which a query visits 42
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(found & set(np.argsort(d)[:10].tolist()))
+    assert len(got) == 60 and hits >= 0.95 * 600
+
+
 def test_fingerprint_likeness_is_generalised_jaccard(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(60)]
