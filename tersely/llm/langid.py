@@ -50,7 +50,8 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL\pM]+")
     offsets = lists.offsets.to_numpy()
     flat = lists.values[offsets[0] : offsets[-1]]
-    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    # a run of marks alone has no letter
+    full = pc.invert(pc.match_substring_regex(flat, r"^\pM*$")).to_numpy(zero_copy_only=False)
     ends = np.concatenate(([0], np.cumsum(full)))[offsets - offsets[0]]
     return np.diff(ends), flat.filter(pa.array(full))
 

@@ -268,3 +268,23 @@ def test_recall_on_a_whole_table(spark):
         want = set(ids[np.lexsort((ids, d))[:10]].tolist())
         hits, total = hits + len(want & {r.vec_id for r in got if r.query_id == q}), total + 10
     assert hits >= 0.9 * total
+
+
+def test_mixing_stage_keeps_columns_with_any_name(spark):
+    rows = [(i, f"some words number {i} " * 5, "en", f"s{i % 3}", 1.0, "a", 3, 4, 5) for i in range(60)] + [(None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _p double, _source string, __k int, _n_tokens int, _copies int")
+    got = mixing.mixing_stage(spark, docs, "")
+    assert got.columns == docs.columns and 0 < got.count() <= 120 and got.where("_source <> 'a'").count() == 0
+    assert mixing.mixing_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_language_query_on_odd_texts(spark, tmp_path):
+    words = {"en": "the and of with this that have from".split(), "fr": "les des une dans avec pour être où".split()}
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(words[lang], k=12)), lang) for i in range(200) for lang in [("en", "fr")[i % 2]]]
+    rows += [(900, None, None), (901, "", "en"), (902, "\u0301 \u0302\u0303", "en"), (903, "12 -- 34", None), (904, "the \u0301 and of", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in langid.op7_language_viterbi(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902, 903)) and got[904].lang_pred == "en"
+    held = [got[i].lang_pred == lang for i, _, lang in rows[:200] if got[i].held_out]
+    assert held and all(held)
