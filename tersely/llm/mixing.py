@@ -66,28 +66,36 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return cells.drop(*[f"to_{m}" for m in targets])
 
 
-def weighed(docs: DataFrame, margins: tuple[str, ...] = MARGINS) -> DataFrame:
-    """``docs`` with ``n_tokens`` and the margins' categories, under names of their own."""
+def mark_of(docs: DataFrame) -> str:
+    """Underscores with which no column begins."""
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    return mark
+
+
+def weighed(docs: DataFrame, margins: tuple[str, ...] = MARGINS, mark: str = "_") -> DataFrame:
+    """``docs`` with ``n_tokens`` and the margins' categories, under names of their own that begin with ``mark``."""
     text = F.coalesce("text", F.lit(""))
     known = {"topic": topic(text)} if "topic" in margins else {}
-    held = [F.coalesce((known[m] if m in known else F.col(m)).cast("string"), F.lit("<none>")).alias(f"_{m}") for m in margins]
-    return docs.select("*", F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("_n_tokens"), *held)
+    held = [F.coalesce((known[m] if m in known else F.col(m)).cast("string"), F.lit("<none>")).alias(f"{mark}{m}") for m in margins]
+    return docs.select("*", F.regexp_count(text, F.lit(TOKEN)).cast("long").alias(f"{mark}n_tokens"), *held)
 
 
-def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, margins: tuple[str, ...] = MARGINS, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with ``_n_tokens``, the categories and ``_p``; targets not given are tempered natural shares."""
-    return drawn(weighed(docs, margins), targets, margins, budget, rounds)
+def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, margins: tuple[str, ...] = MARGINS, budget: float = BUDGET, rounds: int = ROUNDS, mark: str = "_") -> DataFrame:
+    """``docs`` with ``_n_tokens``, the categories, ``_copies`` and ``_p`` (after ``mark``); targets not given are tempered natural shares."""
+    return drawn(weighed(docs, margins, mark), targets, margins, budget, rounds, mark)
 
 
-def drawn(rows: DataFrame, targets: dict[str, DataFrame] | None = None, margins: tuple[str, ...] = MARGINS, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+def drawn(rows: DataFrame, targets: dict[str, DataFrame] | None = None, margins: tuple[str, ...] = MARGINS, budget: float = BUDGET, rounds: int = ROUNDS, mark: str = "_") -> DataFrame:
     """``weighed`` rows with ``_copies``, the expected number in the draw, and ``_p``, the same up to 1; they are read twice."""
-    cells = cut(rows.groupBy(*[F.col(f"_{m}").alias(m) for m in margins]).agg(F.sum("_n_tokens").cast("double").alias("w")))
+    cells = cut(rows.groupBy(*[F.col(f"{mark}{m}").alias(m) for m in margins]).agg(F.sum(f"{mark}n_tokens").cast("double").alias("w")))
     targets = {m: (targets or {}).get(m, tempered(cells, m)) for m in margins}
     x = rake(cells, targets, rounds)
     scale = F.lit(budget) * F.sum("w").over(Window.partitionBy())
-    factors = x.select(*[F.col(m).alias(f"_{m}") for m in margins], F.when(F.col("w") > 0, F.col("x") * scale / F.col("w")).otherwise(0.0).alias("_copies"))
-    factors = factors.withColumn("_p", F.round(F.least(F.lit(1.0), "_copies"), 6))
-    return rows.join(cut(factors), [f"_{m}" for m in margins])
+    factors = x.select(*[F.col(m).alias(f"{mark}{m}") for m in margins], F.when(F.col("w") > 0, F.col("x") * scale / F.col("w")).otherwise(0.0).alias(f"{mark}copies"))
+    factors = factors.withColumn(f"{mark}p", F.round(F.least(F.lit(1.0), f"{mark}copies"), 6))
+    return rows.join(cut(factors), [f"{mark}{m}" for m in margins])
 
 
 def op8_mixing_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +126,13 @@ def mixing_sql(documents: str = "documents") -> str:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the draw takes, each as often as it takes them."""
-    whole = F.floor("_copies")
-    # a row without an id is drawn by its text
+    """The documents that the draw takes, each as often as it takes them; columns stay as they are, whatever their names.
+
+    A row without an id is drawn by its text; rows that agree in both are drawn alike.
+    """
+    mark = mark_of(docs)
+    copies = F.col(f"{mark}copies")
     drawn_by = F.coalesce(chance("doc_id"), chance(F.coalesce("text", F.lit(""))))
-    times = (whole + (drawn_by < F.col("_copies") - whole).cast("int")).cast("int")
-    return probabilities(docs).withColumn("_times", times).where("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = (F.floor(copies) + (drawn_by < copies - F.floor(copies)).cast("int")).cast("int")
+    rows = probabilities(docs, mark=mark).withColumn(f"{mark}times", times).where(F.col(f"{mark}times") > 0)
+    return rows.withColumn(f"{mark}k", F.explode(F.sequence(F.lit(1), F.col(f"{mark}times")))).select(*docs.columns)
