@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tersely.functions.names import fresh, let
-from tersely.functions.structured import signature
+from tersely.functions.structured import FENCED_JSON, signature, typed
 from tersely.functions.text import strip
 from tersely.operators.conversation import THOUGHT
-from tersely.operators.requests import content_text, each_block, message, request_tokens, tools_json, with_result, with_text
+from tersely.operators.requests import content_text, each_block, is_tool, message, request_tokens, tools_json, with_result, with_text
 
 # Error traces, paths of libraries in them, docstrings, comments and blank lines of file views.
 TRACE = r"(?s)Traceback \(most recent call last\):.*?(?:\n\S|\z)"
@@ -91,11 +91,18 @@ def dedup_errors(requests: DataFrame, note: str = SAME) -> DataFrame:
     return out.withColumn("messages", new).withColumn("n_errors", F.aggregate(again, F.lit(0), lambda n, x: n + x)).drop(keys, again)
 
 
+def compact_fences(text: Column) -> Column:
+    """``text`` with the JSON of its ``json`` fences compact and with keys in order; what is no JSON stays."""
+    found = F.zip_with(F.regexp_extract_all(text, F.lit(FENCED_JSON), 0), F.regexp_extract_all(text, F.lit(FENCED_JSON), 1), lambda whole, body: F.struct(whole.alias("whole"), F.to_json(F.try_parse_json(body)).alias("body")))
+    put = lambda t, x: F.replace(t, x["whole"], F.concat(F.lit("```json\n"), x["body"], F.lit("\n```")))
+    return F.when(text.contains("```json"), F.aggregate(F.filter(found, lambda x: x["body"].isNotNull()), text, put)).otherwise(text)
+
+
 def condense_views(requests: DataFrame, least: int = 100) -> DataFrame:
-    """Docstrings, trailing comments and blank lines cut from tool results of ``least`` bytes or more where that is shorter."""
+    """Docstrings, trailing comments and blank lines cut from tool results of ``least`` bytes or more, JSON in fences compact, where that is shorter."""
     def bare(b: Column) -> Column:
         text = F.regexp_replace(result_text(b), F.lit(DOCSTRING), F.lit('""""'))
-        return F.regexp_replace(F.regexp_replace(text, F.lit(COMMENT), F.lit("")), r"\n{3,}", "\n\n")
+        return compact_fences(F.regexp_replace(F.regexp_replace(text, F.lit(COMMENT), F.lit("")), r"\n{3,}", "\n\n"))
 
     def put(b: Column) -> Column:
         at = F.array_position(F.transform(b["parts"], lambda p: p["type"]), F.lit("text"))
@@ -155,13 +162,55 @@ def minimize_tools(tools: DataFrame) -> DataFrame:
     return tools.withColumn("description", sig).withColumn("schema", _bare_schema("schema"))
 
 
+def _sentence(text: str) -> str:
+    at = text.find(". ")
+    return text[: at + 1] if at >= 0 else text.encode()[:80].decode("utf-8", "ignore")
+
+
+@F.pandas_udf(StringType())
+def _minimized(tools: pd.Series) -> pd.Series:
+    """Lists of tools as JSON, each tool with one sentence and its signature as description and a schema without prose."""
+    def tool(t):
+        if not isinstance(t, dict):
+            return t
+        name = t["name"] if isinstance(t.get("name"), str) else "fn"
+        if isinstance(t.get("description"), str):
+            t["description"] = _sentence(t["description"])
+        key = "input_schema" if "input_schema" in t else "parameters"
+        if key in t:
+            told = t["description"] if isinstance(t.get("description"), str) else ""
+            t["description"] = f"{told} Sig: {typed(name, t[key])}"
+            props = t[key].get("properties") if isinstance(t[key], dict) else None
+            for prop in props.values() if isinstance(props, dict) else ():
+                for x in ("description", "examples", "default") if isinstance(prop, dict) else ():
+                    prop.pop(x, None)
+        return t
+
+    return pd.Series([None if x is None else json.dumps([tool(t) for t in json.loads(x)], sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in tools], dtype=object)
+
+
+def minimize_used_tools(requests: DataFrame) -> DataFrame:
+    """Requests whose messages already call tools or bring results, with their tools minimized; a first call keeps them whole."""
+    told = tools_json(requests)
+    if told is None:
+        return requests
+    (used,) = fresh(requests, "_used")
+    out = requests.withColumn("tools_json", told).withColumn(used, F.exists("messages", is_tool))
+    out = out.withColumn("tools_json", F.coalesce(_minimized(F.when(F.col(used), F.col("tools_json"))), F.col("tools_json")))
+    if "tools" in requests.columns:
+        read = F.from_json("tools_json", "array<struct<name:string,description:string,input_schema:string,parameters:string>>")
+        new = F.transform(read, lambda t: F.struct(t["name"].alias("name"), t["description"].alias("description"), F.coalesce(t["input_schema"], t["parameters"]).alias("schema")))
+        out = out.withColumn("tools", F.when(F.col(used), new).otherwise(F.col("tools")))
+    return out.drop(used)
+
+
 def optimize(requests: DataFrame) -> DataFrame:
     """All steps in order, for requests of two messages or more; counts by step and the characters saved."""
     (before,) = fresh(requests, "_bytes")
     size = lambda: F.aggregate(F.transform("messages", lambda m: F.octet_length(content_text(m))), F.lit(0), lambda n, x: n + x)
     few = requests.where(F.size("messages") < 2)
     out = sliding_window(requests.where(F.size("messages") >= 2).withColumn(before, size()))
-    for step in (prune_results, prune_thoughts, dedup_errors, condense_views):
+    for step in (prune_results, prune_thoughts, dedup_errors, condense_views, minimize_used_tools):
         out = step(out)
     out = out.withColumn("system", mark_cached(F.col("system"))).withColumn("system_is_string", F.lit(False))
     out = out.withColumn("bytes_saved", F.greatest(F.col(before) - size(), F.lit(0))).drop(before)

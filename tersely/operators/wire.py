@@ -109,12 +109,13 @@ def written_system(raw: Column, system: Column, is_string: Column) -> Column:
 
 
 def wire(requests: DataFrame, raw: str = "raw", name: str = "line") -> DataFrame:
-    """``requests`` with the JSON line of each: the one it came as (``raw``), with its system prompt and messages as they are now.
+    """``requests`` with the JSON line of each: the one it came as (``raw``), with its system prompt, messages and tools as they are now.
 
     Without changes the line is what it was but for the order of its keys; a line that is no JSON object gives null.
     """
     body = F.try_parse_json(raw)
-    fields = lambda v: with_field(with_field(v.cast(OBJECT), "messages", written_messages(v, F.col("messages"))), "system", written_system(v, F.col("system"), F.col("system_is_string")))
+    tools = F.try_parse_json("tools_json") if "tools_json" in requests.columns else F.lit(None).cast("variant")
+    fields = lambda v: with_field(with_field(with_field(v.cast(OBJECT), "messages", written_messages(v, F.col("messages"))), "system", written_system(v, F.col("system"), F.col("system_is_string"))), "tools", tools)
     return requests.withColumn(name, let(body, lambda v: F.when(is_object(v), F.to_json(_object(fields(v))))))
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersely.functions import program, routing, text
+from tersely.functions import normalize, program, routing, text
 from tersely.functions.rules import rules
 from tersely.jobs.requests import compress_whole, metrics_rows
 from tersely.operators import agent, context, formats, logs, requests, reuse, semantic
@@ -343,6 +343,64 @@ def reuse_by_sketches(spark, sf):
     return told.join(exact, "lang").join(days, "lang").select("lang", "lookups", (F.abs(F.col("distinct_texts") - F.col("exact")) <= 0.02 * F.col("exact")).alias("is_close"), "days")
 
 
+@query("effective_levels", "SELECT event_id, round(CASE WHEN h IS NULL THEN 0.5 ELSE least(1.0, greatest(0.0, h)) END, 6) AS level FROM (SELECT event_id, CASE user_id % 5 WHEN 0 THEN CAST(value AS DOUBLE) / 100 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN -1.0 ELSE 0.7 END AS h FROM events)")
+def effective_levels(spark, sf):
+    """Levels that requests ask for in a header: numbers are brought to 0 to 1, all else leaves the configured one."""
+    e, n = _table(spark, sf, "events"), F.col("user_id") % 5
+    header = F.when(n == 0, (F.col("value").cast("double") / 100).cast("string")).when(n == 1, "high").when(n == 3, "-1").when(n == 4, " 0.7 ")
+    return e.select("event_id", F.round(routing.effective_level(header, F.lit(0.5)), 6).alias("level"))
+
+
+_FORMS = ["", "```python\n", "import a\nclass B:\n", '{"a": "', "const x = () => 1\n", "def "]
+
+
+@query("code_texts", "SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN false WHEN 5 THEN false WHEN 3 THEN true ELSE true END AS is_code FROM conversations")
+def code_texts(spark, sf):
+    """Which texts are code or JSON as a whole."""
+    rows = _conversations(spark, sf)
+    text_ = F.concat(_lead(F.col("turn") % 6, _FORMS), F.when(F.col("turn") % 6 == 3, F.regexp_replace("text", r'[\\"\n]', " ")).otherwise(F.col("text")), F.when(F.col("turn") % 6 == 3, '"}').otherwise(""))
+    return rows.select("conv_id", "turn", F.coalesce(normalize.code_or_json(text_), F.lit(False)).alias("is_code"))
+
+
+@query("answer_texts", "SELECT conv_id, md5(CASE WHEN conv_id % 4 = 0 THEN '' ELSE string_agg(text, ' ' ORDER BY turn) FILTER (role <> 'system') END) AS text_md5 FROM conversations GROUP BY conv_id")
+def answer_texts(spark, sf):
+    """The texts of answers of many blocks; those of failed requests are empty."""
+    block = F.struct(F.when(F.col("role") == "system", "image").otherwise("text").alias("type"), F.col("text"))
+    rows = _conversations(spark, sf).groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]).alias("blocks"))
+    return rows.select("conv_id", F.md5(formats.answer_text(F.when(F.col("conv_id") % 4 == 0, 500).otherwise(200), F.col("blocks"))).alias("text_md5"))
+
+
+@query("sorted_tools", "SELECT conv_id, string_agg(concat(name, '.', turn), ',' ORDER BY name, turn) AS names FROM (SELECT conv_id, turn, concat('t', (turn * 7 + conv_id) % 5) AS name FROM conversations) GROUP BY conv_id")
+def sorted_tools(spark, sf):
+    """Tools by name; equal names stay in their order."""
+    tool = F.struct(F.concat(F.lit("t"), ((F.col("turn") * 7 + F.col("conv_id")) % 5).cast("string")).alias("name"), F.col("turn").alias("nth"))
+    rows = _conversations(spark, sf).groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", tool.alias("t")))), lambda x: x["t"]).alias("tools"))
+    return rows.select("conv_id", F.array_join(F.transform(normalize.sort_tools(F.col("tools")), lambda t: F.concat(t["name"], F.lit("."), t["nth"].cast("string"))), ",").alias("names"))
+
+
+@query("isolation_keys", "SELECT doc_id, concat('sys:', sha256(concat(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))), chr(31), CASE doc_id % 3 WHEN 0 THEN '' ELSE 'ws' || (doc_id % 3) END, chr(31), CASE doc_id % 2 WHEN 0 THEN '' ELSE source END))) AS isolation_key FROM documents WHERE text IS NOT NULL")
+def isolation_keys(spark, sf):
+    """Keys under which condensed prompts are kept: a text whatever its case and spacing, apart by workspace and user."""
+    d = _table(spark, sf, "documents").where("text is not null")
+    workspace = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("ws"), (F.col("doc_id") % 3).cast("string")))
+    return d.select("doc_id", semantic.isolation_key("sys", F.col("text"), workspace, F.when(F.col("doc_id") % 2 != 0, F.col("source"))).alias("isolation_key"))
+
+
+@query("snapshot_totals", f"SELECT count(*) AS requests, CAST(sum(event_id % 4) AS BIGINT) AS rule_hits, CAST(sum(original_tokens) AS BIGINT) AS original_tokens, CAST(sum(optimized_tokens) AS BIGINT) AS optimized_tokens, CAST(sum(event_id % 7) AS BIGINT) AS response_tokens_saved, CAST(sum(original_tokens) - sum(optimized_tokens) AS BIGINT) AS token_savings, round((sum(original_tokens) - sum(optimized_tokens)) / sum(original_tokens) * 100, 4) AS savings_percent FROM ({LOG})")
+def snapshot_totals(spark, sf):
+    """All that a log has counted since it began."""
+    hits = F.array(F.struct(F.lit("filler_phrases").alias("category"), (F.col("event_id") % 4).alias("hits")))
+    return logs.snapshot(log(spark, sf).select("original_tokens", "optimized_tokens", (F.col("event_id") % 7).alias("response_tokens_saved"), hits.alias("rule_hits")))
+
+
+@query("used_tools", """SELECT conv_id AS request_id, CASE WHEN count(*) FILTER ((role = 'assistant' AND turn % 2 = 1) OR (role = 'user' AND turn % 4 = 2)) > 0
+    THEN '[{"description":"Finds things. Sig: search({  q: string})","input_schema":{"properties":{"q":{"type":"string"}},"required":["q"]},"name":"search"}]'
+    ELSE '[{"description":"Finds things. Quickly.","input_schema":{"properties":{"q":{"description":"what","type":"string"}},"required":["q"]},"name":"search"}]' END AS tools_json FROM conversations GROUP BY conv_id""")
+def used_tools(spark, sf):
+    """Tools of requests, minimized where the request's messages already use them."""
+    return agent.minimize_used_tools(whole(spark, sf)).select("request_id", "tools_json")
+
+
 @query("compression_sweep")
 def compression_sweep(spark, sf):
     """The messages of the conversations at five levels in three profiles: tokens, and how many texts grew or rose from a level to the next."""

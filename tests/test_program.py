@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tersely.functions import program, text
 from tersely.functions.rules import THRESHOLDS
 from tersely.jobs.requests import compress_whole, compressed_lines, metrics_rows, write_compressed
+from tersely.operators import agent
 from tersely.operators.requests import TOOL_EACH, message, request_tokens, tools_json
 from tersely.operators.wire import wire
 from tersely.queries import LEADS
@@ -163,3 +164,17 @@ def test_tools_count_as_they_are_sent(spark, read):
 def test_normalized_requests_are_compressed(read):
     got = {r.request_id: r for r in compress_whole(read[0].withColumn("level", F.lit(0.0)), normalized=True).collect()}
     assert got["b"].system[0].text.startswith("in order to\nIf information")
+
+
+def test_tools_are_minimized_once_they_are_used(read):
+    got = {r.request_id: r for r in wire(agent.minimize_used_tools(read[0])).collect()}
+    assert json.loads(got["a"].line)["tools"] == [{"description": "dé Sig: f({})", "input_schema": {"properties": {}, "type": "object"}, "name": "f"}] and got["a"].tools[0].description == "dé Sig: f({})"
+    first = read[0].withColumn("messages", F.slice("messages", 1, 1)).where("request_id = 'a'")
+    assert json.loads(wire(agent.minimize_used_tools(first)).first().tools_json) == LINES[0]["tools"]
+    done = {r.request_id: r for r in agent.optimize(read[0]).collect()}
+    assert done["a"].tools[0].description == "dé Sig: f({})" and done["c"].tools_json is None and len(done) == 3
+
+
+def test_fenced_json_in_views_is_compact(spark):
+    text = 'see\n```json\n{"b": 1,\n "a": [1, 2]}\n```\nand ```json\nno json\n``` end'
+    assert spark.range(1).select(agent.compact_fences(F.lit(text)).alias("t")).first().t == 'see\n```json\n{"a":[1,2],"b":1}\n```\nand ```json\nno json\n``` end'
