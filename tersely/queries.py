@@ -348,12 +348,15 @@ def telegraph_sentences(spark, sf):
 _JSON_ROWS = "SELECT user_id, event_id, event_type, props FROM events"
 
 
-@query("compact_json_rows", f"""SELECT user_id, count(*) AS n_rows, md5(concat('event_id,event_type', chr(10), string_agg(concat(event_id, ',', event_type), chr(10) ORDER BY event_id))) AS text_md5
-    FROM ({_JSON_ROWS}) GROUP BY user_id HAVING count(*) > 3""")
+_JSON_LIST = """concat('[', string_agg(concat('{"event_id":', event_id, ',"event_type":"', event_type, '"}'), ',' ORDER BY event_id), ']')"""
+
+
+@query("compact_json_rows", f"""SELECT user_id, n_rows, md5(CASE WHEN n_rows >= 2 AND strlen(j) >= 150 AND strlen(c) < strlen(j) THEN c ELSE j END) AS text_md5
+    FROM (SELECT user_id, count(*) AS n_rows, {_JSON_LIST} AS j, concat('event_id,event_type', chr(10), string_agg(concat(event_id, ',', event_type), chr(10) ORDER BY event_id)) AS c FROM ({_JSON_ROWS}) GROUP BY user_id)""")
 def compact_json_rows(spark, sf):
-    """The events of each user of more than three as one JSON list, rewritten as rows."""
+    """The events of each user as one JSON list, rewritten as rows where it is long enough."""
     row = F.struct("event_id", "event_type")
-    lists = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n_rows"), F.to_json(F.sort_array(F.collect_list(row))).alias("t")).where("n_rows > 3")
+    lists = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n_rows"), F.to_json(F.sort_array(F.collect_list(row))).alias("t"))
     return lists.select("user_id", "n_rows", structured.compact_json(F.col("t")).alias("t")).select("user_id", "n_rows", F.md5("t").alias("text_md5"))
 
 
