@@ -19,7 +19,8 @@ The model is fitted on at most ``ROWS`` labelled texts of each class, chosen by
 word of every text.  Of the fitting texts the driver gets counted pieces (``PIECES`` at most) and ``SHOWN`` windows a text and round at most.
 
 Defined results: null and empty texts, and those without a word of two letters, have no window and get the margin of a
-window without subsequences; with no usable labels every score is 0; a row repeated in the input is scored as often as it comes;
+window without subsequences; few labels give a weaker model, and every score is 0 only where a class has no labelled text or no toxic
+text has a window that clean ones lack; a row repeated in the input is scored as often as it comes;
 labels repeated for one id count once, by their largest value; the stage judges each row by its own text and keeps its columns.
 """
 
@@ -418,7 +419,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine | None:
         return None
     counts = texts.mapInArrow(_pieces, "piece string, t long, c long").groupBy("piece").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
-    told = counts.withColumn("odds", F.round(odds, 6)).withColumn("told", F.round(F.col("t") * F.col("odds"), 6)).where((F.col("told") >= TELLING) & (F.col("odds") >= ODDS)).orderBy(F.desc("told"), "piece").limit(PIECES).collect()
+    told = counts.withColumn("odds", F.round(odds, 6)).withColumn("told", F.round(F.col("t") * F.col("odds"), 6)).where("odds > 0")
+    told = told.withColumn("sure", (F.col("told") >= TELLING) & (F.col("odds") >= ODDS)).orderBy(F.desc("sure"), F.desc("told"), "piece").limit(PIECES).collect()
+    # with few labels no piece is beyond chance: then all that speak for a toxic text are taken
+    told = [r for r in told if r["sure"]] or told
     if not told:
         return None
     witness = lambda m: texts.mapInArrow(lambda b: _witnesses(b, m), "doc_id long, toxic int, nth long, value double, best string").orderBy("doc_id", "nth").collect()

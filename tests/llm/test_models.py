@@ -288,3 +288,13 @@ def test_language_query_on_odd_texts(spark, tmp_path):
     assert len(got) == len(rows) and all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902, 903)) and got[904].lang_pred == "en"
     held = [got[i].lang_pred == lang for i, _, lang in rows[:200] if got[i].held_out]
     assert held and all(held)
+
+
+def test_few_labels_still_tell(spark):
+    rng = random.Random(2)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeo" for c in "lmnrst"]
+    prose = lambda: " ".join(rng.choices(words, k=15))
+    rows = [(i, prose() + (" you stupid gorvax" if i < 3 else ""), int(i < 3)) for i in range(63)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, toxicity.fit(docs, labels)).collect()}
+    assert min(got[i] for i in range(3)) > max(got[i] for i in range(3, 63))
