@@ -2,7 +2,7 @@
 
 A term's weight in a text is its count.  For each of ``SAMPLES`` samples a term draws, from its 63-bit hash alone, two
 gamma(2, 1) values and a uniform one; with the weight they give a value, and the term with the best value is the sample.
-A text and its edited form share most terms, so both are read together and a term draws once for the two weights.
+A text and its edited form share most terms, so both are counted together and a term draws once for the two weights.
 Two texts share a sample with the probability of their generalised Jaccard similarity.  The best value itself
 names the sampled term and its quantised weight, so a sample is one double and a fingerprint their short hashes.
 
@@ -46,34 +46,23 @@ def value(log_weight: Column, k: int) -> Column:
     return F.when(log_weight.isNotNull(), r * (steps - beta + F.lit(1.0)) - F.col(f"_c{k}"))
 
 
-def hashes(text: str) -> Column:
-    """An even long for each word."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x09-\\x0D\\x20]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)))
+def counted(rows: DataFrame, keys: list[str], texts: tuple[str, ...]) -> DataFrame:
+    """``keys, term, lx, ly``: one row for each distinct term of a row's texts, with the logarithms of its counts in the first and in the
+    second, null where a text lacks it.  Rows without words have none."""
+    lines = rows.select(*keys, F.posexplode(F.array(*[F.lower(F.coalesce(t, F.lit(""))) for t in texts])).alias("_side", "_line"))
+    words = lines.select(*keys, "_side", F.explode(F.split("_line", "[\\x09-\\x0D\\x20]+")).alias("_word")).where("_word <> ''")
+    count = lambda side: F.sum(F.when(F.col("_side") == side, 1).otherwise(0))
+    terms = words.groupBy(*keys, F.xxhash64("_word").alias("term")).agg(count(0).alias("_x"), count(1).alias("_y"))
+    log = lambda n: F.when(F.col(n) == 1, F.lit(0.0)).when(F.col(n) > 0, F.log(F.col(n).cast("double")))
+    return terms.select(*keys, "term", log("_x").alias("lx"), log("_y").alias("ly"))
 
 
-def counted(rows: DataFrame, texts: tuple[str, str]) -> DataFrame:
-    """``rows`` with one row for each distinct term of two texts (one with nulls if they have none): ``term, lx, ly``.
+def signatures(rows: DataFrame, keys: list[str], text: str = "text", other: str | None = None, samples: int = SAMPLES) -> DataFrame:
+    """``keys`` and ``sig``, the short hashes of the samples, and ``sig_other`` those of a second text; the keys must name single rows.
 
-    ``lx`` and ``ly`` are the logarithms of the term's counts, null where a text lacks it.  The words of the second text are
-    the odd numbers, so in order of size a term's counts stand side by side.
+    Rows whose texts have no words come without a signature of their own: it is the one of an empty text, all zeros.
     """
-    both = F.concat(hashes(texts[0]), F.transform(hashes(texts[1]), lambda h: h.bitwiseOR(F.lit(1))))
-    runs = rows.withColumn("_s", F.sort_array(both)).drop(*texts)
-    runs = runs.withColumn("_i", F.filter(F.sequence(F.lit(0), F.size("_s")), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)) | (i == F.size("_s"))))
-    at = lambda k: F.get("_s", F.get("_i", k))
-    log_count = lambda k: F.log((F.get("_i", k + 1) - F.get("_i", k)).cast("double"))
-    first = lambda k: at(k).bitwiseAND(F.lit(1)) == 0
-    pair = lambda k: F.struct(at(k).bitwiseAND(F.lit(-2)).alias("term"), F.when(first(k), log_count(k)).alias("lx"), F.when(~first(k), log_count(k)).when(at(k + 1) == at(k).bitwiseOR(F.lit(1)), log_count(k + 1)).alias("ly"))
-    new = lambda k: first(k) | (k == 0) | F.coalesce(at(k - 1) != at(k).bitwiseAND(F.lit(-2)), F.lit(True))
-    terms = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size("_i") - 2, F.lit(0))), lambda k: (F.size("_s") > 0) & new(k)), pair)
-    return runs.withColumn("_t", F.explode_outer(terms)).select("*", "_t.*").drop("_s", "_i", "_t")
-
-
-def signatures(rows: DataFrame, keys: list[str], text: str = "text", other: str | None = None, samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and ``sig``, the short hashes of the samples, and ``sig_other`` those of a second text; the keys must name single rows."""
-    (second,) = fresh(rows, "_other")
-    known = rows.select(*keys, F.col(text).alias("_text"), (F.col(other) if other else F.lit(None).cast("string")).alias(second))
+    known = counted(rows, keys, (text, other) if other else (text,))
     sides = [F.col("lx"), F.col("ly")] if other else [F.col("lx")]
     # samples are worked out in groups: the code of so few is compiled as one, that of all of them isn't
     width = min(GROUP, samples)
@@ -81,7 +70,7 @@ def signatures(rows: DataFrame, keys: list[str], text: str = "text", other: str
     groups = F.explode(F.sequence(F.lit(0), F.lit(-(-samples // width) - 1)))
     # the draws are columns of their own, so each is made once for a term whatever weights it has
     drawn = {n: c for k in range(width) for n, c in draws(F.col("term"), k, F.col(group)).items()}
-    terms = counted(known, ("_text", second)).withColumn(group, groups).select(*keys, group, "lx", "ly", *[c.alias(n) for n, c in drawn.items()])
+    terms = known.withColumn(group, groups).select(*keys, group, "lx", "ly", *[c.alias(n) for n, c in drawn.items()])
     best = [F.max(value(w, k)).alias(f"_{n}_{k}") for k in range(width) for n, w in enumerate(sides)]
     found = terms.groupBy(*keys, group).agg(*best)
     short = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -89,7 +78,10 @@ def signatures(rows: DataFrame, keys: list[str], text: str = "text", other: str
     parts = F.sort_array(F.collect_list(F.struct(F.col(group), *[part(n) for n in range(len(sides))])))
     joined = found.groupBy(*keys).agg(parts.alias("_parts"))
     side = lambda n: F.slice(F.flatten(F.transform("_parts", lambda x: x[f"p{n}"])), 1, samples)
-    return joined.select(*keys, side(0).alias("sig"), *[side(1).alias("sig_other")] * bool(other))
+    none = F.array_repeat(F.lit(0).cast("long"), samples)
+    found = joined.select(*keys, side(0).alias("sig"), *[side(1).alias("sig_other")] * bool(other))
+    all_ = rows.select(*keys).join(found, keys, "left")
+    return all_.select(*keys, *[F.coalesce(c, none).alias(c) for c in ("sig", "sig_other")[: 1 + bool(other)]])
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
@@ -135,8 +127,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """``doc_id, fingerprint`` for every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), F.monotonically_increasing_id().alias("n"))
-    return signatures(rows, ["doc_id", "n"], "text", samples=samples).select("doc_id", printed("sig").alias("fingerprint"))
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), F.monotonically_increasing_id().alias("n")))
+    return rows.select("doc_id", "n").join(signatures(rows, ["n"], "text", samples=samples), "n").select("doc_id", printed("sig").alias("fingerprint"))
 
 
 def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
