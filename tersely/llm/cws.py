@@ -25,14 +25,36 @@ from tersely.llm.common import cut, fresh, partitions, table
 #: A likeness is off by sqrt(p (1 - p) / SAMPLES) on average, 0.044 at most.
 SAMPLES = 128
 #: Samples whose code is compiled together.
-GROUP = 8
+GROUP = 4
 
 
-def draws(term: Column, k: int, group: Column) -> dict[str, Column]:
-    """What a term (a long) draws in sample ``k`` of a group: a gamma(2, 1) value, the logarithm of another, and a uniform one."""
-    h, g = F.xxhash64(term, group, F.lit(2 * k)), F.xxhash64(term, group, F.lit(2 * k + 1))
-    u = lambda x, s: (F.shiftrightunsigned(x, s).bitwiseAND(F.lit(0x1FFFFF)) + F.lit(0.5)) / F.lit(2097152.0)
-    return {f"_r{k}": -F.log(u(h, 0) * u(h, 21)), f"_c{k}": F.log(-F.log(u(g, 0) * u(g, 21))), f"_u{k}": u(h, 42)}
+def quotient(x: Column) -> Column:
+    """``(v - 1) / (v + 1)`` for the 32nd root ``v`` of a number."""
+    for _ in range(5):
+        x = F.sqrt(x)
+    return (x - F.lit(1.0)) / (x + F.lit(1.0))
+
+
+def log(z: str) -> Column:
+    """The natural logarithm of a number from 2 ** -42 to 1 by its ``quotient``, a column: 64 artanh, by a series right to some 1e-4 of it.
+
+    Spark takes its own logarithm through native calls, which cost more than all else here.
+    """
+    z = F.col(z)
+    return F.lit(64.0) * z * (F.lit(1.0) + z * z * (F.lit(1 / 3) + z * z * (F.lit(1 / 5) + z * z * F.lit(1 / 7))))
+
+
+def drawn(terms: DataFrame, kept: list[str], width: int, group: str) -> DataFrame:
+    """``terms`` (``term``, a long) with what they draw in each of ``width`` samples of a group: a gamma(2, 1) value ``_r``, the logarithm ``_c``
+    of a 32nd of another, and a uniform one ``_u``."""
+    u = lambda x, s: (F.shiftrightunsigned(x, s).bitwiseAND(F.lit(0x1FFFFF)) + F.lit(0.5)) * F.lit(1 / 2097152)
+    each = lambda *columns: [c for k in range(width) for c in (f(k) for f in columns)]
+    seed = lambda k: F.xxhash64("term", group, F.lit(k))
+    # one step's columns are used several times in the next, so each is worked out once
+    hashes = terms.select(*kept, *each(lambda k: seed(2 * k).alias(f"_h{k}"), lambda k: seed(2 * k + 1).alias(f"_g{k}")))
+    first = hashes.select(*kept, *each(lambda k: quotient(u(f"_h{k}", 0) * u(f"_h{k}", 21)).alias(f"_p{k}"), lambda k: quotient(u(f"_g{k}", 0) * u(f"_g{k}", 21)).alias(f"_q{k}"), lambda k: u(f"_h{k}", 42).alias(f"_u{k}")))
+    second = first.select(*kept, *each(lambda k: (-log(f"_p{k}")).alias(f"_r{k}"), lambda k: quotient(log(f"_q{k}") * F.lit(-1 / 32)).alias(f"_s{k}"), lambda k: F.col(f"_u{k}")))
+    return second.select(*kept, *each(lambda k: F.col(f"_r{k}"), lambda k: log(f"_s{k}").alias(f"_c{k}"), lambda k: F.col(f"_u{k}")))
 
 
 def value(log_weight: Column, k: int) -> Column:
@@ -48,29 +70,24 @@ def value(log_weight: Column, k: int) -> Column:
 
 def counted(rows: DataFrame, keys: list[str], texts: tuple[str, ...]) -> DataFrame:
     """``keys, term, lx, ly``: one row for each distinct term of a row's texts, with the logarithms of its counts in the first and in the
-    second, null where a text lacks it.  Rows without words have none."""
+    second, null where a text lacks it.  The empty string may be among them, with nulls, so a row without words still has a term."""
     lines = rows.select(*keys, F.posexplode(F.array(*[F.lower(F.coalesce(t, F.lit(""))) for t in texts])).alias("_side", "_line"))
-    words = lines.select(*keys, "_side", F.explode(F.split("_line", "[\\x09-\\x0D\\x20]+")).alias("_word")).where("_word <> ''")
-    count = lambda side: F.sum(F.when(F.col("_side") == side, 1).otherwise(0))
+    words = lines.select(*keys, "_side", F.explode(F.split("_line", "[\\x09-\\x0D\\x20]+")).alias("_word"))
+    count = lambda side: F.sum(F.when((F.col("_side") == side) & (F.col("_word") != ""), 1).otherwise(0))
     terms = words.groupBy(*keys, F.xxhash64("_word").alias("term")).agg(count(0).alias("_x"), count(1).alias("_y"))
     log = lambda n: F.when(F.col(n) == 1, F.lit(0.0)).when(F.col(n) > 0, F.log(F.col(n).cast("double")))
     return terms.select(*keys, "term", log("_x").alias("lx"), log("_y").alias("ly"))
 
 
 def signatures(rows: DataFrame, keys: list[str], text: str = "text", other: str | None = None, samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and ``sig``, the short hashes of the samples, and ``sig_other`` those of a second text; the keys must name single rows.
-
-    Rows whose texts have no words come without a signature of their own: it is the one of an empty text, all zeros.
-    """
+    """``keys`` and ``sig``, the short hashes of the samples, and ``sig_other`` those of a second text; the keys must name single rows."""
     known = counted(rows, keys, (text, other) if other else (text,))
     sides = [F.col("lx"), F.col("ly")] if other else [F.col("lx")]
     # samples are worked out in groups: the code of so few is compiled as one, that of all of them isn't
     width = min(GROUP, samples)
     (group,) = fresh(known, "_group")
     groups = F.explode(F.sequence(F.lit(0), F.lit(-(-samples // width) - 1)))
-    # the draws are columns of their own, so each is made once for a term whatever weights it has
-    drawn = {n: c for k in range(width) for n, c in draws(F.col("term"), k, F.col(group)).items()}
-    terms = known.withColumn(group, groups).select(*keys, group, "lx", "ly", *[c.alias(n) for n, c in drawn.items()])
+    terms = drawn(known.withColumn(group, groups), [*keys, group, "lx", "ly"], width, group)
     best = [F.max(value(w, k)).alias(f"_{n}_{k}") for k in range(width) for n, w in enumerate(sides)]
     found = terms.groupBy(*keys, group).agg(*best)
     short = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -78,10 +95,7 @@ def signatures(rows: DataFrame, keys: list[str], text: str = "text", other: str
     parts = F.sort_array(F.collect_list(F.struct(F.col(group), *[part(n) for n in range(len(sides))])))
     joined = found.groupBy(*keys).agg(parts.alias("_parts"))
     side = lambda n: F.slice(F.flatten(F.transform("_parts", lambda x: x[f"p{n}"])), 1, samples)
-    none = F.array_repeat(F.lit(0).cast("long"), samples)
-    found = joined.select(*keys, side(0).alias("sig"), *[side(1).alias("sig_other")] * bool(other))
-    all_ = rows.select(*keys).join(found, keys, "left")
-    return all_.select(*keys, *[F.coalesce(c, none).alias(c) for c in ("sig", "sig_other")[: 1 + bool(other)]])
+    return joined.select(*keys, side(0).alias("sig"), *[side(1).alias("sig_other")] * bool(other))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
@@ -135,9 +149,9 @@ def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(table(spark, sf_dir, "documents"))
     size = F.char_length("text")
     edited = rows.select("doc_id", "range", "n", size.cast("long").alias("n_chars"), "text", F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))"), F.expr("substring(next_text, 1, cast(floor(char_length(text) / 4) as int))")).alias("edited"))
-    # terms travel with two numbers only; what else a row gives is joined on at the end
-    told = edited.select("range", "n", "doc_id", "n_chars", F.sha2("edited", 256).alias("e"))
-    pair = cut(signatures(edited, ["range", "n"], "text", "edited").withColumnRenamed("sig_other", "edited_sig").join(told, ["range", "n"]))
+    keys = ["range", "n", "doc_id", "n_chars", "e"]
+    pair = signatures(edited.withColumn("e", F.unhex(F.sha2("edited", 256))), keys, "text", "edited").withColumnRenamed("sig_other", "edited_sig")
+    pair = cut(pair.withColumn("e", F.lower(F.hex("e"))))
     order = Window.partitionBy("range").orderBy("n")
     heads = pair.where("n = 1").select("range", "sig")
     whole = Window.orderBy("range")
