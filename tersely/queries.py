@@ -264,7 +264,7 @@ def redundant_messages(spark, sf):
     """Pairs of messages of a conversation that say nearly the same; every third message repeats the one two before it."""
     messages = _table(spark, sf, "conversations")
     said = F.lag("text", 2).over(Window.partitionBy("conv_id").orderBy("turn"))
-    return conversation.redundant_pairs(messages.withColumn("text", F.when(F.col("turn") % 3 == 2, F.concat(said, F.lit(" and once more"))).otherwise(F.col("text"))))
+    return conversation.redundant_pairs(messages.withColumn("text", F.when(F.col("turn") % 3 == 2, F.concat(said, F.lit(" and once more"))).otherwise(F.col("text"))), threshold=0.7)
 
 
 @query("transcripts", r"SELECT conv_id, strlen(t) AS n_bytes, concat('hist:', sha256(lower(regexp_replace(t, '[ \t\n\r\f\x0B]+', ' ', 'g')))) AS isolation_key FROM (SELECT conv_id, string_agg(concat('[', i, '] ', role, ': ', coalesce(text, '')), chr(10) || chr(10) ORDER BY turn) AS t FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) GROUP BY conv_id)")
