@@ -27,8 +27,10 @@ from tersely.llm.common import table
 
 #: Texts of each language that the model is learned from, at most, and the salts that spread their choice.
 ROWS, SALTS = 3200, 32
-#: N-gram lengths in bytes, hash buckets of each language, penalty for a change, bound of a word's weight, and bytes scored at once.
-GRAMS, BUCKETS, SWITCH, MOST, CHUNK = (1, 2, 3, 4), 1 << 15, 6.0, 8, 8 << 20
+#: N-gram lengths in bytes, hash buckets of each language, penalty for a change, bound of a word's weight.
+GRAMS, BUCKETS, SWITCH, MOST = (1, 2, 3, 4), 1 << 15, 6.0, 8
+#: Bytes of text that are learned from or scored at once, and bytes of words whose n-grams are held at once.
+CHUNK, PART = 4 << 20, 1 << 18
 
 # First code points of runs of scripts; a run lasts to the next one.
 SCRIPTS = [(0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "other"), (0x20000, "han"), (0x30000, "other")]
@@ -56,43 +58,59 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.diff(ends), flat.filter(pa.array(full))
 
 
-def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the words' n-grams with their edges marked, where each word's begin, and each word's script."""
-    joined = pc.binary_join_element_wise("", words, "", " ").combine_chunks() if isinstance(words, pa.ChunkedArray) else pc.binary_join_element_wise("", words, "", " ")
+def grams(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the words' n-grams with their edges marked, and the word of each; those that begin in ``PART`` bytes at a time."""
+    joined = pc.binary_join_element_wise("", words, "", " ")
     offsets = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1].astype(np.int64)
-    text = np.frombuffer(joined.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+    text = np.frombuffer(joined.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets -= offsets[0]
-    size = np.diff(offsets)
-    word = np.repeat(np.arange(len(size)), size)
-    left = np.repeat(offsets[1:], size) - np.arange(len(text))  # bytes up to the word's end
-    hashes, owners = [], []
-    h = np.zeros(len(text), np.uint64)
-    for n in range(1, max(GRAMS) + 1):
-        h = h[: len(text) - n + 1] * np.uint64(0x100000001B3) + text[n - 1 :] + np.uint64(n)
-        if n in GRAMS:
+    for a in range(0, len(text), PART):
+        b = min(a + PART, len(text))
+        part = text[a : b + max(GRAMS) - 1].astype(np.uint64)
+        first, end = np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b)
+        word = np.repeat(np.arange(first, end), np.diff(np.clip(offsets[first : end + 1], a, b)))
+        left = offsets[word + 1] - np.arange(a, b)  # bytes up to the word's end
+        h = np.zeros(b - a, np.uint64)
+        for n in range(1, max(GRAMS) + 1):
+            h = h[: len(part) - n + 1]
+            h = h * np.uint64(0x100000001B3) + part[n - 1 : n - 1 + len(h)] + np.uint64(n)
             inside = left[: len(h)] >= n
-            mixed = (h[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)
-            hashes.append(mixed.astype(np.int64) % BUCKETS)
-            owners.append(word[: len(h)][inside])
+            if n in GRAMS and inside.any():
+                mixed = (h[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)
+                yield mixed.astype(np.int64) % BUCKETS, word[: len(h)][inside]
+
+
+def scripts_of(words: pa.Array) -> np.ndarray:
+    """Each word's script."""
     points = pc.utf8_slice_codeunits(words, 0, 1).to_pylist()
-    script = _NUMBERS[np.searchsorted(_STARTS, np.array([ord(x) for x in points], np.int64), "right") - 1]
-    return np.concatenate(hashes), np.concatenate(owners), script
+    return _NUMBERS[np.searchsorted(_STARTS, np.array([ord(x) for x in points], np.int64), "right") - 1]
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``CHUNK`` bytes, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, "right")))
+        yield a, b
+        a = b
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``lang, bucket, n``: n-gram counts; buckets from BUCKETS on count the words of a script."""
     total: dict[str, np.ndarray] = {}
     for batch in batches:
-        sizes, words = words_of(batch.column(1))
-        if not len(words):
-            continue
-        lang = np.repeat(np.array(batch.column(0).to_pylist(), dtype=object), sizes)
-        bucket, owner, script = grams(words)
-        for k in set(lang):
-            own = lang == k
-            n = np.bincount(bucket[own[owner]], minlength=BUCKETS + len(_NAMES))
-            n[BUCKETS:] += np.bincount(script[own], minlength=len(_NAMES))
-            total[k] = total.get(k, 0) + n
+        langs = pc.dictionary_encode(batch.column(0))
+        for a, b in slices(batch.column(1)):
+            sizes, words = words_of(batch.column(1)[a:b])
+            index = np.repeat(langs.indices[a:b].to_numpy(), sizes)
+            for i in np.unique(index).tolist():
+                found = pc.value_counts(words.filter(pa.array(index == i)))
+                own, times = found.field(0), found.field(1).to_numpy()
+                n = total.setdefault(langs.dictionary[i].as_py(), np.zeros(BUCKETS + len(_NAMES), np.int64))
+                for bucket, owner in grams(own):
+                    n[:BUCKETS] += np.bincount(bucket, times[owner], BUCKETS).astype(np.int64)
+                n[BUCKETS:] += np.bincount(scripts_of(own), times, len(_NAMES)).astype(np.int64)
     for k, n in total.items():
         some = np.flatnonzero(n)
         yield pa.record_batch({"lang": pa.array([k] * len(some), pa.string()), "bucket": pa.array(some, pa.int64()), "n": pa.array(n[some], pa.int64())})
@@ -153,13 +171,16 @@ def label(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.nda
         return np.zeros(0, np.int64), np.zeros(0), sizes, row
     coded = pc.dictionary_encode(flat)
     index = coded.indices.to_numpy()
-    bucket, owner, script = grams(coded.dictionary)
     n = len(coded.dictionary)
-    amount = np.bincount(owner, minlength=n)
-    word = np.stack([np.bincount(owner, model.logs[bucket, k], n) for k in range(len(model.langs))], axis=1)
+    amount, word = np.zeros(n, np.int64), np.zeros((n, len(model.langs)))
+    for bucket, owner in grams(coded.dictionary):
+        first, some = owner[0], owner[-1] + 1  # a few words of many
+        amount[first:some] += np.bincount(owner - first)
+        for k in range(len(model.langs)):
+            word[first:some, k] += np.bincount(owner - first, model.logs[bucket, k])
     letters = pc.utf8_length(coded.dictionary).to_numpy().astype(np.float64)
     word = (word / amount[:, None] * np.minimum(letters, MOST)[:, None]).astype(np.float32)
-    fits = model.scripts[script]
+    fits = model.scripts[scripts_of(coded.dictionary)]
     word = np.where(fits, word, np.float32(-50))
     none = ~fits.any(axis=1)
     word[none] = 0
@@ -172,12 +193,8 @@ def _predict(batches: Iterable[pa.RecordBatch], model: Model | None) -> Iterator
     spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
-        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-        a = 0
-        while a < len(texts):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, "right")))
+        for a, b in slices(texts):
             yield pa.record_batch({"doc_id": ids[a:b], **_answer(texts[a:b], model, spans_type)})
-            a = b
 
 
 def _answer(texts: pa.Array, model: Model | None, spans_type: pa.DataType) -> dict:

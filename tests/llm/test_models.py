@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -290,6 +291,35 @@ def test_language_query_on_odd_texts(spark, tmp_path):
     assert held and all(held)
 
 
+def test_language_counts_take_bounded_memory():
+    rng = random.Random(8)
+    words = ["a", "é", "日本", *("".join(rng.choices("abcdefgé", k=rng.randrange(2, 12))) for _ in range(3000))]
+    batch = pa.record_batch({"lang": ["en", "de"] * 600, "text": [" ".join(rng.choices(words, k=600)) for _ in range(1200)]})
+    tracemalloc.start()
+    got = {(r["lang"], r["bucket"]): r["n"] for part in langid._count([batch]) for r in part.to_pylist()}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * batch.nbytes
+    want = Counter()
+    for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+        want.update((lang, w) for w in text.split())
+    grams = {lang: sum(n * (len(w.encode()) + 2 - k) for (at, w), n in want.items() if at == lang for k in range(4) if len(w.encode()) + 2 > k) for lang in ("en", "de")}
+    for lang in grams:
+        assert sum(n for (at, k), n in got.items() if at == lang and k < langid.BUCKETS) == grams[lang]
+        assert sum(n for (at, k), n in got.items() if at == lang and k >= langid.BUCKETS) == 600 * 600
+    assert list(langid._count([pa.record_batch({"lang": ["en"], "text": ["a b 1"]})]))[0].num_rows > 0
+
+
+def test_language_scores_do_not_depend_on_the_cuts(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = langid.Model(["de", "en"], rng.standard_normal((langid.BUCKETS, 2)).astype(np.float32), np.ones((len(langid._NAMES), 2), bool), 0)
+    texts = pa.array(["a b", "", None, "longer words éé 日本語 a", "x" * 500])
+    whole = langid.label(texts, model)
+    for part in (1, 2, 7):
+        monkeypatch.setattr(langid, "PART", part)
+        assert all(np.array_equal(p, q) for p, q in zip(whole, langid.label(texts, model)))
+
+
 def test_few_labels_still_tell(spark):
     rng = random.Random(2)
     words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeo" for c in "lmnrst"]
