@@ -1,10 +1,12 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
-A term's weight in a text is its count.  For each of ``SAMPLES`` samples a term draws, from its 63-bit hash alone, two
-gamma(2, 1) values and a uniform one; with the weight they give a value, and the term with the best value is the sample.
-A text and its edited form share most terms, so both are counted together and a term draws once for the two weights.
-Two texts share a sample with the probability of their generalised Jaccard similarity.  The best value itself
-names the sampled term and its quantised weight, so a sample is one double and a fingerprint their short hashes.
+A term's weight in a text is its count.  Consistent weighted sampling strews points at random over weight and time, anew for each term
+and each of ``SAMPLES`` samples; a text's sample is the earliest point that lies below the weight of its term.  Two texts share it
+with the probability of their generalised Jaccard similarity.  Counts are whole, so the weights are cut into cells of one: of a cell only
+the earliest point can be a sample, a text holds a cell whole or not at all, and only the order of times matters.  So a cell's time is
+one draw, a hash of term, cell and sample, alike in law to the first arrival of a Poisson process; the largest hash counts as earliest.
+The hash names the sampled term and cell, so a sample is one long and a fingerprint their short hashes.
+A text and its edited form share most cells, so both are counted together and a cell draws once for the two.
 
 Texts are dealt once, by ranges of their ids, so that a document meets the next one without a second shuffle.
 
@@ -15,6 +17,7 @@ document is its own next one; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,74 +28,44 @@ from tersely.llm.common import cut, fresh, partitions, table
 #: A likeness is off by sqrt(p (1 - p) / SAMPLES) on average, 0.044 at most.
 SAMPLES = 128
 #: Samples whose code is compiled together.
-GROUP = 4
+GROUP = 16
 
 
-def quotient(x: Column) -> Column:
-    """``(v - 1) / (v + 1)`` for the 32nd root ``v`` of a number."""
-    for _ in range(5):
-        x = F.sqrt(x)
-    return (x - F.lit(1.0)) / (x + F.lit(1.0))
-
-
-def log(z: str) -> Column:
-    """The natural logarithm of a number from 2 ** -42 to 1 by its ``quotient``, a column: 64 artanh, by a series right to some 1e-4 of it.
-
-    Spark takes its own logarithm through native calls, which cost more than all else here.
-    """
-    z = F.col(z)
-    return F.lit(64.0) * z * (F.lit(1.0) + z * z * (F.lit(1 / 3) + z * z * (F.lit(1 / 5) + z * z * F.lit(1 / 7))))
-
-
-def drawn(terms: DataFrame, kept: list[str], width: int, group: str) -> DataFrame:
-    """``terms`` (``term``, a long) with what they draw in each of ``width`` samples of a group: a gamma(2, 1) value ``_r``, the logarithm ``_c``
-    of a 32nd of another, and a uniform one ``_u``."""
-    u = lambda x, s: (F.shiftrightunsigned(x, s).bitwiseAND(F.lit(0x1FFFFF)) + F.lit(0.5)) * F.lit(1 / 2097152)
-    each = lambda *columns: [c for k in range(width) for c in (f(k) for f in columns)]
-    seed = lambda k: F.xxhash64("term", group, F.lit(k))
-    # one step's columns are used several times in the next, so each is worked out once
-    hashes = terms.select(*kept, *each(lambda k: seed(2 * k).alias(f"_h{k}"), lambda k: seed(2 * k + 1).alias(f"_g{k}")))
-    first = hashes.select(*kept, *each(lambda k: quotient(u(f"_h{k}", 0) * u(f"_h{k}", 21)).alias(f"_p{k}"), lambda k: quotient(u(f"_g{k}", 0) * u(f"_g{k}", 21)).alias(f"_q{k}"), lambda k: u(f"_h{k}", 42).alias(f"_u{k}")))
-    second = first.select(*kept, *each(lambda k: (-log(f"_p{k}")).alias(f"_r{k}"), lambda k: quotient(log(f"_q{k}") * F.lit(-1 / 32)).alias(f"_s{k}"), lambda k: F.col(f"_u{k}")))
-    return second.select(*kept, *each(lambda k: F.col(f"_r{k}"), lambda k: log(f"_s{k}").alias(f"_c{k}"), lambda k: F.col(f"_u{k}")))
-
-
-def value(log_weight: Column, k: int) -> Column:
-    """What a term gives in sample ``k`` with a weight, from its draws; the largest value of a text is its sample.
-
-    The sample is the term with the least ``c * exp(-r * (m - beta + 1))``, ``m`` being ``floor(log weight / r + beta)``; this is the
-    logarithm of that, negated, so sums and products are all that is left to do for each weight.
-    """
-    r, beta = F.col(f"_r{k}"), F.col(f"_u{k}")
-    steps = F.when(log_weight == 0, F.lit(0.0)).otherwise(F.floor(log_weight / r + beta).cast("double"))
-    return F.when(log_weight.isNotNull(), r * (steps - beta + F.lit(1.0)) - F.col(f"_c{k}"))
+def keyed(k: int) -> int:
+    """A fixed 64-bit key for a sample of a group."""
+    return int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=8).digest(), signed=True)
 
 
 def counted(rows: DataFrame, keys: list[str], texts: tuple[str, ...]) -> DataFrame:
-    """``keys, term, lx, ly``: one row for each distinct term of a row's texts, with the logarithms of its counts in the first and in the
-    second, null where a text lacks it.  The empty string may be among them, with nulls, so a row without words still has a term."""
+    """``keys, term, _x, _y``: one row for each distinct term of a row's texts, with its counts in the first and in the second.
+    The empty string may be among them, with zeros, so a row without words still has a term."""
     lines = rows.select(*keys, F.posexplode(F.array(*[F.lower(F.coalesce(t, F.lit(""))) for t in texts])).alias("_side", "_line"))
     words = lines.select(*keys, "_side", F.explode(F.split("_line", "[\\x09-\\x0D\\x20]+")).alias("_word"))
     count = lambda side: F.sum(F.when((F.col("_side") == side) & (F.col("_word") != ""), 1).otherwise(0))
-    terms = words.groupBy(*keys, F.xxhash64("_word").alias("term")).agg(count(0).alias("_x"), count(1).alias("_y"))
-    log = lambda n: F.when(F.col(n) == 1, F.lit(0.0)).when(F.col(n) > 0, F.log(F.col(n).cast("double")))
-    return terms.select(*keys, "term", log("_x").alias("lx"), log("_y").alias("ly"))
+    return words.groupBy(*keys, F.xxhash64("_word").alias("term")).agg(count(0).alias("_x"), count(1).alias("_y"))
+
+
+def cells(terms: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, _cell, _of``: the cells of weight of ``counted`` terms by a hash, and whose they are: both texts' (0), the first's (1), the second's (2)
+    or, for a term without weight, nobody's (3)."""
+    each = terms.select(*keys, "term", "_x", "_y", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("_x", "_y", F.lit(1)))).alias("_n"))
+    first, second = F.col("_n") <= F.col("_x"), F.col("_n") <= F.col("_y")
+    return each.select(*keys, F.xxhash64("term", "_n").alias("_cell"), F.when(first & second, 0).when(first, 1).when(second, 2).otherwise(3).alias("_of"))
 
 
 def signatures(rows: DataFrame, keys: list[str], text: str = "text", other: str | None = None, samples: int = SAMPLES) -> DataFrame:
     """``keys`` and ``sig``, the short hashes of the samples, and ``sig_other`` those of a second text; the keys must name single rows."""
-    known = counted(rows, keys, (text, other) if other else (text,))
-    sides = [F.col("lx"), F.col("ly")] if other else [F.col("lx")]
+    known = cells(counted(rows, keys, (text, other) if other else (text,)), keys)
     # samples are worked out in groups: the code of so few is compiled as one, that of all of them isn't
-    width = min(GROUP, samples)
+    width, sides = min(GROUP, samples), 2 if other else 1
     (group,) = fresh(known, "_group")
-    groups = F.explode(F.sequence(F.lit(0), F.lit(-(-samples // width) - 1)))
-    terms = drawn(known.withColumn(group, groups), [*keys, group, "lx", "ly"], width, group)
-    best = [F.max(value(w, k)).alias(f"_{n}_{k}") for k in range(width) for n, w in enumerate(sides)]
-    found = terms.groupBy(*keys, group).agg(*best)
+    drawn = known.withColumn(group, F.explode(F.sequence(F.lit(0), F.lit(-(-samples // width) - 1)))).select(*keys, group, "_of", F.xxhash64("_cell", group).alias("_h"))
+    best = drawn.groupBy(*keys, group, "_of").agg(*[F.max(F.xxhash64(F.col("_h").bitwiseXOR(F.lit(keyed(k))))).alias(f"_{k}") for k in range(width)])
+    held = lambda n: F.col("_of").isin(0, n + 1)
+    found = best.groupBy(*keys, group).agg(*[F.max(F.when(held(n), F.col(f"_{k}"))).alias(f"_{n}_{k}") for k in range(width) for n in range(sides)])
     short = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     part = lambda n: F.array(*[short(f"_{n}_{k}") for k in range(width)]).alias(f"p{n}")
-    parts = F.sort_array(F.collect_list(F.struct(F.col(group), *[part(n) for n in range(len(sides))])))
+    parts = F.sort_array(F.collect_list(F.struct(F.col(group), *[part(n) for n in range(sides)])))
     joined = found.groupBy(*keys).agg(parts.alias("_parts"))
     side = lambda n: F.slice(F.flatten(F.transform("_parts", lambda x: x[f"p{n}"])), 1, samples)
     return joined.select(*keys, side(0).alias("sig"), *[side(1).alias("sig_other")] * bool(other))

@@ -82,6 +82,17 @@ def test_default_fingerprints_tell_near_copies_from_unlike_texts(spark):
     assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.05 and max(map(abs, errors)) < 0.18
 
 
+def test_a_draw_of_a_fingerprint_is_one_hash(spark):
+    texts = ["a " * 900, "a " * 300 + "b " * 10, "a", "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = cws.signatures(df, ["doc_id"])
+    plan = got._jdf.queryExecution().executedPlan().toString().lower()
+    assert "sqrt(" not in plan and "ln(" not in plan
+    sigs = {r.doc_id: r.sig for r in got.collect()}
+    near = lambda a, b: sum(p == q for p, q in zip(sigs[a], sigs[b])) / cws.SAMPLES
+    assert abs(near(0, 1) - 300 / 910) < 0.15 and near(1, 2) < 0.1 and near(3, 4) == 1 and near(2, 3) == 0
+
+
 def test_next_texts(spark):
     texts = [None, "", "abc", "é" * 9, "abc"] + [f"t{i}" * i for i in range(40)]
     df = spark.createDataFrame([(i * 7 - 3, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
