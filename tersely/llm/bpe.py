@@ -15,6 +15,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,14 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
+class Slots(dict[str, int]):
+    """Numbers strings as they are first asked for, from 0; a string is looked up once wherever it stands."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Coder:
     """Encodes and decodes with the vocabulary of a ``tokenizers`` file, given as its text."""
 
@@ -50,6 +59,9 @@ class Coder:
         self.bytes = {i: bytes(back[c] for c in t) for t, i in ids.items() if all(c in back for c in t)}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self.names = {i: str(i) for i in self.bytes}
+        self.marked = self.names | {-1: ";"}
+        self.sizes = np.zeros(max(self.bytes) + 1, np.int64)
+        self.sizes[list(self.bytes)] = list(map(len, self.bytes.values()))
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([ids[a] << 32 | ids[b] for a, b in pairs], np.int64)
         self.key_ranks = np.argsort(keys)
@@ -57,8 +69,9 @@ class Coder:
         self.made = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
         self.words = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.named: dict[str, str] = {}  # piece: its ids, comma-joined
-        self.plain: dict[str, bytes] = {}  # piece: the bytes that its ids decode to
+        self.slots = Slots()
+        self.named: list[str] = []  # by slot: the piece's ids, comma-joined
+        self.plain: list[bytes] = []  # by slot: the bytes that its ids decode to
 
     def split(self, text: str) -> list[str]:
         """Pieces that encode independently: a word begins at each single space, so no word reaches across one."""
@@ -69,18 +82,39 @@ class Coder:
             return self.words.findall(text)  # white space runs on here
         return [parts[0], *map(" ".__add__, parts[1:])]
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode the pieces that the store lacks, all together."""
-        new = [x for x in pieces if x not in self.named]
-        split = [[x] if x in self.special else self.words.findall(x) for x in new]
-        words = [w for w in dict.fromkeys(w for x in split for w in x) if w not in self.special]
-        ids = dict(zip(words, self.merge([w.encode() for w in words]))) | {w: [i] for w, i in self.special.items()}
-        for x, parts in zip(new, split):
-            own = [i for w in parts for i in ids[w]]
-            self.named[x], self.plain[x] = ",".join(map(self.names.__getitem__, own)), b"".join(map(self.bytes.__getitem__, own))
-
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word."""
+    def learn(self) -> None:
+        """Encode the pieces that have a slot only, all together."""
+        new, words, ends = list(islice(self.slots, len(self.named), None)), [], []
+        for x in new:  # one list for all, as a list for each piece keeps the garbage collector busy
+            words += [x] if x in self.special else self.words.findall(x)
+            ends.append(len(words))
+        own = [w for w in dict.fromkeys(words) if w not in self.special]
+        named, plain = self.written(self.merge([w.encode() for w in own]))
+        named, plain = dict(zip(own, named)), dict(zip(own, plain))
+        named |= {w: self.names[i] for w, i in self.special.items()}
+        plain |= {w: self.bytes[i] for w, i in self.special.items()}
+        a = 0
+        for b in ends:
+            if b == a + 1:
+                self.named.append(named[words[a]])
+                self.plain.append(plain[words[a]])
+            else:
+                self.named.append(",".join([named[w] for w in words[a:b]]))
+                self.plain.append(b"".join([plain[w] for w in words[a:b]]))
+            a = b
+
+    def written(self, left: np.ndarray) -> tuple[list[str], list[bytes]]:
+        """The ids of each word, comma-joined, and the bytes that they decode to, all joined at once and then parted."""
+        if not len(left):
+            return [], []
+        line = ",".join(map(self.marked.__getitem__, left.tolist()))
+        end = left == -1
+        raw = b"".join(map(self.bytes.__getitem__, left[~end].tolist()))
+        stops = np.cumsum(np.where(end, 0, self.sizes[left]))[end].tolist()
+        return line[:-2].split(",;,"), [raw[a:b] for a, b in zip([0, *stops[:-1]], stops)]
+
+    def merge(self, words: list[bytes]) -> np.ndarray:
+        """Token ids of each word, then -1, one word after another."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(sizes + 1) - sizes
         sym = np.full(int(sizes.sum()) + len(words) + 1, -1, np.int64)  # -1 stands between words, so no pair crosses them
@@ -131,10 +165,7 @@ class Coder:
             after[i], before[k] = k, i
             same = np.full(len(i), c)
             put(np.concatenate((i, h)), np.concatenate((same, sym[h])), np.concatenate((sym[k], same)))
-        left = sym[sym >= -1][1:]  # the ids of each word, then -1
-        ends = np.flatnonzero(left == -1)
-        ids = left.tolist()
-        return [ids[a:b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist())]
+        return sym[sym >= -1][1:]
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 if it has none."""
@@ -142,25 +173,22 @@ class Coder:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((left >= 0) & (right >= 0) & (self.keys[at] == key), self.key_ranks[at], -1)
 
-    def chunks(self, texts: Iterable[str | None]) -> Iterator[list[list[str]]]:
-        """The words of some texts at a time, all of them in the store."""
-        held: list[list[str]] = []
+    def chunks(self, texts: Iterable[str | None]) -> Iterator[list[list[int]]]:
+        """The slots of the words of some texts at a time, all of them in the store."""
+        held: list[list[int]] = []
         size = 0
         for t in texts:
-            held.append(self.split(t or ""))
+            held.append(list(map(self.slots.__getitem__, self.split(t or ""))))
             size += len(t or "")
             if size >= CHUNK:
-                yield self._ready(held)
+                self.learn()
+                yield held
                 held, size = [], 0
+                if len(self.slots) > STORE:
+                    self.slots, self.named, self.plain = Slots(), [], []
         if held:
-            yield self._ready(held)
-
-    def _ready(self, held: list[list[str]]) -> list[list[str]]:
-        if len(self.named) > STORE:
-            self.named.clear()
-            self.plain.clear()
-        self.learn(set().union(*held))
-        return held
+            self.learn()
+            yield held
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
         for held in self.chunks(texts):

@@ -29,3 +29,12 @@ def test_operators_round_trip(spark, library):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((TEXTS[r.doc_id] or "").encode()).hexdigest()
     assert round_trip(docs.limit(0), vocabulary()).count() == 0
+
+
+def test_a_word_is_looked_up_once_and_the_store_may_empty(library, monkeypatch):
+    with open(vocabulary(), encoding="utf-8") as f:
+        coder = Coder(f.read())
+    assert list(coder.chunks(["a b a", None, "b a"])) == [[[0, 1, 2], [], [3, 2]]]
+    monkeypatch.setattr("tersely.llm.bpe.STORE", 0)
+    monkeypatch.setattr("tersely.llm.bpe.CHUNK", 1)
+    assert list(coder.encode(TEXTS * 2)) == [library.encode(t or "", add_special_tokens=False).ids for t in TEXTS * 2]
