@@ -17,11 +17,67 @@ _FLAGS = {True: "(?iuUd)", False: "(?Ud)"}
 MONTHS = "January February March April May June July August September October November December".split()
 
 
-def _java(category: str) -> list[tuple[str, str]]:
+def _java(category: str, ascii_only: bool = False) -> list[tuple[str, str]]:
+    if ascii_only:
+        return [(ascii_pattern(p, category in FOLDED), r) for p, r in rules(category)]
     flags = _FLAGS[category in FOLDED]
     return [(flags + p, r) for p, r in rules(category)]
 
 
+# classes where words are of ASCII only, as Java has them without (?U) but for its white space, and an edge of such a word
+_ASCII_CLASSES = {"w": r"\w", "s": r"\t\n\f\r ", "d": r"\d"}
+_BEFORE, _AFTER = r"(?<!\w)", r"(?!\w)"
+_EDGE = rf"(?:(?<=\w){_AFTER}|{_BEFORE}(?=\w))"
+# the same where what follows is a letter or digit, in ASCII or counted as one
+_OPENING = "(?<!\\w(?![\u017f\u212a]))(?=\\w|(?<=\\w)[\u017f\u212a])"
+#: The letters outside of ASCII that count as one of ASCII where case is ignored.
+_ALSO = {"s": "\u017f", "k": "\u212a"}
+
+
+@cache
+def ascii_pattern(pattern: str, ignore_case: bool) -> str:
+    """``pattern`` for ``regexp_replace`` as an engine reads it whose words, digits and white space are those of ASCII, such as the one of SQL.
+
+    There an accented letter ends a word.  Case is ignored by simple folding: a long s is an s and the sign of kelvin a k, but no dotless i is an i.
+    """
+    folded = ignore_case or pattern.startswith("(?i)")
+    also = lambda chars: "".join(_ALSO[c] for c in chars if folded)
+    out, k, letter = [], 0, False
+    while k < len(pattern):
+        c, size = pattern[k], 1
+        plain = c.isalnum() and not (folded and c.lower() in _ALSO)
+        new = f"[{c}{also(c.lower())}]" if c.lower() in _ALSO and folded else c
+        if c == "\\":
+            kind, size = pattern[k + 1], 2
+            rest = pattern[k + 2 :]
+            after = re.match(r"[0-9A-Za-z](?![?*{])|", rest)[0]
+            opening = "|" not in pattern and re.match(r"\(*(?:[0-9A-Za-z]|\\w|\[[\w-]+\])(?![?*{])", rest)
+            if kind == "b":
+                # beside a letter of ASCII only one side is open
+                alone = after and not (folded and after.lower() in _ALSO)
+                new, plain = _AFTER if letter else _BEFORE if alone else _OPENING if opening else _EDGE, False
+            elif kind in _ASCII_CLASSES:
+                new, plain = f"[{_ASCII_CLASSES[kind]}{also('sk') if kind == 'w' else ''}]", kind == "d" or kind == "w" and not folded
+            elif kind in "WSDB":
+                raise ValueError(f"{pattern!r}: no class of the other characters")
+            else:
+                new, plain = pattern[k : k + 2], False
+        elif c == "[":
+            size = pattern.index("]", k + 2) + 1 - k
+            body = re.sub(r"\\([wsd])", lambda m: _ASCII_CLASSES[m[1]], pattern[k : k + size])
+            holds = lambda x, body=body: bool(re.fullmatch(body, x, re.I)) != body.startswith("[^")
+            new, plain = body[:-1] + also([x for x in _ALSO if holds(x)]) + "]", False
+        elif pattern.startswith("(?", k):
+            size = re.match(r"\(\?(?:[a-z]+\)|[:=!]|<[=!])", pattern[k:]).end()
+            new, plain = pattern[k : k + size], False
+        elif c == "{":
+            size = pattern.index("}", k) + 1 - k
+            new, plain = pattern[k : k + size], False
+        out.append(new)
+        letter, k = plain, k + size
+    return ("(?id)" if folded else "(?d)") + "".join(out)
+
+
 def apply_category(text: Column, category: str) -> Column:
     """The category's rules in order, each replacing all its matches."""
     return reduce(lambda t, rule: F.regexp_replace(t, F.lit(rule[0]), F.lit(rule[1])), _java(category), text)
@@ -30,9 +86,9 @@ def apply_category(text: Column, category: str) -> Column:
 RULE = "array<struct<p:string,r:string,w:array<string>>>"
 
 
-def _rows(category: str, since: tuple[str, ...] = ()) -> Column:
+def _rows(category: str, since: tuple[str, ...] = (), ascii_only: bool = False) -> Column:
     """The rules of a category as one constant array: pattern, replacement, and the words of which a text must hold one."""
-    rows = [{"p": p, "r": r, "w": list(g) or None} for (p, r), g in zip(_java(category), gates(category, since))]
+    rows = [{"p": p, "r": r, "w": list(g) or None} for (p, r), g in zip(_java(category, ascii_only), gates(category, since))]
     return F.from_json(F.lit(json.dumps(rows)), RULE)
 
 
@@ -122,19 +178,24 @@ def gates(category: str, since: tuple[str, ...] = ()) -> tuple[tuple[str, ...],
     return tuple(out)
 
 
-def words_held(text: Column, needed: set[str]) -> Column:
-    """Which of the words ``needed`` are in the text, in any case."""
+def words_held(text: Column, needed: set[str], ascii_only: bool = False) -> Column:
+    """Which of the words ``needed`` are in the text, in any case; where words are of ASCII only and a text holds a letter outside of
+    it that counts as one of ASCII, all are."""
+    if needed and ascii_only:
+        low, all_ = F.lower(F.translate(text, "\u0130", " ")), F.array(*map(F.lit, sorted(needed)))
+        found = F.array_intersect(all_, F.split(low, r"\W+"))
+        return F.when(F.rlike(text, F.lit(f"[{''.join(_ALSO.values())}]")), all_).otherwise(found)
     # the letters that ignoring case treats as these
     low = F.lower(F.translate(text, "\u017f\u0130\u0131\u212a", "siik"))
     return F.array_intersect(F.array(*map(F.lit, sorted(needed))), F.split(low, r"(?U)\W+")) if needed else F.array().cast("array<string>")
 
 
-def held(text: Column, *chain: str) -> Column:
+def held(text: Column, *chain: str, ascii_only: bool = False) -> Column:
     """Which of the words that the rules of a chain of categories need are in the text: one reading instead of one for each rule.
 
     It stays true while these rules change the text, as they leave words whole.
     """
-    return words_held(text, {w for k, c in enumerate(chain) for g in gates(c, chain[:k]) for w in g})
+    return words_held(text, {w for k, c in enumerate(chain) for g in gates(c, chain[:k]) for w in g}, ascii_only)
 
 
 def held_as_is(text: Column, *categories: str) -> Column:
@@ -142,13 +203,13 @@ def held_as_is(text: Column, *categories: str) -> Column:
     return words_held(text, {w for c in categories for g in gates(c) for w in g})
 
 
-def apply_gated(text: Column, category: str, words: Column, since: tuple[str, ...] = ()) -> Column:
+def apply_gated(text: Column, category: str, words: Column, since: tuple[str, ...] = (), ascii_only: bool = False) -> Column:
     """As ``apply_category``, but only those rules are tried whose words the text held before the categories ``since``.
 
-    ``words`` is best a column made before; it is used twice here, so that Spark keeps it one.
+    ``words`` are worked out once for each row.  With ``ascii_only``, here and in ``words``, the rules are read as ``ascii_pattern`` says.
     """
-    tried = F.filter(_rows(category, since), lambda rule: rule["w"].isNull() | F.arrays_overlap(rule["w"], words))
-    return F.when(words.isNotNull(), F.aggregate(tried, text, lambda acc, rule: F.regexp_replace(acc, rule["p"], rule["r"])))
+    tried = lambda w: F.filter(_rows(category, since, ascii_only), lambda rule: rule["w"].isNull() | F.arrays_overlap(rule["w"], w))
+    return let(words, lambda w: F.when(w.isNotNull(), F.aggregate(tried(w), text, lambda acc, rule: F.regexp_replace(acc, rule["p"], rule["r"]))))
 
 
 def matching_rules(text: Column, category: str, words: Column) -> Column:

@@ -138,3 +138,22 @@ def test_folded_rules_equal_plain_ones(spark):
     for c in CATEGORIES:
         for row in texts.select(text.apply_category(F.col("s"), c).alias("a"), text.apply_folded(F.col("s"), c).alias("b")).collect():
             assert row.a == row.b
+
+
+def test_rule_queries_equal_their_sql_on_any_letters(spark, tmp_path):
+    import duckdb
+
+    from tersely.queries import LEADS, ORACLE_SQL, QUERIES
+
+    odd = ["la ou aiierç And onndonth and Zürich and Köln", "évery good, écannot do noté ékindlyé", "ſpecifically ſtep and Kin, ıs not, İs not; cats and dogs; in\u000border to",
+           "Iİand one hundredé, à and b̀ and café and thé and x", "baſically, kiſſ and KK and inſightſ", None, ""]
+    texts = [*odd, *[f"{x} {a}" for x in LEADS for a in odd if a], *[x.replace(" ", "é ") for x in LEADS], *[x.replace("s", "ſ").replace("k", "K") for x in LEADS], *[x.replace(" ", " é") for x in LEADS]]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts * len(LEADS))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for c in CATEGORIES:
+        if sql := ORACLE_SQL.get(f"rules_{c}"):
+            want = dict(con.execute(f"SELECT doc_id, text_md5 FROM ({sql})").fetchall())
+            got = {r.doc_id: r.text_md5 for r in QUERIES[f"rules_{c}"](spark, str(tmp_path)).collect()}
+            assert [(c, rows[k][1], k % len(LEADS)) for k in want if want[k] != got[k]] == []
