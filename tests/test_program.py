@@ -178,3 +178,15 @@ def test_tools_are_minimized_once_they_are_used(read):
 def test_fenced_json_in_views_is_compact(spark):
     text = 'see\n```json\n{"b": 1,\n "a": [1, 2]}\n```\nand ```json\nno json\n``` end'
     assert spark.range(1).select(agent.compact_fences(F.lit(text)).alias("t")).first().t == 'see\n```json\n{"a":[1,2],"b":1}\n```\nand ```json\nno json\n``` end'
+
+
+def test_rules_are_tried_where_a_phrase_of_theirs_stands():
+    assert program.literals(r"\bso\s+as\s+to\b", True) == (True, ["so as to"]) and program.literals(r"(?i)\bI\s+will\s+look", False)[0]
+    assert program.literals(r"\b(ensure|note)\s+that\b", True) == (True, ["ensure that", "note that"]) and program.literals(r"(?:---+|___+)x?", False) == (False, ["---", "___"])
+    assert program.literals(" +\n", False) == (False, [" \n"]) and program.literals(r"(?:ab|c)*\w+", False) is None and program.literals(r"[a&&[b]]cc", False) is None
+    low = lambda t: re.sub(r"\s+", " ", t.translate(str.maketrans("ſİıK", "siik")).lower())
+    for step in program.request_steps():
+        folded, found = (program.literals(step.pattern, step.ignore_case) if step.pattern else None) or (False, None)
+        for t in TEXTS if found else ():
+            if re.search(step.pattern.replace(r"\z", r"\Z"), t, re.I if step.ignore_case else 0):
+                assert any(x in (low(t) if folded else t) for x in found), (step.pattern, found, t)
